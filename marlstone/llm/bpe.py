@@ -331,19 +331,22 @@ def decode(tokens: DataFrame, path: str, pattern: str, block: int = 4096) -> Dat
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256, of rows of decode()."""
+def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256, of rows of decode(); ids if kept."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([str(i) for i in range(1 << 17)], dtype=object)
+        decimal = np.array([str(i) for i in range(1 << 17)], dtype=object)
         for batch in batches:
             n, ids, texts = [], [], []
             data, off = text_bytes(batch.column(2))
             for i, row in enumerate(batch.column(1)):
                 got = row.values.to_numpy()
                 n.append(len(got))
-                ids.append(hashlib.sha256(",".join(names[got].tolist() if not len(got) or got.max() < len(names) else map(str, got.tolist())).encode()).hexdigest())
+                ids.append(hashlib.sha256(",".join(decimal[got].tolist() if not len(got) or got.max() < len(decimal) else map(str, got.tolist())).encode()).hexdigest())
                 texts.append(hashlib.sha256(data[off[i] : off[i + 1]]).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string()), *[batch.column(1)] * keep_ids]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return decoded.select("doc_id", "ids", "decoded").mapInArrow(run, schema)
