@@ -20,6 +20,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(reassemble(read_records(spark, path)))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .packing import pack
+
+    packed = pack(_table(spark, sf_dir, "documents"))
+    return packed.select("pack_id", "n_tokens", "doc_ids", "doc_offsets", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score, train
 
@@ -36,6 +45,24 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(decode(encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern))
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import link_quotes
+
+    return link_quotes(_table(spark, sf_dir, "conversations"))
+
+
+def op6_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -62,8 +89,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_quotation_linking": op5_quotation_linking,
+    "op6_site_style_tree": op6_site_style_tree,
+    "op7_prefix_free_parsing": op7_prefix_free_parsing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_jaccard_join": op10_jaccard_join,
