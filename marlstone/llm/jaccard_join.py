@@ -169,7 +169,7 @@ def _verify(size: int, num: int, den: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, num: int = 4, den: int = 5, stars: int = 2) -> DataFrame:
+def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, num: int = 4, den: int = 5, stars: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs, for similarity >= num / den.
 
     A set is the distinct shingles of ``size`` words (A-Z lowered); a text with fewer words has its whole sequence as
