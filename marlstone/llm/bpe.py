@@ -2,8 +2,9 @@
 
 Two tokens may stand side by side exactly if merging their joined bytes gives back these two tokens. The encoding of
 a string is the one path of tokens in which all neighbours may. The transducer reads bytes and follows every open
-path at once; a state is the set of open paths after their common beginning is emitted, so a token leaves after
-bounded lookahead (at most the longest token). States and transitions are made when first needed and kept.
+path at once; a state is the set of open paths, and last tokens that allow the same continuations are one. A boundary
+is certain when no open path began before it: after a lookahead of the longest token at most. States and transitions
+are made when first needed and kept.
 
 Decoding composes the UTF-8 automaton over whole tokens: each token maps a state to a state, once computed.
 """
@@ -13,8 +14,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -23,8 +24,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_bytes
-
 #: Entries of the memories of a worker; a full memory is emptied, which costs time and changes no result.
 MEMORY = 300_000
 
@@ -34,6 +33,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
 
 
+#: Tokens below a node of the token tree up to which paths are told apart by what may follow only.
+FEW = 2
+
+
 class Transducer:
     """Encoder of one pre-token at a time."""
 
@@ -55,17 +58,28 @@ class Transducer:
         self._inner = [False] * len(self._token)
         for key in self._child:
             self._inner[key >> 8] = True
+        self._length = {v: len(k) for k, v in ranks.items()}
+        # the tokens below a node, where they are few
+        self._few: list[tuple[int, ...] | None] = [()] * len(self._token)
+        for key in sorted(self._child, key=self._child.get, reverse=True):  # children before their parents
+            node, to = key >> 8, self._child[key]
+            below = self._few[to]
+            if self._few[node] is not None:
+                joined = None if below is None else (*self._few[node], *below, *([self._token[to]] if self._token[to] >= 0 else []))
+                self._few[node] = joined if joined is not None and len(joined) <= FEW else None
+        self._few[0] = None
+        self._classes: dict[int, int] = {}
         self._beside: dict[int, bool] = {}
         self._trees: dict[bytes, tuple[bytes, bytes, bool] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
         self._reset()
 
     def _reset(self) -> None:
-        # a path is (tokens not yet emitted, last token or -1, node of the token being read)
-        start = (((), -1, 0),)
+        # a path is (last token or -1, node of the token being read); a state is its open paths, oldest first
+        start = ((-1, 0),)
         self._states = {start: 0}
         self._paths = [start]
-        self._step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._step: dict[int, tuple[int, int]] = {}
 
     def _merge_parts(self, data: bytes, least: int) -> list[bytes]:
         """Merging by rank down to ``least`` parts: the definition of what neighbours may be."""
@@ -137,55 +151,86 @@ class Transducer:
             else:
                 j += 1
 
-    def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        child, tokens, inner = self._child, self._token, self._inner
-        after, ended = [], None
-        for waiting, last, node in self._paths[state]:
+    def _class(self, last: int, node: int) -> int:
+        """What a path needs to know of its last token: where few tokens can still be read, which of them may follow.
+
+        Minus one for none of them: the path is closed. Last tokens of one class share a state.
+        """
+        few = self._few[node]
+        if few is None:
+            return last
+        key = (last + 1) << 24 | node
+        if (known := self._classes.get(key)) is None:
+            if len(self._classes) > 4 * MEMORY:
+                self._classes.clear()
+            bits = sum(1 << i for i, token in enumerate(few) if self._may_follow(last, token))
+            known = self._classes[key] = -2 - bits if bits else -1
+        return known
+
+    def _advance(self, state: int, byte: int) -> tuple[int, int]:
+        """Next state, and the token that ends at this byte when the encoding ends here."""
+        child, tokens, inner, few = self._child, self._token, self._inner, self._few
+        after, ended = [], -1
+        for last, node in self._paths[state]:
             to = child.get(node << 8 | byte)
             if to is None:
                 continue
             token = tokens[to]
-            if token >= 0 and ended is None and self._may_follow(last, token):
-                ended = (*waiting, token), token, 0  # one path at most ends at each byte
+            if token >= 0 and ended < 0:  # one path at most ends at each byte
+                own = few[node]
+                if own is not None and last < -1:
+                    if -2 - last >> own.index(token) & 1:
+                        ended = token
+                elif self._may_follow(last, token):
+                    ended = token
             if inner[to]:
-                after.append((waiting, last, to))
-        if ended:
-            after.append(ended)
-        # what all open paths begin with is certain
-        certain = after[0][0]
-        if certain:
-            for waiting, _, _ in after:
-                if waiting[: len(certain)] != certain:
-                    k = 0
-                    while k < len(waiting) and waiting[k] == certain[k]:
-                        k += 1
-                    certain = certain[:k]
-            if certain:
-                after = [(w[len(certain) :], last, node) for w, last, node in after]
+                if last < -1:  # a class of a node tells that of the nodes below
+                    mine, now = few[node], few[to]
+                    bits = -2 - last
+                    bits = sum(1 << i for i, t in enumerate(now) if bits >> mine.index(t) & 1)
+                    if bits:
+                        after.append((-2 - bits, to))
+                elif node and last == -1 and few[node] is not None:
+                    continue
+                else:
+                    got = self._class(last, to)
+                    if few[to] is None or got != -1:
+                        after.append((got, to))
+        if ended >= 0:
+            after.append((ended, 0))
         after = tuple(after)
         if (to := self._states.get(after)) is None:
             to = self._states[after] = len(self._paths)
             self._paths.append(after)
-        got = self._step[state << 8 | byte] = to, certain
+        got = self._step[state << 8 | byte] = to, ended
         return got
 
     def encode(self, piece: bytes) -> list[int]:
-        """Tokens of a pre-token; one that is itself a token is that token, as in the reading library."""
+        """Tokens of a pre-token; one that is itself a token is that token, as in the reading library.
+
+        Each byte gives the token that would end the encoding there. A boundary is certain when no open path began
+        before it, which the longest token bounds; walking back from the end takes the certain ones.
+        """
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         if len(self._paths) > MEMORY:
             self._reset()
-        out: list[int] = []
+        ended = []
         state, step = 0, self._step
         for byte in piece:
             hit = step.get(state << 8 | byte) or self._advance(state, byte)
             state = hit[0]
-            if hit[1]:
-                out += hit[1]
-        waiting, _, node = self._paths[state][-1]
-        if node:
-            raise ValueError(f"no encoding of {piece!r}: a byte is missing among the tokens")
-        return out + list(waiting)
+            ended.append(hit[1])
+        out = []
+        at = len(piece)
+        while at:
+            token = ended[at - 1]
+            if token < 0:
+                raise ValueError(f"no encoding of {piece!r}: a byte is missing among the tokens")
+            out.append(token)
+            at -= self._length[token]
+        out.reverse()
+        return out
 
 
 #: First and last byte that may come next, for each state inside a character, and the state after it.
@@ -250,30 +295,46 @@ class StreamDecoder:
         return b""
 
 
+class _Memory(dict):
+    """Ids of pre-tokens, encoded when first asked for. Of two halves the older one is given up when both are full."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]]):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if (got := self.older.get(piece)) is None:
+            got = tuple(self.encode(piece.encode()))
+            if len(piece) > 256:  # hardly comes again
+                return got
+        self[piece] = got
+        return got
+
+    def trim(self) -> None:
+        if len(self) > MEMORY:
+            self.older = dict(self)
+            self.clear()
+
+
 class Tokenizer:
-    """Pre-tokenisation, transducer and a memory of pre-tokens."""
+    """Pre-tokenisation, transducer and a memory of pre-tokens. What only encoding needs is made for it."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+        self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
-        self.known: dict[str, tuple[int, ...]] = {}
         self.moves: dict[tuple[int, int], int] = {}
 
+    @cached_property
+    def known(self) -> _Memory:
+        return _Memory(Transducer(self.ranks).encode)
+
     def encode(self, text: str) -> list[int]:
         known = self.known
-        pieces = self.find(text)
-        fresh = {p for p in pieces if p not in known}
-        for piece in fresh:
-            known[piece] = tuple(self.transducer.encode(piece.encode()))
-        out = list(chain.from_iterable(map(known.__getitem__, pieces)))
-        for piece in fresh:  # very long pieces hardly come again
-            if len(piece) > 256:
-                del known[piece]
-        if len(known) > MEMORY:
-            known.clear()
+        out = list(chain.from_iterable(map(known.__getitem__, self.find(text))))
+        known.trim()
         return out
 
     def decoder(self) -> StreamDecoder:
@@ -309,44 +370,36 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(tokens: DataFrame, path: str, pattern: str, block: int = 4096) -> DataFrame:
+def decode(tokens: DataFrame, path: str, pattern: str, block: int = 4096, digests: bool = False) -> DataFrame:
     """doc_id, ids, decoded of every row of tokens (doc_id, ids): the text, read in blocks of ids. Null ids decode to "".
 
-    Raises ValueError, naming the row, for ids whose bytes are not UTF-8 or end inside a character.
+    With digests: doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256, ids instead, in the
+    same pass. Raises ValueError, naming the row, for ids whose bytes are not UTF-8 or end inside a character.
     """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] if digests else ["doc_id", "ids", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
+        decimal = [str(i) for i in range(len(own.table))]
         for batch in batches:
-            out = []
+            out, counts, sums = [], [], []
             for key, row in zip(batch.column(0), batch.column(1), strict=True):
                 ids = row.values.to_numpy().tolist() if row.is_valid else []
                 stream = own.decoder()
                 try:
-                    out.append(b"".join([stream.feed(ids[i : i + block]) for i in range(0, len(ids), block)] + [stream.finish()]))
+                    text = b"".join([stream.feed(ids[i : i + block]) for i in range(0, len(ids), block)] + [stream.finish()])
                 except ValueError as e:
                     raise ValueError(f"doc_id {key}: {e}") from e
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
-
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
-
-
-def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256, of rows of decode(); ids if kept."""
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = np.array([str(i) for i in range(1 << 17)], dtype=object)
-        for batch in batches:
-            n, ids, texts = [], [], []
-            data, off = text_bytes(batch.column(2))
-            for i, row in enumerate(batch.column(1)):
-                got = row.values.to_numpy()
-                n.append(len(got))
-                ids.append(hashlib.sha256(",".join(decimal[got].tolist() if not len(got) or got.max() < len(decimal) else map(str, got.tolist())).encode()).hexdigest())
-                texts.append(hashlib.sha256(data[off[i] : off[i + 1]]).hexdigest())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string()), *[batch.column(1)] * keep_ids]
+                if digests:
+                    counts.append(len(ids))
+                    sums.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                    text = hashlib.sha256(text).hexdigest()
+                out.append(text)
+            if digests:
+                columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(out, pa.string()), batch.column(1)]
+            else:
+                columns = [batch.column(0), batch.column(1), pa.array(out, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(run, schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>" if digests else "doc_id long, ids array<int>, decoded string"
+    return tokens.select("doc_id", "ids").mapInArrow(run, schema)
