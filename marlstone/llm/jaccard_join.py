@@ -5,9 +5,10 @@
    ones. Any fixed order is exact; this one only keeps buckets small.
 2. Sets of similarity >= t share a shingle among the first n - ceil(t n) + 1 of each. Sets with the same prefix and
    size make one group, and groups meet by shared prefix shingles: one shuffle of (shingle, group, size).
-3. Groups expand to sets. In every bucket members are first tried against pivots (a star, linear in the bucket), then
-   all pairs that meet in a bucket and are still in different components are tried as well, so no link that could join
-   components is missed, and pairs inside a component are never enumerated.
+3. Groups expand to sets. In every bucket members are first tried against a few pivots (stars, linear in the bucket),
+   then all pairs that meet in a bucket and are still in different components are tried as well, so no link that could
+   join components is missed, and pairs inside a component are never enumerated. Pairs with too few common prefix
+   shingles for their sizes are out before that.
 4. Pairs are verified on the whole sets, recomputed from the texts of candidate sets only.
 """
 
@@ -169,7 +170,7 @@ def _verify(size: int, num: int, den: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, num: int = 4, den: int = 5, stars: int = 1) -> DataFrame:
+def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, num: int = 4, den: int = 5, stars: int = 2, pivots: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs, for similarity >= num / den.
 
     A set is the distinct shingles of ``size`` words (A-Z lowered); a text with fewer words has its whole sequence as
@@ -193,8 +194,9 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     buckets = met.where("n > 0").select("token", F.col("id").alias("grp"))
     # a group of several sets is a bucket too
     crowd = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
+    # sets of one group have their whole prefixes in common, which is always enough: w counts for them all
     rows = materialise(
-        buckets.join(members, "grp").select("token", "id", "n").unionByName(members.join(crowd, "grp").select(F.col("grp").alias("token"), "id", "n")),
+        buckets.join(members, "grp").select("token", "id", "n", F.lit(1).cast("long").alias("w")).unionByName(members.join(crowd, "grp").select(F.col("grp").alias("token"), "id", "n", F.col("n").cast("long").alias("w"))),
         "jaccard-buckets",
     )
     reps = sig.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"))
@@ -208,22 +210,28 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         both = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
         return materialise(both.mapInArrow(_verify(size, num, den), "u long, v long"), "jaccard-links")
 
-    links, roots = None, None
+    links, roots, tried = None, None, None
     similar = f"{den} * least(n, pn) >= {num} * greatest(n, pn)"
-    tried = None
+    # of the common shingles those up to the end of the prefix that ends first are all counted in c; after it there are
+    # no more than the rest of that set, so a pair with fewer counted ones than this is below the threshold
+    rest = f"greatest(({num} * n + {den - 1}) div {den}, ({num} * pn + {den - 1}) div {den}) - 1"
+    needed = f"greatest(1, ({num} * (n + pn) + {num + den - 1}) div {num + den} - ({rest}))"
     for turn in range(stars + 1):
-        now = rows.withColumn("root", F.col("id")) if roots is None else rows.join(roots, rows["id"] == roots["node"], "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
+        now = rows.withColumn("root", F.col("id")) if roots is None else rows.join(roots, rows["id"] == roots["node"], "left").select("token", "id", "n", "w", F.coalesce("root", "id").alias("root"))
         if roots is not None:  # buckets of a single component are done
             open_ = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
             now = materialise(now.join(open_, "token"), "jaccard-open")
         if turn < stars:
-            best = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot")))
-            pivots = now.groupBy("token").agg(best.alias("p")).select("token", "p.pivot", "p.pn", "p.proot")
-            pairs = now.join(pivots, "token").where("root <> proot").where(similar).select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"))
+            best = [F.min(F.struct(F.xxhash64("id", F.lit(turn * pivots + i)).alias("o"), F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"))) for i in range(pivots)]
+            chosen = now.groupBy("token").agg(F.array(*best).alias("p"))
+            other = chosen.select("token", F.explode(F.array_distinct(F.transform("p", lambda x: F.struct(x["pivot"].alias("pivot"), x["pn"].alias("pn"), x["proot"].alias("proot"))))).alias("p")).select("token", "p.*")
+            # pivots try what is likely; no pair is lost by that, as the last turn takes all that is left
+            where, least = "root <> proot", f"2 * c >= {needed}"
         else:
             other = now.select("token", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-            pairs = now.join(other, "token").where("root <> proot AND id < pivot").where(similar).select(F.col("id").alias("u"), F.col("pivot").alias("v"))
-        pairs = pairs.distinct()
+            where, least = "root <> proot AND id < pivot", f"c >= {needed}"
+        together = now.join(other, "token").where(where).where(similar).select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"), F.least("n", "pn").alias("n"), F.greatest("n", "pn").alias("pn"), "w")
+        pairs = together.groupBy("u", "v", "n", "pn").agg(F.sum("w").alias("c")).where(least).select("u", "v")
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
