@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -41,6 +42,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean_memory() -> None:
+    """Have the allocator of this worker hand freed arrays back at once: workers share the memory of their executor."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.default_memory_pool().release_unused()
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string or binary column in one array, and len + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _powers, long_column, materialise, mix, new_path, span_hashes, text_bytes
+from .common import _BYTE, _powers, lean_memory, long_column, materialise, mix, new_path, span_hashes, text_bytes
 
 #: Bytes of a block of documents; a longer document has a block of its own.
 BLOCK = 2 << 20
 #: Bytes of text for which one bucket of triggers is made.
-PER_BUCKET = 32 << 20
+PER_BUCKET = 8 << 20
 _PIECE = 1 << 19
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -77,7 +77,8 @@ def phrases(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.
         keep = valid[at]
         at, n = at[keep], n[keep]
         if len(at):
-            out.append((m[at], span_hashes(part, at, at + n + length - 1), at + lo, n))
+            # in the last parse neighbours of one trigger are equal windows, and any number of them is the same phrase
+            out.append((m[at], span_hashes(part, at, at + length + (n - 1) * (k < length)), at + lo, n))
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -97,6 +98,7 @@ def _unpack(blob: bytes, count: int) -> list[np.ndarray]:
 
 def _block_rows(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         task = TaskContext.get().partitionId()
         names = ["block", "doc_ids", "sizes", "data", "gone", "size"]
         number = 0
@@ -154,6 +156,7 @@ def _send(length: int, k: int, buckets: int, first: bool):
     """Rows (bucket, block, blob) of the phrases of a block; of its still open windows where it is not the first parse."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for batch in batches:
             for row in range(batch.num_rows):
                 block, keys, sizes, data, state = (batch.column(c)[row] for c in ("block", "doc_ids", "sizes", "data", "state"))
@@ -188,18 +191,22 @@ def _send(length: int, k: int, buckets: int, first: bool):
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, gone, open): first windows and counts of the phrases of each block that go, and that stay open."""
+    lean_memory()
     blocks, parts = [], []
     for batch in batches:
         for b, bucket, blob in zip(batch.column("block"), batch.column("bucket"), batch.column("blob"), strict=True):
             h, *rest = _unpack(blob.as_py(), 5)
             # a task may hold several buckets: their triggers differ in the bits above the 48 that are sent
-            parts.append((np.cumsum(h), *rest, np.full(len(h), len(blocks)), np.full(len(h), bucket.as_py())))
+            g, doc, start, n = rest
+            parts.append((np.cumsum(h) ^ (bucket.as_py() << 48), g, doc, start.astype(np.uint32), n.astype(np.uint32), np.full(len(h), len(blocks), np.int32)))
             blocks.append(b.as_py())
-    if not parts:
+    if not blocks:
         return
-    h, g, doc, start, n, of, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+    columns = list(zip(*parts, strict=True))
     del parts
-    gone, open_ = _repeated(h ^ (bucket << 48), g, doc)
+    h, g, doc, start, n, of = (np.concatenate(columns.pop(0)) for _ in range(6))
+    gone, open_ = _repeated(h, g, doc)
+    del h, g, doc
     some = np.flatnonzero(gone | open_)
     at = np.searchsorted(of[some], np.arange(len(blocks) + 1))
     for i, block in enumerate(blocks):
@@ -211,17 +218,17 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _finish(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for batch in batches:
             for row in range(batch.num_rows):
                 keys, sizes, data, gone, state = (batch.column(c)[row] for c in ("doc_ids", "sizes", "data", "gone", "state"))
                 keys, sizes = keys.values.to_numpy(), sizes.values.to_numpy()
                 cut = np.r_[0, np.cumsum(sizes)]
                 data = np.frombuffer(data.as_buffer(), np.uint8)
-                covered = np.zeros(len(data) + 1, np.int32)
+                covered = np.zeros(len(data) + 1, np.int32)  # 4 bytes for each byte of a block
                 for blob in [gone.as_py(), *(state.as_py() if state.is_valid else [])]:
                     start, n = _unpack(blob, 2)
-                    np.add.at(covered, start, 1)
-                    np.add.at(covered, start + n + length - 1, -1)
+                    covered += np.bincount(start, minlength=len(covered)).astype(np.int32) - np.bincount(start + n + length - 1, minlength=len(covered)).astype(np.int32)
                 lost = np.cumsum(covered[:-1]) > 0
                 begin = lost.copy()
                 begin[1:] &= ~lost[:-1]
