@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..operators import telemetry as te
 from ..queries import Tables, query
 
-K = cells.json_number(F.col("props"), "$.k")
+def _k() -> Column:
+    """The number under k of the events' properties."""
+    return cells.json_number(F.col("props"), "$.k")
 
 
 @query("SELECT event_type, sum(CAST(json_extract(props, '$.k') AS DOUBLE)) AS total, count(json_extract(props, '$.k')) AS n, CAST(0 AS BIGINT) AS wrong FROM events GROUP BY 1")
 def t1_json_number(t: Tables) -> DataFrame:
     wrong = cells.json_number(F.lit('{"k": "x"}'), "$.k")
-    return t.events.groupBy("event_type").agg(F.sum(K).alias("total"), F.count(K).alias("n"), F.count(wrong).alias("wrong"))
+    return t.events.groupBy("event_type").agg(F.sum(_k()).alias("total"), F.count(_k()).alias("n"), F.count(wrong).alias("wrong"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(value) AS n FROM events GROUP BY 1")
@@ -49,7 +51,7 @@ def t6_flag_frequencies(t: Tables) -> DataFrame:
 
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS reason, count(*) AS n FROM events GROUP BY 1")
 def t7_reason_frequencies(t: Tables) -> DataFrame:
-    return t.events.groupBy(K.cast("long").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return t.events.groupBy(_k().cast("long").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY 1")
