@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +41,13 @@ def misra_gries(items: Iterator[str], counters: int) -> dict[str, int]:
 def frequent_digests(digests: DataFrame, counters: int) -> DataFrame:
     """digest, group_size, keep_id of the digests that hold more than 1 / counters of all rows; at most counters rows."""
 
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = misra_gries((d for b in batches for d in b["digest"]), counters)
-        yield pd.DataFrame({"digest": list(held), "low": pd.Series(list(held.values()), dtype="int64")})
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = misra_gries((d for b in batches for d in b.column("digest").to_pylist()), counters)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["digest", "low"])
 
     candidates = (
         digests.select("digest")
-        .mapInPandas(summarise, "digest string, low long")
+        .mapInArrow(summarise, "digest string, low long")
         .groupBy("digest")
         .agg(F.sum("low").alias("low"))
         .where(F.col("low") > 1)
