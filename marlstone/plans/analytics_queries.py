@@ -62,8 +62,9 @@ def a5_mean(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT o_orderpriority, CAST(o_totalprice AS DECIMAL(18,2)) AS x, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
-    SELECT o_orderpriority, CAST(round_even(CAST(sum(x) FILTER (rn = (n + 1) // 2) + sum(x) FILTER (rn = (n + 2) // 2) AS DECIMAL(38,10)) / 2, 2) AS DOUBLE) AS value_0 FROM r GROUP BY 1""")
+    WITH r AS (SELECT o_orderpriority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS x, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
+         s AS (SELECT o_orderpriority, CAST(sum(x) FILTER (rn = (n + 1) // 2) + sum(x) FILTER (rn = (n + 2) // 2) AS BIGINT) AS cents FROM r GROUP BY 1)
+    SELECT o_orderpriority, (cents // 2 + CASE WHEN cents % 2 = 1 AND cents // 2 % 2 = 1 THEN 1 ELSE 0 END) / 100 AS value_0 FROM s""")
 def a6_median(t: Tables) -> DataFrame:
     return an.aggregate(_orders(t), ORDERS.aggregate({"metrics": [{"fn": "median", "column": "o_totalprice"}], "group_by": ["o_orderpriority"]})).select("o_orderpriority", "value_0")
 
