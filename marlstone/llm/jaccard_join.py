@@ -26,6 +26,10 @@ from .components import connected_components
 
 #: Entries of the list of frequent shingles that each task receives (8 bytes each).
 FREQUENT = 100_000
+#: A set size and a place in the set are one integer: size * _SHIFT + place.
+_SHIFT = 1 << 31
+#: Of the common prefix shingles that a similar pair must have, one in SHARE is asked for, at correspondingly early places.
+SHARE = 4
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -103,7 +107,7 @@ def _prefixes(size: int, num: int, den: int, frequent):
                     fresh[i] = True
             length[~fresh] = 0
             inside = np.arange(len(s)) - first[own] < length[own]
-            tok, who = s[inside], own[inside]
+            tok, who, place = s[inside], own[inside], (np.arange(len(s)) - first[own])[inside]
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tok ^ np.uint64(0x5555555555555555)), dtype=np.uint64)])
             ends = np.cumsum(length)
             group = mix(total[ends] - total[ends - length] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -112,7 +116,7 @@ def _prefixes(size: int, num: int, den: int, frequent):
                 [
                     pa.array(np.concatenate([tok, group[own_rows]]).view(np.int64)),
                     pa.array(np.concatenate([group[who], ident[own_rows]]).view(np.int64)),
-                    pa.array(np.concatenate([n[who], -n[own_rows]]).astype(np.int32)),
+                    pa.array(np.concatenate([n[who] * _SHIFT + place, -n[own_rows] * _SHIFT])),
                 ],
                 ["token", "id", "n"],
             )
@@ -188,15 +192,15 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     order = np.argsort(hot)
     frequent = spark.sparkContext.broadcast((hot[order], top["df"].to_numpy(np.int64)[order]))
 
-    rows = base.mapInArrow(_prefixes(size, num, den, frequent), "token long, id long, n int")
-    met = materialise(rows.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_meeting, "token long, id long, n int"), "jaccard-met")
-    members = met.where("n < 0").select(F.col("token").alias("grp"), F.col("id"), (-F.col("n")).alias("n")).distinct()
-    buckets = met.where("n > 0").select("token", F.col("id").alias("grp"))
+    rows = base.mapInArrow(_prefixes(size, num, den, frequent), "token long, id long, n long")
+    met = materialise(rows.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_meeting, "token long, id long, n long"), "jaccard-met")
+    members = met.where("n < 0").select(F.col("token").alias("grp"), F.col("id"), F.expr(f"-n div {_SHIFT}").alias("n")).distinct()
+    buckets = met.where("n > 0").select("token", F.col("id").alias("grp"), F.expr(f"n % {_SHIFT}").alias("at"))
     # a group of several sets is a bucket too
     crowd = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
     # sets of one group have their whole prefixes in common, which is always enough: w counts for them all
     rows = materialise(
-        buckets.join(members, "grp").select("token", "id", "n", F.lit(1).cast("long").alias("w")).unionByName(members.join(crowd, "grp").select(F.col("grp").alias("token"), "id", "n", F.col("n").cast("long").alias("w"))),
+        buckets.join(members, "grp").select("token", "id", "n", "at", F.lit(1).cast("long").alias("w")).unionByName(members.join(crowd, "grp").select(F.col("grp").alias("token"), "id", "n", F.lit(0).cast("long").alias("at"), F.col("n").alias("w"))),
         "jaccard-buckets",
     )
     reps = sig.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"))
@@ -212,26 +216,34 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     links, roots, tried = None, None, None
     similar = f"{den} * least(n, pn) >= {num} * greatest(n, pn)"
-    # of the common shingles those up to the end of the prefix that ends first are all counted in c; after it there are
-    # no more than the rest of that set, so a pair with fewer counted ones than this is below the threshold
-    rest = f"greatest(({num} * n + {den - 1}) div {den}, ({num} * pn + {den - 1}) div {den}) - 1"
-    needed = f"greatest(1, ({num} * (n + pn) + {num + den - 1}) div {num + den} - ({rest}))"
+    # A similar pair has ``overlap`` common shingles. The first ``enough`` of them, in the order of shingles, have overlap
+    # - enough others after them, so in either set they stand among the first n - overlap + enough. Shared shingles at
+    # later places are no reason to try a pair, and a pair with fewer than ``enough`` at those places is not similar.
+    overlap = f"(({num} * (n + pn) + {num + den - 1}) div {num + den})"
+    most = f"({overlap} - greatest(({num} * n + {den - 1}) div {den}, ({num} * pn + {den - 1}) div {den}) + 1)"
+    enough = f"greatest(1, {most} div {SHARE})"
+    placed = f"at < n - {overlap} + {enough} AND pat < pn - {overlap} + {enough}"
     for turn in range(stars + 1):
-        now = rows.withColumn("root", F.col("id")) if roots is None else rows.join(roots, rows["id"] == roots["node"], "left").select("token", "id", "n", "w", F.coalesce("root", "id").alias("root"))
+        now = rows.withColumn("root", F.col("id")) if roots is None else rows.join(roots, rows["id"] == roots["node"], "left").select("token", "id", "n", "at", "w", F.coalesce("root", "id").alias("root"))
         if roots is not None:  # buckets of a single component are done
             open_ = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
             now = materialise(now.join(open_, "token"), "jaccard-open")
         if turn < stars:
-            best = [F.min(F.struct(F.xxhash64("id", F.lit(turn * pivots + i)).alias("o"), F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"))) for i in range(pivots)]
+            # a set that has the shingle at an early place has few rare ones before it: it lies amid its copies
+            lead = ["at"] if not turn else []
+            best = [
+                F.min(F.struct(*lead, F.xxhash64("root", F.lit(turn * pivots + i)).alias("o"), F.col("at").alias("pat"), F.xxhash64("id", F.lit(i)).alias("h"), F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot")))
+                for i in range(pivots)
+            ]
             chosen = now.groupBy("token").agg(F.array(*best).alias("p"))
-            other = chosen.select("token", F.explode(F.array_distinct(F.transform("p", lambda x: F.struct(x["pivot"].alias("pivot"), x["pn"].alias("pn"), x["proot"].alias("proot"))))).alias("p")).select("token", "p.*")
-            # pivots try what is likely; no pair is lost by that, as the last turn takes all that is left
-            where, least = "root <> proot", f"2 * c >= {needed}"
+            names = ("pivot", "pn", "pat", "proot")
+            other = chosen.select("token", F.explode(F.array_distinct(F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in names])))).alias("p")).select("token", "p.*")
+            where = "root <> proot"  # pivots try what is likely; no pair is lost by that, as the last turn takes all that is left
         else:
-            other = now.select("token", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-            where, least = "root <> proot AND id < pivot", f"c >= {needed}"
-        together = now.join(other, "token").where(where).where(similar).select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"), F.least("n", "pn").alias("n"), F.greatest("n", "pn").alias("pn"), "w")
-        pairs = together.groupBy("u", "v", "n", "pn").agg(F.sum("w").alias("c")).where(least).select("u", "v")
+            other = now.select("token", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("root").alias("proot"))
+            where = "root <> proot AND id < pivot"
+        together = now.join(other, "token").where(where).where(similar).where(placed).select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"), F.least("n", "pn").alias("n"), F.greatest("n", "pn").alias("pn"), "w")
+        pairs = together.groupBy("u", "v", "n", "pn").agg(F.sum("w").alias("c")).where(f"c >= {enough}").select("u", "v")
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
