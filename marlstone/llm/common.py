@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What empties the memories that a worker keeps between tasks.
+FORGET: list[Callable[[], None]] = []
+
+
 def lean_memory() -> None:
-    """Have the allocator of this worker hand freed arrays back at once: workers share the memory of their executor."""
+    """Have the allocator of this worker hand freed arrays back at once: workers share the memory of their executor.
+
+    A worker that other tasks used before gives up what those kept.
+    """
+    for empty in FORGET:
+        empty()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):
         libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
     pa.default_memory_pool().release_unused()
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_column, materialise, mix, shingles, slices, words
+from .common import lean_memory, long_column, materialise, mix, shingles, slices, words
 from .components import connected_components
 
 #: Entries of the list of frequent shingles that each task receives (8 bytes each).
@@ -52,6 +52,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int):
 
 def _profile(size: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         names = ["kind", "a", "b", "c"]
         seen: set[int] = set()
         pool, pooled = [], 0
@@ -89,6 +90,7 @@ def _profile(size: int, keep: int):
 
 def _prefixes(size: int, num: int, den: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         hot, rank = frequent.value
         seen: set[int] = set()
         for _, s, own, n, ident in _sets(batches, size):

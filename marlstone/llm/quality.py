@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, span_hashes, words
+from .common import lean_memory, mix, slices, span_hashes, words
 
 #: Labelled rows that training takes at most, chosen by the hash of their ids.
 SAMPLE = 20_000
@@ -211,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
     rows = base.join(F.broadcast(taught), "_id")  # at most ``sample`` rows of 12 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for batch in batches:
             for part, data, off in slices(batch):
                 x = statistics(data, off)
@@ -233,6 +234,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(trees)  # a few ten kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for batch in batches:
             for part, data, off in slices(batch):
                 p = model.value.scores(statistics(data, off))
@@ -249,6 +251,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for batch in batches:
             for part, data, off in slices(batch):
                 keep = trees.value.scores(statistics(data, off)) >= 0.5
