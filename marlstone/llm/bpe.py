@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import FORGET
+
 #: Entries of the memories of a worker; a full memory is emptied, which costs time and changes no result.
 MEMORY = 300_000
 
@@ -252,8 +254,9 @@ def utf8_step(state: int, byte: int) -> int:
 class StreamDecoder:
     """Text of a stream of ids; characters cut by a token end wait for the next ids."""
 
-    def __init__(self, table: list[bytes], moves: dict[tuple[int, int], int] | None = None):
-        self.table, self.moves = table, {} if moves is None else moves
+    def __init__(self, table: list[bytes], moves: dict[tuple[int, int], int] | None = None, whole: frozenset[int] = frozenset()):
+        """whole: ids whose bytes are characters without a cut one; a run of them keeps the state between characters."""
+        self.table, self.moves, self.whole = table, {} if moves is None else moves, whole
         self.state, self.held = _ACCEPT, b""
 
     def move(self, state: int, token: int) -> int:
@@ -266,6 +269,8 @@ class StreamDecoder:
 
     def feed(self, ids: list[int]) -> bytes:
         """Bytes of all characters that are whole by now. Raises ValueError for bytes that are not UTF-8."""
+        if self.state == _ACCEPT and self.whole.issuperset(ids):
+            return b"".join(map(self.table.__getitem__, ids))
         parts, state, whole = [self.held], self.state, 0
         moves = self.moves
         for i, token in enumerate(ids, 1):
@@ -331,6 +336,11 @@ class Tokenizer:
     def known(self) -> _Memory:
         return _Memory(Transducer(self.ranks).encode)
 
+    @cached_property
+    def whole(self) -> frozenset[int]:
+        """Ids whose bytes are UTF-8 by themselves."""
+        return frozenset(i for i, b in enumerate(self.table) if b == b.decode(errors="ignore").encode())
+
     def encode(self, text: str) -> list[int]:
         known = self.known
         out = list(chain.from_iterable(map(known.__getitem__, self.find(text))))
@@ -338,7 +348,7 @@ class Tokenizer:
         return out
 
     def decoder(self) -> StreamDecoder:
-        return StreamDecoder(self.table, self.moves)
+        return StreamDecoder(self.table, self.moves, self.whole)
 
 
 @lru_cache(maxsize=2)
@@ -348,6 +358,9 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(load_ranks(path), pattern)
 
 
+FORGET.append(tokenizer.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, ids of every row of docs; null and empty texts have no ids. Repeated rows stay; other columns are not read."""
 
@@ -370,7 +383,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(tokens: DataFrame, path: str, pattern: str, block: int = 4096, digests: bool = False) -> DataFrame:
+def decode(tokens: DataFrame, path: str, pattern: str, block: int = 1024, digests: bool = False) -> DataFrame:
     """doc_id, ids, decoded of every row of tokens (doc_id, ids): the text, read in blocks of ids. Null ids decode to "".
 
     With digests: doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256, ids instead, in the
