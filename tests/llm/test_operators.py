@@ -251,6 +251,19 @@ def test_leaks(spark):
         assert common_subsequence(a, b) == t[-1][-1]
 
 
+def test_leaks_full_block(spark):
+    """A full block has more items than the basis has vectors; paraphrases are found all the same."""
+    from marlstone.llm.decontaminate import BLOCK, find_leaks
+
+    rnd = random.Random(5)
+    items = [[f"w{rnd.randrange(250)}" for _ in range(25)] + ["."] + [f"w{rnd.randrange(250)}" for _ in range(4)] + ["."] for _ in range(BLOCK)]
+    kept = [[w if k % 13 < 7 or k > 25 else f"other{rnd.randrange(10**6)}" for k, w in enumerate(x)] for x in items]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = [(i, " ".join([f"f{rnd.randrange(10**6)}" for _ in range(24)] + x + [f"f{rnd.randrange(10**6)}" for _ in range(24)])) for i, x in enumerate(kept)]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(BLOCK)}
+
+
 def test_jaccard(spark, odd):
     from marlstone.llm.jaccard_join import drop_near_copies, jaccard_classes
 
@@ -311,3 +324,20 @@ def test_sql(spark):
         assert compare(QUERIES[name](spark, FOLDER), con, sql) == "", name
     assert set(ORACLES) <= set(QUERIES)
     assert F is not None
+
+
+def test_leaks_common_short_and_long(spark):
+    """Items are found in passages that many documents share, in the midst of longer texts, and across many windows."""
+    from marlstone.llm.decontaminate import find_leaks
+
+    rnd = random.Random(9)
+
+    def foreign(n):
+        return " ".join(f"f{rnd.randrange(10**7)}" for _ in range(n))
+
+    common, short, long_ = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("c", 15), ("s", 3), ("l", 600)))
+    bench = spark.createDataFrame([(1, common), (2, short), (3, long_)], "item_id long, text string")
+    texts = [foreign(40 + i % 16) + (f" {common} " if i % 3 else " ") + foreign(60) for i in range(60)]
+    texts += [foreign(37) + f" {short} " + foreign(70), foreign(30) + f" {long_} " + foreign(30), foreign(9) + " s0 x s1 y s2 " + foreign(70)]
+    got = find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 1) for i in range(60) if i % 3} | {(60, 2), (61, 3)}
