@@ -1,14 +1,21 @@
 """Removal of repeated substrings by prefix-free parsing.
 
-A rolling hash over short strings picks the trigger of every 50-byte window: the smallest hash in it. Windows with one
-trigger, side by side, make a phrase; equal text is parsed into equal phrases wherever it stands. The dictionary of
-phrases is sorted by trigger and phrase in each bucket of triggers, which brings equal phrases, and phrases that may
-share a window, next to each other: the part of the corpus order of suffixes, cut at 50 bytes, that the removal needs.
-The parse brings the answer back to the documents: a phrase that a smaller document has too goes as a whole; a first
-occurrence whose trigger stands in other phrases too is parsed again with longer triggers, and at last each of its
-windows is compared itself. Unique text leaves after the first of the three parses.
-
-Documents are kept in blocks of some MB; what a block sends to a bucket is one row of packed arrays.
+1. Parse. A rolling hash over strings of 16 bytes makes the triggers: in each 50-byte window the (leftmost) least hash.
+   The windows of one trigger, side by side, make a phrase; equal text is parsed into equal phrases wherever it stands.
+   No window is without a trigger, which triggers by a remainder do not assure.
+2. Dictionary. Equal phrases are sorted next to each other; one entry stays of each, with the smallest document that has
+   it. What repeats as a whole is done here, so only the distinct text goes on, and of that only entries whose trigger
+   other entries have too.
+3. Suffix arrays. A window is the end of what stands before a trigger and the begin of what follows it. What follows the
+   trigger is sorted with longest common prefixes: the suffix array of the parse, cut at 50 bytes, as suffixes of the
+   parse are the suffixes of the corpus that begin at triggers. What stands before it is sorted from its end: the order
+   of the dictionary's proper suffixes that end at a trigger. Windows are equal exactly if both their runs are equal, so
+   the two orders combined are the corpus order of all windows without a comparison of windows.
+4. The parse brings the answers back to the documents.
+
+A trigger that very many phrases share (found from an even sample, so results do not depend on it) is no key for its
+phrases: their windows are parsed again with longer triggers, at last with the window itself, of which a block of
+documents sends one at most. Texts lie in compressed blocks; what a block sends to a bucket is one row of packed arrays.
 """
 
 from __future__ import annotations
@@ -23,16 +30,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _powers, lean_memory, long_column, materialise, mix, new_path, span_hashes, text_bytes
+from .common import _BYTE, _powers, lean_memory, long_column, materialise, mix, span_hashes, text_bytes
 
 #: Bytes of a block of documents; a longer document has a block of its own.
 BLOCK = 2 << 20
-#: Bytes of text for which one bucket of triggers is made.
-PER_BUCKET = 8 << 20
+#: Bytes of text for which one bucket of triggers is made, and for which one partition of blocks is made.
+PER_BUCKET, PER_PARTITION = 8 << 20, 64 << 20
+#: Phrases of one trigger, of all phrases, from which on it is too common; at most this many triggers can be.
+COMMON, MOST_COMMON = 100_000, 1 << 20
+#: Of SAMPLE pieces of this many bytes the triggers of one are counted.
+SAMPLE_PIECE, SAMPLE = 1 << 16, 32
+#: Dictionary entries whose suffixes are sorted at once; the entries of one trigger stay together.
+ENTRIES = 60_000
 _PIECE = 1 << 19
+_PLACE = np.uint64((1 << 20) - 1)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_MASK = np.uint64((1 << 48) - 1)
 #: Doc id that null stands for: after all others.
 _LAST = np.iinfo(np.int64).max
 
@@ -55,165 +68,303 @@ def _smallest(h: np.ndarray, w: int) -> np.ndarray:
     return h
 
 
-def phrases(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Trigger hash, phrase hash, first window and number of windows of each phrase of the texts data[off[i]:off[i+1]].
+def phrases(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Of each phrase of the texts data[off[i]:off[i+1]]: trigger, phrase hash, first window, windows, bytes before the trigger.
 
-    Long data is parsed in pieces; a phrase cut by the end of a piece is two, which costs a later parse and no result.
+    Triggers are 63-bit hashes. Long data is parsed in pieces; a phrase cut by the end of a piece is two, which costs no result.
     """
     out = []
     ends = off[1:]
     for lo in range(0, max(len(data) - length + 1, 0), _PIECE):
         part = data[lo : lo + _PIECE + length - 1]
-        m = _smallest(_rolling(part, k), length - k + 1)
-        first = np.arange(lo, lo + len(m))
+        roll = _rolling(part, k)
+        place = (_smallest(roll & ~_PLACE | np.arange(len(roll), dtype=np.uint64), length - k + 1) & _PLACE).astype(np.int64)
+        first = np.arange(lo, lo + len(place))
         valid = ends[np.searchsorted(ends, first, side="right").clip(max=len(ends) - 1)] - first >= length
-        # texts shorter than a window leave no valid start between their neighbours' ones, so starts mark changes too
-        change = np.ones(len(m), bool)
-        change[1:] = (m[1:] != m[:-1]) | (valid[1:] != valid[:-1])
-        begin = off[(off >= lo) & (off < lo + len(m))] - lo
-        change[begin] = True
+        change = np.ones(len(place), bool)
+        change[1:] = (place[1:] != place[:-1]) | (valid[1:] != valid[:-1])
+        change[off[(off >= lo) & (off < lo + len(place))] - lo] = True
         at = np.flatnonzero(change)
-        n = np.diff(np.r_[at, len(m)])
+        n = np.diff(np.r_[at, len(place)])
         keep = valid[at]
         at, n = at[keep], n[keep]
         if len(at):
-            # in the last parse neighbours of one trigger are equal windows, and any number of them is the same phrase
-            out.append((m[at], span_hashes(part, at, at + length + (n - 1) * (k < length)), at + lo, n))
+            trigger = mix(roll[place[at]] + np.uint64(k)) >> np.uint64(1)
+            out.append((trigger, span_hashes(part, at, at + length + n - 1), at + lo, n, place[at] - at))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays of one length, by byte planes, compressed; constant planes take no room."""
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... of size[i] numbers each, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def parse(data: np.ndarray, off: np.ndarray, length: int, triggers: tuple[int, ...], common: np.ndarray) -> list[np.ndarray]:
+    """Phrases of the texts, as of phrases(), where those of common triggers (sorted) are parsed with longer ones instead."""
+    done = []
+    got = phrases(data, off, length, triggers[0])
+    for k in triggers[1:]:
+        if not len(common):
+            break
+        at = np.minimum(np.searchsorted(common, got[0]), len(common) - 1)
+        hot = common[at] == got[0]
+        done.append([x[~hot] for x in got])
+        start, n = got[2][hot], got[3][hot]
+        size = n + length - 1
+        cut = np.r_[0, np.cumsum(size)]
+        h, g, first, n, left = phrases(data[_spread(start, size)], cut, length, k)
+        first += (start - cut[:-1])[np.searchsorted(cut, first, side="right") - 1] if len(first) else 0
+        got = h, g, first, n, left
+    done.append(got)
+    return [np.concatenate(x) for x in zip(*done, strict=True)]
+
+
+def _pack(*arrays: np.ndarray, text: bytes = b"") -> bytes:
+    """Integer arrays of one length, by byte planes, and a text; compressed. Constant planes take no room."""
     planes = [np.frombuffer(np.ascontiguousarray(x.astype(np.int64)).tobytes(), np.uint8).reshape(-1, 8).T.tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(arrays[0]).to_bytes(8, "little"), *planes, text]))
 
 
 def _unpack(blob: bytes, count: int) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(planes) // (8 * count)
-    return [np.ascontiguousarray(p.reshape(8, n).T).reshape(-1).view(np.int64) for p in planes.reshape(count, 8 * n)] if n else [np.zeros(0, np.int64)] * count
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(raw, np.uint8)[8:]
+    arrays = [np.ascontiguousarray(p.reshape(8, n).T).reshape(-1).view(np.int64) for p in planes[: 8 * n * count].reshape(count, 8 * n)] if n else [np.zeros(0, np.int64)] * count
+    return [*arrays, planes[8 * n * count :]]
 
 
-def _block_rows(length: int, k: int):
+def _block_rows(length: int, triggers: tuple[int, ...], size: int, sample: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
-        task = TaskContext.get().partitionId()
-        names = ["block", "doc_ids", "sizes", "data", "gone", "size"]
-        number = 0
+        task, number = TaskContext.get().partitionId(), 0
+        compress = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             data, off = text_bytes(batch.column(1))
             keys, null = long_column(batch.column(0))
             keys = np.where(null, _LAST, keys)
             lo = 0
             while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK, side="right")) - 1)
+                hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, side="right")) - 1)
                 own, cut = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                # phrases that a smaller document of the same block has go at once: what is frequent is sent once a block
-                h, g, start, n = phrases(own, cut, length, k)
-                doc = keys[lo + np.searchsorted(cut, start, side="right") - 1]
-                gone = _repeated(h, g, doc)[0]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([task << 32 | number], pa.int64()),
-                        pa.array([keys[lo:hi]], pa.list_(pa.int64())),
-                        pa.array([np.diff(cut)], pa.list_(pa.int64())),
-                        pa.array([own.tobytes()], pa.binary()),
-                        pa.array([_pack(start[gone], n[gone])], pa.binary()),
-                        pa.array([len(own)], pa.int64()),
-                    ],
-                    names,
-                )
+                seen = []
+                for a in range(number % sample * SAMPLE_PIECE, len(own), sample * SAMPLE_PIECE):
+                    piece = own[a : a + SAMPLE_PIECE]
+                    for k in triggers[:-1]:
+                        h, g, *_ = phrases(piece, np.r_[0, (cut - a)[(cut > a) & (cut < a + len(piece))], len(piece)], length, k)
+                        seen.append(h[np.unique(g, return_index=True)[1]])
+                columns = [
+                    pa.array([task << 32 | number], pa.int64()), pa.array([keys[lo:hi]], pa.list_(pa.int64())), pa.array([np.diff(cut)], pa.list_(pa.int64())),
+                    pa.array([compress(own.tobytes())], pa.binary()), pa.array([np.concatenate(seen).view(np.int64) if seen else []], pa.list_(pa.int64())), pa.array([len(own)], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "sizes", "data", "seen", "size"])
                 number += 1
                 lo = hi
 
     return run
 
 
-def _repeated(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of phrases: whether a smaller document has the same one, and whether another document has another one of its trigger.
+def _texts(keys, sizes, data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Doc ids, offsets and bytes of a block."""
+    return keys.values.to_numpy(), np.r_[0, np.cumsum(sizes.values.to_numpy())].astype(np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_py()), np.uint8)
 
-    Sorts by trigger and phrase, so that equal phrases and phrases of one trigger are neighbours.
-    """
-    gone, open_ = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    if not len(h):
-        return gone, open_
-    order = np.lexsort((doc, g, h))
-    h, g, doc = h[order], g[order], doc[order]
-    new_h = np.r_[True, h[1:] != h[:-1]]
-    new_g = new_h | np.r_[True, g[1:] != g[:-1]]
-    at_h, at_g = np.flatnonzero(new_h), np.flatnonzero(new_g)
-    of_h, of_g = np.cumsum(new_h) - 1, np.cumsum(new_g) - 1
-    gone[order] = doc > doc[at_g][of_g]
-    several = np.add.reduceat(new_g.astype(np.int64), at_h) > 1
-    several &= np.minimum.reduceat(doc, at_h) != np.maximum.reduceat(doc, at_h)
-    open_[order] = several[of_h]
-    return gone, open_ & ~gone
 
+#: Columns that a phrase has in a blob: trigger (differences), doc, start, windows, repetitions, bytes before the trigger,
+#: and 1 where its text follows (0: that of the phrase before).
+_SENT = 7
 
-def _send(length: int, k: int, buckets: int, first: bool):
-    """Rows (bucket, block, blob) of the phrases of a block; of its still open windows where it is not the first parse."""
+
+def _send(length: int, triggers: tuple[int, ...], buckets: int, common):
+    """Rows (bucket, block, kind, blob): the phrases of a block (kind 0), and what of it goes for the block's own sake (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
         for batch in batches:
             for row in range(batch.num_rows):
-                block, keys, sizes, data, state = (batch.column(c)[row] for c in ("block", "doc_ids", "sizes", "data", "state"))
-                keys, cut = keys.values.to_numpy(), np.r_[0, np.cumsum(sizes.values.to_numpy())]
-                data = np.frombuffer(data.as_buffer(), np.uint8)
-                if first:
-                    h, g, start, n = phrases(data, cut, length, k)
-                else:
-                    if not state.is_valid:
-                        continue
-                    s, w = (np.concatenate(x) for x in zip(*(_unpack(b, 2) for b in state.as_py()), strict=True))
-                    size = w + length - 1
-                    at = np.r_[0, np.cumsum(size)]
-                    from_ = np.repeat(s - at[:-1], size) + np.arange(at[-1])
-                    h, g, start, n = phrases(data[from_], at, length, k)
-                    start += (s - at[:-1])[np.searchsorted(at, start, side="right") - 1]
-                doc = keys[np.searchsorted(cut, start, side="right") - 1]
-                if first:
-                    own = ~_repeated(h, g, doc)[0]  # the others are known in the block
-                    h, g, start, n, doc = h[own], g[own], start[own], n[own], doc[own]
-                bucket = (h >> np.uint64(48)).astype(np.int64) * buckets >> 16
-                h, g = (h & _MASK).astype(np.int64), (g & _MASK).astype(np.int64)
-                order = np.lexsort((h, bucket))
-                bucket, h, g, start, n, doc = (x[order] for x in (bucket, h, g, start, n, doc))
+                keys, cut, data = _texts(*(batch.column(c)[row] for c in ("doc_ids", "sizes", "data")))
+                h, g, start, n, left = parse(data, cut, length, triggers, common.value)
+                order = np.argsort(start)
+                h, g, start, n, left = (x[order] for x in (h, g, start, n, left))
+                doc_at = np.searchsorted(cut, start, side="right") - 1
+                # neighbours that are one phrase again and again, as in periods, are one row
+                same = np.zeros(len(h), bool)
+                same[1:] = (g[1:] == g[:-1]) & (h[1:] == h[:-1]) & (n[1:] == n[:-1]) & (start[1:] == start[:-1] + n[:-1]) & (doc_at[1:] == doc_at[:-1])
+                at = np.flatnonzero(~same)
+                reps = np.diff(np.r_[at, len(h)])
+                h, g, start, n, left, doc = h[at], g[at], start[at], n[at], left[at], keys[doc_at[at]]
+                # what a smaller document of the same block has goes at once: a frequent phrase is sent once a block
+                order = np.lexsort((doc, g, h))
+                h, g, start, n, left, doc, reps = (x[order] for x in (h, g, start, n, left, doc, reps))
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+                gone = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else new
+                bucket = (h >> np.uint64(31)).astype(np.int64) * buckets >> 32
+                out = [(int(bucket[0]), 1, _pack(start[gone], (n * reps)[gone]))] if gone.any() else []
+                h, start, n, left, doc, reps, new, bucket = (x[~gone] for x in (h, start, n, left, doc, reps, new, bucket))
                 at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-                to = np.r_[at[1:], len(bucket)]
-                blobs = [_pack(np.diff(h[a:b], prepend=0), g[a:b], doc[a:b], start[a:b], n[a:b]) for a, b in zip(at, to, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int64()), pa.array(np.full(len(at), block.as_py()), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "blob"])
+                for a, b in zip(at, np.r_[at[1:], len(bucket)], strict=True):
+                    own = new[a:b]
+                    text = data[_spread(start[a:b][own], n[a:b][own] + length - 1)]
+                    out.append((int(bucket[a]), 0, _pack(np.diff(h[a:b].astype(np.int64), prepend=0), doc[a:b], start[a:b], n[a:b], reps[a:b], left[a:b], own, text=text.tobytes())))
+                block = batch.column("block")[row].as_py()
+                columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.int8()), pa.array([x[2] for x in out], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "kind", "blob"])
 
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, gone, open): first windows and counts of the phrases of each block that go, and that stay open."""
-    lean_memory()
-    blocks, parts = [], []
-    for batch in batches:
-        for b, bucket, blob in zip(batch.column("block"), batch.column("bucket"), batch.column("blob"), strict=True):
-            h, *rest = _unpack(blob.as_py(), 5)
-            # a task may hold several buckets: their triggers differ in the bits above the 48 that are sent
-            g, doc, start, n = rest
-            parts.append((np.cumsum(h) ^ (bucket.as_py() << 48), g, doc, start.astype(np.uint32), n.astype(np.uint32), np.full(len(h), len(blocks), np.int32)))
-            blocks.append(b.as_py())
-    if not blocks:
-        return
-    columns = list(zip(*parts, strict=True))
+def _orders(text: np.ndarray, trigger: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, depth: int, back: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the entries by trigger and the text from it on (or, back, before it, read backwards), and the length of
+    the common prefix with the one before in this order (-1 for another trigger). Texts are cut at depth and at their ends.
+    """
+    step = np.arange(depth)
+    place = at[:, None] - 1 - step if back else at[:, None] + step
+    inside = place >= begin[:, None] if back else place < end[:, None]
+    chars = np.zeros((len(at), -(-depth // 8) * 8), np.uint8)
+    chars[:, :depth] = np.where(inside, text[np.where(inside, place, 0)], 0)
+    keys = chars.view(">u8").astype(np.uint64)
+    order = np.lexsort((*keys.T[::-1], trigger))
+    chars, trigger = chars[order], trigger[order]
+    common = np.full(len(at), -1)
+    if len(at) > 1:
+        differs = chars[1:] != chars[:-1]
+        first = np.where(differs.any(axis=1), differs.argmax(axis=1), depth)
+        common[1:] = np.where(trigger[1:] == trigger[:-1], first, -1)
+    return order, common
+
+
+def _seen_before(text: np.ndarray, trigger: np.ndarray, doc: np.ndarray, begin: np.ndarray, n: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
+    """For each window of each dictionary entry: whether an entry of a smaller document has the same window.
+
+    A window begins o bytes before its trigger. Two are equal if their entries stand in one run of the order of what
+    follows the trigger, with length - o common bytes, and in one run of the order of what stands before, with o.
+    """
+    end = begin + n + length - 1
+    first = np.cumsum(n) - n
+    lost = np.zeros(int(n.sum()), bool)
+    after, after_common = _orders(text, trigger, begin, end, begin + left, length, False)
+    before, before_common = _orders(text, trigger, begin, end, begin + left, int(left.max()) if len(left) else 0, True)
+    run_after, run_before = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+    alone = np.empty(len(n), bool)
+    for o in range(int(left.max()) + 1 if len(left) else 0):
+        breaks = after_common < length - o
+        run_after[after] = np.cumsum(breaks)
+        alone[after] = breaks & np.r_[breaks[1:], True]
+        have = np.flatnonzero((left >= o) & (left - o < n) & ~alone)
+        if not len(have):
+            continue
+        run_before[before] = np.cumsum(before_common < o)
+        key = run_after[have] << 32 | run_before[have]
+        order = np.argsort(key, kind="stable")
+        have, key = have[order], key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        least = np.minimum.reduceat(doc[have], np.flatnonzero(new))[np.cumsum(new) - 1]
+        have = have[doc[have] > least]
+        lost[first[have] + left[have] - o] = True
+    return lost
+
+
+def _bucket_answers(blobs: list[tuple[int, bytes]], length: int, entries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the blob, first window and windows of all that goes of the phrases of one bucket."""
+    parts, base = [], 0
+    texts = []
+    for i, (_, blob) in enumerate(blobs):
+        h, doc, start, n, reps, left, new, text = _unpack(blob, _SENT)
+        new = new.astype(bool)
+        size = n[new] + length - 1
+        begin = np.cumsum(size) - size
+        g = np.zeros(len(size), np.uint64)
+        lo = 0
+        while lo < len(size):  # in pieces, as hashing takes room
+            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + _PIECE, side="right")) - 1)
+            piece = text[begin[lo] : begin[hi - 1] + size[hi - 1]]
+            g[lo:hi] = span_hashes(piece, begin[lo:hi] - begin[lo], begin[lo:hi] - begin[lo] + size[lo:hi])
+            lo = hi
+        own = np.cumsum(new) - 1
+        parts.append((np.cumsum(h), g[own], doc, start, n, reps, left, begin[own] + base, np.full(len(h), i, np.int32)))
+        texts.append(text)
+        base += len(text)
+    h, g, doc, start, n, reps, left, begin, of = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
-    h, g, doc, start, n, of = (np.concatenate(columns.pop(0)) for _ in range(6))
-    gone, open_ = _repeated(h, g, doc)
-    del h, g, doc
-    some = np.flatnonzero(gone | open_)
-    at = np.searchsorted(of[some], np.arange(len(blocks) + 1))
-    for i, block in enumerate(blocks):
-        own = some[at[i] : at[i + 1]]
-        if len(own):
-            a, b = own[gone[own]], own[open_[own]]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_pack(start[a], n[a])], pa.binary()), pa.array([_pack(start[b], n[b]) if len(b) else None], pa.binary())], ["block", "gone", "open"])
+    text = np.concatenate(texts)
+    del texts
+    order = np.lexsort((doc, g, h))
+    h, g, doc, start, n, reps, left, begin, of = (x[order] for x in (h, g, doc, start, n, reps, left, begin, of))
+    new_h = np.r_[True, h[1:] != h[:-1]]
+    new_g = new_h | np.r_[True, g[1:] != g[:-1]]
+    entry, at = np.cumsum(new_g) - 1, np.flatnonzero(new_g)
+    gone = doc > doc[at][entry]
+    out = [(of[gone], start[gone], (n * reps)[gone])]
+    # dictionary entries whose trigger other entries of other documents have
+    at_h, of_h = np.flatnonzero(new_h), np.cumsum(new_h) - 1
+    several = (np.add.reduceat(new_g.astype(np.int64), at_h) > 1) & (np.minimum.reduceat(doc, at_h) != np.maximum.reduceat(doc, at_h))
+    dictionary = at[several[of_h[at]]]
+    del new_h, g
+    trigger = h[dictionary]
+    lo = 0
+    while lo < len(dictionary):
+        hi = int(np.searchsorted(trigger, trigger[min(lo + entries, len(trigger)) - 1], side="right"))
+        own = dictionary[lo:hi]
+        lost = _seen_before(text, h[own], doc[own], begin[own], n[own], left[own], length)
+        # runs of lost windows, for each place of the entry in its document and each repetition
+        first = np.cumsum(n[own]) - n[own]
+        run = lost & ~np.r_[False, lost[:-1]]
+        run[first] |= lost[first]
+        stop = lost & ~np.r_[lost[1:], False]
+        stop[first[1:] - 1] |= lost[first[1:] - 1]
+        a, b = np.flatnonzero(run), np.flatnonzero(stop) + 1
+        whose = np.searchsorted(first, a, side="right") - 1
+        runs = np.bincount(whose, minlength=len(own))
+        at_run = np.cumsum(runs) - runs
+        # the rows of the entries at hand stand together: all are ordered by trigger
+        span = np.arange(own[0], at[entry[own[-1]] + 1] if entry[own[-1]] + 1 < len(at) else len(h))
+        span = span[several[of_h[span]] & ~gone[span]]
+        mine = np.searchsorted(own, at[entry[span]])
+        rows, mine = span[runs[mine] > 0], mine[runs[mine] > 0]
+        r = np.repeat(rows, runs[mine])
+        w = _spread(at_run[mine], runs[mine])
+        off, size = a[w] - first[whose[w]], b[w] - a[w]
+        whole = size == n[r]
+        times = np.where(whole, 1, reps[r])
+        size = np.where(whole, n[r] * reps[r], size)
+        turn = _spread(np.zeros(len(times), np.int64), times)
+        r, off, size = np.repeat(r, times), np.repeat(off, times), np.repeat(size, times)
+        out.append((of[r], start[r] + off + turn * n[r], size))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _answer(length: int, entries: int):
+    """Rows (block, gone) from rows sorted by bucket: first windows and counts of what goes of each block."""
+
+    def finish(blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        if not blobs:
+            return
+        of, start, n = _bucket_answers(blobs, length, entries)
+        order = np.argsort(of, kind="stable")
+        of, start, n = of[order], start[order], n[order]
+        at = np.searchsorted(of, np.arange(len(blobs) + 1))
+        some = [i for i in range(len(blobs)) if at[i] < at[i + 1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([blobs[i][0] for i in some], pa.int64()), pa.array([_pack(start[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for i in some], pa.binary())], ["block", "gone"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        now, blobs = None, []
+        for batch in batches:
+            for bucket, block, kind, blob in zip(*(batch.column(c) for c in ("bucket", "block", "kind", "blob")), strict=True):
+                if kind.as_py():
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([blob.as_py()], pa.binary())], ["block", "gone"])
+                    continue
+                if bucket.as_py() != now:
+                    yield from finish(blobs)
+                    now, blobs = bucket.as_py(), []
+                blobs.append((block.as_py(), blob.as_py()))
+        yield from finish(blobs)
+
+    return run
 
 
 def _finish(length: int):
@@ -221,61 +372,53 @@ def _finish(length: int):
         lean_memory()
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, sizes, data, gone, state = (batch.column(c)[row] for c in ("doc_ids", "sizes", "data", "gone", "state"))
-                keys, sizes = keys.values.to_numpy(), sizes.values.to_numpy()
-                cut = np.r_[0, np.cumsum(sizes)]
-                data = np.frombuffer(data.as_buffer(), np.uint8)
-                covered = np.zeros(len(data) + 1, np.int32)  # 4 bytes for each byte of a block
-                for blob in [gone.as_py(), *(state.as_py() if state.is_valid else [])]:
-                    start, n = _unpack(blob, 2)
-                    covered += np.bincount(start, minlength=len(covered)).astype(np.int32) - np.bincount(start + n + length - 1, minlength=len(covered)).astype(np.int32)
-                lost = np.cumsum(covered[:-1]) > 0
+                keys, cut, data = _texts(*(batch.column(c)[row] for c in ("doc_ids", "sizes", "data")))
+                state = batch.column("state")[row]
+                sizes = np.diff(cut)
+                edge = np.zeros(len(data) + 1, np.int64)
+                if state.is_valid:
+                    start, n = (np.concatenate(x) for x in list(zip(*(_unpack(b, 2) for b in state.as_py()), strict=True))[:2])
+                    edge += np.bincount(start, minlength=len(edge))
+                    edge -= np.bincount(start + n + length - 1, minlength=len(edge))
+                lost = np.cumsum(edge[:-1]) > 0
                 begin = lost.copy()
                 begin[1:] &= ~lost[:-1]
                 begin[cut[:-1][sizes > 0]] |= lost[cut[:-1][sizes > 0]]
                 total, spans = (np.r_[0, np.cumsum(x)] for x in (lost, begin))
                 removed, spans = total[cut[1:]] - total[cut[:-1]], spans[cut[1:]] - spans[cut[:-1]]
-                kept = [data[a:b][~lost[a:b]] if r else data[a:b] for a, b, r in zip(cut[:-1], cut[1:], removed, strict=True)]
-                digest = [hashlib.sha256(x.tobytes()).hexdigest() for x in kept]
+                kept = [(data[a:b][~lost[a:b]] if r else data[a:b]).tobytes() for a, b, r in zip(cut[:-1], cut[1:], removed, strict=True)]
+                digest = [hashlib.sha256(x).hexdigest() for x in kept]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, mask=keys == _LAST), pa.array(sizes), pa.array(removed), pa.array(spans), pa.array(digest, pa.string()), pa.array([x.tobytes() for x in kept], pa.binary())],
+                    [pa.array(keys, mask=keys == _LAST), pa.array(sizes), pa.array(removed), pa.array(spans), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 50, triggers: tuple[int, ...] = (16, 40)) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 50, triggers: tuple[int, ...] = (16, 40), common: int = COMMON, block: int = BLOCK, sample: int = SAMPLE, entries: int = ENTRIES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of every row of docs.
 
     Each byte goes that is covered by a string of ``length`` bytes which also starts in a document with a smaller key;
     strings are judged on the input and never cross documents. Null texts are empty; texts shorter than ``length`` stay
     whole. Rows that share a key do not remove from each other. Null keys come after all others. Other columns are not
-    read; an empty table gives no rows. kept may end a character: it is bytes. Phrases are equal when 96 bits of two
-    hashes are, windows of the last parse likewise.
+    read; an empty table gives no rows. kept may end a character: it is bytes. Whole phrases are equal when 126 bits of
+    two hashes are; windows are compared byte by byte. ``triggers`` are the lengths of rolled strings, the next for
+    triggers that ``common`` phrases share; the last is the window itself. ``block`` bytes, one of ``sample`` pieces and
+    ``entries`` of the dictionary are the sizes of the work; no result depends on them.
     """
     spark = docs.sparkSession
+    levels = (*triggers, length)
     base = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    path, name = new_path(spark, "repeats-blocks"), "repeats_" + new_path(spark, "t").rpartition("-")[2]
-    rows = base.mapInArrow(_block_rows(length, triggers[0]), "block long, doc_ids array<long>, sizes array<long>, data binary, gone binary, size long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # bucketed by block: later joins with answers do not shuffle the texts
-    rows.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts, "block").saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = materialise(base.mapInArrow(_block_rows(length, levels, block, sample), "block long, doc_ids array<long>, sizes array<long>, data binary, seen array<long>, size long"), "repeats-blocks")
     total = blocks.agg(F.sum("size")).first()[0] or 0
-    buckets = int(min(1 << 16, max(64, -(-total // PER_BUCKET))))
-    answers = []
-    for turn, k in enumerate((*triggers, length)):
-        if turn:
-            state = answers[-1].where("open IS NOT NULL").groupBy("block").agg(F.collect_list("open").alias("state"))
-            given = blocks.join(state, "block")
-        else:
-            given = blocks.withColumn("state", F.lit(None).cast("array<binary>"))
-        sent = given.select("block", "doc_ids", "sizes", "data", "state").mapInArrow(_send(length, k, buckets, not turn), "bucket long, block long, blob binary")
-        answers.append(materialise(sent.repartition(buckets, "bucket").mapInArrow(_answer, "block long, gone binary, open binary"), "repeats-answers"))
-    all_ = answers[0]
-    for x in answers[1:]:
-        all_ = all_.unionByName(x)
-    state = all_.groupBy("block").agg(F.collect_list("gone").alias("state"))
+    buckets, parts = max(64, -(-total // PER_BUCKET)), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_PARTITION))
+    # the triggers that are common share all phrases, about one for 18 bytes, so they are MOST_COMMON at most
+    enough = max(common, total // 18 // MOST_COMMON) / sample
+    hot = blocks.select(F.explode("seen").alias("h")).groupBy("h").count().where(F.col("count") >= enough).select("h").toPandas()["h"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(np.sort(hot).astype(np.uint64))
+    rows = blocks.select("block", "doc_ids", "sizes", "data").mapInArrow(_send(length, levels, buckets, sent), "bucket long, block long, kind byte, blob binary")
+    answers = materialise(rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(length, entries), "block long, gone binary"), "repeats-answers")
+    state = answers.repartition(parts, "block").groupBy("block").agg(F.collect_list("gone").alias("state"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return blocks.join(state, "block", "left").select("doc_ids", "sizes", "data", "gone", "state").mapInArrow(_finish(length), schema)
+    return blocks.repartition(parts, "block").join(state, "block", "left").select("doc_ids", "sizes", "data", "state").mapInArrow(_finish(length), schema)

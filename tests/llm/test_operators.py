@@ -172,35 +172,45 @@ def test_html(spark):
     assert main_text("<div id='cookieNotice'>c</div><p>plain", set()) == "plain"
 
 
-def test_repeats(spark, odd):
-    from marlstone.llm import repeats
-
-    rng = random.Random(2)
-    shared = "".join(rng.choice("abcdef ghij") for _ in range(90))
-    rows = [*odd, (1000, shared), (1001, "x" + shared[10:80] + "y"), (1002, "y" * 30 + shared[:60] + "z" * 60 + shared[30:]), (1003, "z" * 200), (1003, "z" * 200), (1004, "z" * 51), (None, shared), (None, shared)]
-    docs = table(spark, rows).repartition(3)
+def plain_repeats(rows, length):
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 by a table of all strings of this length."""
     first: dict = {}
     key = lambda i: (i is None, i or 0)
     for i, t in rows:
         b = (t or "").encode()
-        for j in range(len(b) - 49):
-            w = b[j : j + 50]
+        for j in range(len(b) - length + 1):
+            w = b[j : j + length]
             first[w] = min(first.get(w, key(i)), key(i))
     want = []
     for i, t in rows:
         b = (t or "").encode()
         lost = np.zeros(len(b), bool)
-        for j in range(len(b) - 49):
-            if first[b[j : j + 50]] < key(i):
-                lost[j : j + 50] = True
+        for j in range(len(b) - length + 1):
+            if first[b[j : j + length]] < key(i):
+                lost[j : j + length] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~lost])
         spans = int(lost[:1].sum() + (lost[1:] & ~lost[:-1]).sum()) if len(b) else 0
         want.append((i, len(b), int(lost.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    for block in (repeats.BLOCK, 700):
-        old, repeats.BLOCK = repeats.BLOCK, block
-        got = [tuple(r) for r in repeats.remove_repeats(docs).drop("kept").collect()]
-        repeats.BLOCK = old
-        assert sorted(got, key=repr) == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+def test_repeats(spark, odd):
+    from marlstone.llm import repeats
+
+    rng = random.Random(2)
+    shared = "".join(rng.choice("abcdef ghij") for _ in range(90))
+    rows = [*odd, (1000, shared), (1001, "x" + shared[10:80] + "y"), (1002, "y" * 30 + shared[:60] + "z" * 60 + shared[30:]), (1003, "z" * 200), (1003, "z" * 200), (1004, "z" * 51), (None, shared), (None, shared)]
+    docs = table(spark, rows).repartition(3)
+    assert sorted((tuple(r) for r in repeats.remove_repeats(docs).drop("kept").collect()), key=repr) == plain_repeats(rows, 50)
+    # many short repeats, periods and common triggers, in blocks and chunks of a few entries
+    rows = []
+    for i in range(160):
+        parts = [rng.choice([shared[a : a + 17], "".join(rng.choice("ab") for _ in range(20)), "ab" * rng.randrange(30), "é" * 9, "x" * 40, str(rng.random())]) for a in [rng.randrange(60)] * 4]
+        rows.append((i % 140, "".join(rng.sample(parts, 3))))
+    docs2 = table(spark, rows).repartition(3)
+    for common, block, entries in ((repeats.COMMON, 2000, 50), (3, 700, 7)):
+        got = repeats.remove_repeats(docs2, length=12, triggers=(4, 8), common=common, block=block, sample=1, entries=entries).drop("kept").collect()
+        assert sorted((tuple(r) for r in got), key=repr) == plain_repeats(rows, 12)
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
