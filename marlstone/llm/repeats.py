@@ -3,9 +3,9 @@
 1. Parse. A rolling hash over strings of 16 bytes makes the triggers: in each 50-byte window the (leftmost) least hash.
    The windows of one trigger, side by side, make a phrase; equal text is parsed into equal phrases wherever it stands.
    No window is without a trigger, which triggers by a remainder do not assure.
-2. Dictionary. Equal phrases are sorted next to each other; one entry stays of each, with the smallest document that has
-   it. What repeats as a whole is done here, so only the distinct text goes on, and of that only entries whose trigger
-   other entries have too.
+2. Dictionary. Equal phrases are sorted next to each other by trigger and hash; one entry stays of each, with the
+   smallest document that has it. Phrases of a trigger that stands once in the corpus leave first, by their hashes alone;
+   what repeats as a whole goes here; only distinct phrases of triggers that other phrases have too come with their text.
 3. Suffix arrays. A window is the end of what stands before a trigger and the begin of what follows it. What follows the
    trigger is sorted with longest common prefixes: the suffix array of the parse, cut at 50 bytes, as suffixes of the
    parse are the suffixes of the corpus that begin at triggers. What stands before it is sorted from its end: the order
@@ -39,11 +39,11 @@ PER_BUCKET, PER_PARTITION = 8 << 20, 64 << 20
 #: Phrases of one trigger, of all phrases, from which on it is too common; at most this many triggers can be.
 COMMON, MOST_COMMON = 100_000, 1 << 20
 #: Of SAMPLE pieces of this many bytes the triggers of one are counted.
-SAMPLE_PIECE, SAMPLE = 1 << 16, 32
+SAMPLE_PIECE, SAMPLE = 1 << 14, 128
 #: Dictionary entries whose suffixes are sorted at once; the entries of one trigger stay together.
 ENTRIES = 60_000
 _PIECE = 1 << 19
-_PLACE = np.uint64((1 << 20) - 1)
+_PLACE, _MASK = np.uint64((1 << 20) - 1), np.uint64((1 << 48) - 1)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Doc id that null stands for: after all others.
@@ -170,46 +170,100 @@ def _texts(keys, sizes, data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys.values.to_numpy(), np.r_[0, np.cumsum(sizes.values.to_numpy())].astype(np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_py()), np.uint8)
 
 
-#: Columns that a phrase has in a blob: trigger (differences), doc, start, windows, repetitions, bytes before the trigger,
-#: and 1 where its text follows (0: that of the phrase before).
-_SENT = 7
+#: Columns that a phrase has in a blob: trigger (differences), phrase hash, doc, start, windows, repetitions, bytes before
+#: the trigger, and 1 where it has a text of its own (0: that of the phrase before, or none).
+_SENT = 8
+
+
+def _dictionary(keys: np.ndarray, cut: np.ndarray, data: np.ndarray, length: int, triggers: tuple[int, ...], common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Phrases of a block by trigger, phrase hash and doc: those, start, windows, bytes before the trigger, repetitions, and
+    whether a row is the first of its phrase. Neighbours that are one phrase again and again, as in periods, are one row.
+    """
+    h, g, start, n, left = parse(data, cut, length, triggers, common)
+    order = np.argsort(start)
+    h, g, start, n, left = (x[order] for x in (h, g & _MASK, start, n, left))
+    of = np.searchsorted(cut, start, side="right") - 1
+    same = np.zeros(len(h), bool)
+    same[1:] = (g[1:] == g[:-1]) & (h[1:] == h[:-1]) & (n[1:] == n[:-1]) & (start[1:] == start[:-1] + n[:-1]) & (of[1:] == of[:-1])
+    at = np.flatnonzero(~same)
+    reps = np.diff(np.r_[at, len(h)])
+    h, g, start, n, left, doc = h[at], g[at], start[at], n[at], left[at], keys[of[at]]
+    order = np.lexsort((doc, g, h))
+    h, g, start, n, left, doc, reps = (x[order] for x in (h, g, start, n, left, doc, reps))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    return h, g, doc, start, n, left, reps, new
+
+
+def _buckets(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of sorted triggers: numbers, and where each begins and ends."""
+    bucket = (h >> np.uint64(31)).astype(np.int64) * buckets >> 32
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[at], at, np.r_[at[1:], len(bucket)].astype(np.int64)
+
+
+def _rows(bucket: list[int], block: int, kind: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(bucket, pa.int64()), pa.array([block] * len(bucket), pa.int64()), pa.array(kind, pa.int8()), pa.array(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "kind", "blob"])
+
+
+def _hashes(length: int, triggers: tuple[int, ...], buckets: int, common):
+    """Rows (bucket, block, kind, blob): trigger and hash of each distinct phrase of a block, in this order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                h, g, *_, new = _dictionary(*_texts(*(batch.column(c)[row] for c in ("doc_ids", "sizes", "data"))), length, triggers, common.value)
+                h, g = h[new], g[new]
+                number, at, to = _buckets(h, buckets)
+                yield _rows(number.tolist(), batch.column("block")[row].as_py(), [0] * len(at), [_pack(np.diff(h[a:b].astype(np.int64), prepend=0), g[a:b]) for a, b in zip(at, to, strict=True)])
+
+    return run
+
+
+def _shared(blobs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of what _hashes sent to a bucket: number of the blob, and 1 for a trigger that several blocks or phrases have, 2 for
+    one of several phrases.
+    """
+    parts = [(np.cumsum(d), g, np.full(len(d), i, np.int32)) for i, (_, blob) in enumerate(blobs) for d, g, _ in [_unpack(blob, 2)]]
+    h, g, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    new = np.r_[True, h[1:] != h[:-1]]
+    at, which = np.flatnonzero(new), np.cumsum(new) - 1
+    rows, kinds = np.diff(np.r_[at, len(h)]), np.add.reduceat((new | np.r_[True, g[1:] != g[:-1]]).astype(np.int64), at)
+    marks = np.empty(len(h), np.int64)
+    marks[order] = np.where(kinds > 1, 2, np.where(rows > 1, 1, 0))[which]
+    return of, marks, marks
 
 
 def _send(length: int, triggers: tuple[int, ...], buckets: int, common):
-    """Rows (bucket, block, kind, blob): the phrases of a block (kind 0), and what of it goes for the block's own sake (1)."""
+    """Rows (bucket, block, kind, blob): the shared phrases of a block (kind 0), and what goes for its own sake (1).
+
+    What a smaller document of the same block has goes at once, so a frequent phrase is sent once a block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
         for batch in batches:
             for row in range(batch.num_rows):
                 keys, cut, data = _texts(*(batch.column(c)[row] for c in ("doc_ids", "sizes", "data")))
-                h, g, start, n, left = parse(data, cut, length, triggers, common.value)
-                order = np.argsort(start)
-                h, g, start, n, left = (x[order] for x in (h, g, start, n, left))
-                doc_at = np.searchsorted(cut, start, side="right") - 1
-                # neighbours that are one phrase again and again, as in periods, are one row
-                same = np.zeros(len(h), bool)
-                same[1:] = (g[1:] == g[:-1]) & (h[1:] == h[:-1]) & (n[1:] == n[:-1]) & (start[1:] == start[:-1] + n[:-1]) & (doc_at[1:] == doc_at[:-1])
-                at = np.flatnonzero(~same)
-                reps = np.diff(np.r_[at, len(h)])
-                h, g, start, n, left, doc = h[at], g[at], start[at], n[at], left[at], keys[doc_at[at]]
-                # what a smaller document of the same block has goes at once: a frequent phrase is sent once a block
-                order = np.lexsort((doc, g, h))
-                h, g, start, n, left, doc, reps = (x[order] for x in (h, g, start, n, left, doc, reps))
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-                gone = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else new
-                bucket = (h >> np.uint64(31)).astype(np.int64) * buckets >> 32
-                out = [(int(bucket[0]), 1, _pack(start[gone], (n * reps)[gone]))] if gone.any() else []
-                h, start, n, left, doc, reps, new, bucket = (x[~gone] for x in (h, start, n, left, doc, reps, new, bucket))
-                at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-                for a, b in zip(at, np.r_[at[1:], len(bucket)], strict=True):
-                    own = new[a:b]
-                    text = data[_spread(start[a:b][own], n[a:b][own] + length - 1)]
-                    out.append((int(bucket[a]), 0, _pack(np.diff(h[a:b].astype(np.int64), prepend=0), doc[a:b], start[a:b], n[a:b], reps[a:b], left[a:b], own, text=text.tobytes())))
-                block = batch.column("block")[row].as_py()
-                columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.int8()), pa.array([x[2] for x in out], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "kind", "blob"])
+                h, g, doc, start, n, left, reps, new = _dictionary(keys, cut, data, length, triggers, common.value)
+                phrase = np.cumsum(new) - 1
+                gone = doc > doc[np.flatnonzero(new)][phrase] if len(h) else new
+                marks = batch.column("state")[row]
+                marks = np.concatenate([_unpack(x["blob"], 2)[0] for x in sorted(marks.as_py(), key=lambda x: x["bucket"])]) if marks.is_valid else np.zeros(0, np.int64)
+                number, _, _ = _buckets(h[:1], buckets)
+                out = [(int(number[0]), 1, _pack(start[gone], (n * reps)[gone]))] if gone.any() else []
+                kept = ~gone & (marks[phrase] > 0)
+                mixed = (marks[phrase] > 1)[kept]
+                h, g, doc, start, n, left, reps, new = (x[kept] for x in (h, g, doc, start, n, left, reps, new))
+                for b, lo, hi in zip(*_buckets(h, buckets), strict=True):
+                    own = (new & mixed)[lo:hi]
+                    text = data[_spread(start[lo:hi][own], n[lo:hi][own] + length - 1)]
+                    out.append((int(b), 0, _pack(np.diff(h[lo:hi].astype(np.int64), prepend=0), g[lo:hi], *(x[lo:hi] for x in (doc, start, n, reps, left)), own, text=text.tobytes())))
+                yield _rows([x[0] for x in out], batch.column("block")[row].as_py(), [x[1] for x in out], [x[2] for x in out])
 
     return run
 
@@ -267,22 +321,13 @@ def _seen_before(text: np.ndarray, trigger: np.ndarray, doc: np.ndarray, begin:
 
 def _bucket_answers(blobs: list[tuple[int, bytes]], length: int, entries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of the blob, first window and windows of all that goes of the phrases of one bucket."""
-    parts, base = [], 0
-    texts = []
+    parts, texts, base = [], [], 0
     for i, (_, blob) in enumerate(blobs):
-        h, doc, start, n, reps, left, new, text = _unpack(blob, _SENT)
-        new = new.astype(bool)
-        size = n[new] + length - 1
+        h, g, doc, start, n, reps, left, own, text = _unpack(blob, _SENT)
+        size = np.where(own > 0, n + length - 1, 0)
         begin = np.cumsum(size) - size
-        g = np.zeros(len(size), np.uint64)
-        lo = 0
-        while lo < len(size):  # in pieces, as hashing takes room
-            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + _PIECE, side="right")) - 1)
-            piece = text[begin[lo] : begin[hi - 1] + size[hi - 1]]
-            g[lo:hi] = span_hashes(piece, begin[lo:hi] - begin[lo], begin[lo:hi] - begin[lo] + size[lo:hi])
-            lo = hi
-        own = np.cumsum(new) - 1
-        parts.append((np.cumsum(h), g[own], doc, start, n, reps, left, begin[own] + base, np.full(len(h), i, np.int32)))
+        begin = begin[np.maximum.accumulate(np.where(own > 0, np.arange(len(own)), 0))] if len(own) else begin
+        parts.append((np.cumsum(h), g, doc, start, n, reps, left, begin + base, np.full(len(h), i, np.int32)))
         texts.append(text)
         base += len(text)
     h, g, doc, start, n, reps, left, begin, of = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -335,20 +380,19 @@ def _bucket_answers(blobs: list[tuple[int, bytes]], length: int, entries: int) -
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _answer(length: int, entries: int):
-    """Rows (block, gone) from rows sorted by bucket: first windows and counts of what goes of each block."""
+def _by_bucket(tell):
+    """Rows (block, bucket, blob) from rows sorted by bucket; tell gives for the blobs of a bucket the number of the blob
+    and two values of each row of the answer. Rows of kind 1 pass as they are.
+    """
 
-    def finish(blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        if not blobs:
-            return
-        of, start, n = _bucket_answers(blobs, length, entries)
-        order = np.argsort(of, kind="stable")
-        of, start, n = of[order], start[order], n[order]
-        at = np.searchsorted(of, np.arange(len(blobs) + 1))
-        some = [i for i in range(len(blobs)) if at[i] < at[i + 1]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([blobs[i][0] for i in some], pa.int64()), pa.array([_pack(start[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for i in some], pa.binary())], ["block", "gone"]
-        )
+    def finish(bucket: int | None, blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        if blobs:
+            of, *values = tell(blobs)
+            order = np.argsort(of, kind="stable")
+            of, values = of[order], [x[order] for x in values]
+            at = np.searchsorted(of, np.arange(len(blobs) + 1))
+            some = [i for i in range(len(blobs)) if at[i] < at[i + 1]]
+            yield _answers([blobs[i][0] for i in some], [bucket] * len(some), [_pack(*(x[at[i] : at[i + 1]] for x in values)) for i in some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
@@ -356,17 +400,21 @@ def _answer(length: int, entries: int):
         for batch in batches:
             for bucket, block, kind, blob in zip(*(batch.column(c) for c in ("bucket", "block", "kind", "blob")), strict=True):
                 if kind.as_py():
-                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([blob.as_py()], pa.binary())], ["block", "gone"])
+                    yield _answers([block.as_py()], [bucket.as_py()], [blob.as_py()])
                     continue
                 if bucket.as_py() != now:
-                    yield from finish(blobs)
+                    yield from finish(now, blobs)
                     now, blobs = bucket.as_py(), []
                 blobs.append((block.as_py(), blob.as_py()))
-        yield from finish(blobs)
+        yield from finish(now, blobs)
 
     return run
 
 
+def _answers(block: list[int], bucket: list[int], blob: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int64()), pa.array(blob, pa.binary())], ["block", "bucket", "blob"])
+
+
 def _finish(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
@@ -377,7 +425,7 @@ def _finish(length: int):
                 sizes = np.diff(cut)
                 edge = np.zeros(len(data) + 1, np.int64)
                 if state.is_valid:
-                    start, n = (np.concatenate(x) for x in list(zip(*(_unpack(b, 2) for b in state.as_py()), strict=True))[:2])
+                    start, n = (np.concatenate(x) for x in list(zip(*(_unpack(x["blob"], 2) for x in state.as_py()), strict=True))[:2])
                     edge += np.bincount(start, minlength=len(edge))
                     edge -= np.bincount(start + n + length - 1, minlength=len(edge))
                 lost = np.cumsum(edge[:-1]) > 0
@@ -402,7 +450,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     Each byte goes that is covered by a string of ``length`` bytes which also starts in a document with a smaller key;
     strings are judged on the input and never cross documents. Null texts are empty; texts shorter than ``length`` stay
     whole. Rows that share a key do not remove from each other. Null keys come after all others. Other columns are not
-    read; an empty table gives no rows. kept may end a character: it is bytes. Whole phrases are equal when 126 bits of
+    read; an empty table gives no rows. kept may end a character: it is bytes. Whole phrases are equal when 111 bits of
     two hashes are; windows are compared byte by byte. ``triggers`` are the lengths of rolled strings, the next for
     triggers that ``common`` phrases share; the last is the window itself. ``block`` bytes, one of ``sample`` pieces and
     ``entries`` of the dictionary are the sizes of the work; no result depends on them.
@@ -417,8 +465,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     enough = max(common, total // 18 // MOST_COMMON) / sample
     hot = blocks.select(F.explode("seen").alias("h")).groupBy("h").count().where(F.col("count") >= enough).select("h").toPandas()["h"].to_numpy(np.int64)
     sent = spark.sparkContext.broadcast(np.sort(hot).astype(np.uint64))
-    rows = blocks.select("block", "doc_ids", "sizes", "data").mapInArrow(_send(length, levels, buckets, sent), "bucket long, block long, kind byte, blob binary")
-    answers = materialise(rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(length, entries), "block long, gone binary"), "repeats-answers")
-    state = answers.repartition(parts, "block").groupBy("block").agg(F.collect_list("gone").alias("state"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return blocks.repartition(parts, "block").join(state, "block", "left").select("doc_ids", "sizes", "data", "state").mapInArrow(_finish(length), schema)
+    texts = blocks.select("block", "doc_ids", "sizes", "data")
+
+    def asked(rows: DataFrame, tell, name: str) -> DataFrame:
+        """What the buckets tell of the rows that are sent to them, as one list for each block."""
+        told = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(tell), "block long, bucket long, blob binary")
+        return texts.repartition(parts, "block").join(materialise(told, name).repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias("state")), "block", "left")
+
+    schema = "bucket long, block long, kind byte, blob binary"
+    marked = asked(texts.mapInArrow(_hashes(length, levels, buckets, sent), schema), _shared, "repeats-shared")
+    answered = asked(marked.mapInArrow(_send(length, levels, buckets, sent), schema), lambda blobs: _bucket_answers(blobs, length, entries), "repeats-answers")
+    return answered.select("doc_ids", "sizes", "data", "state").mapInArrow(_finish(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
