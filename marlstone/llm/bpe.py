@@ -3,8 +3,10 @@
 Two tokens may stand side by side exactly if merging their joined bytes gives back these two tokens. The encoding of
 a string is the one path of tokens in which all neighbours may. The transducer reads bytes and follows every open
 path at once; a state is the set of open paths, and last tokens that allow the same continuations are one. A boundary
-is certain when no open path began before it: after a lookahead of the longest token at most. States and transitions
-are made when first needed and kept.
+is certain once all open paths have come through it; the tokens up to there are emitted while the rest is still to be
+read, so a pre-token of any length is encoded in a bounded window. Open paths began within the longest token, so the
+boundary that they share is not far back. States and transitions are made when first needed and kept, within one bound
+for all memories of a worker.
 
 Decoding composes the UTF-8 automaton over whole tokens: each token maps a state to a state, once computed.
 """
@@ -26,8 +28,14 @@ from pyspark.sql import DataFrame
 
 from .common import FORGET
 
-#: Entries of the memories of a worker; a full memory is emptied, which costs time and changes no result.
-MEMORY = 300_000
+#: Bytes of the memories of a worker, by estimate; full ones are emptied, which costs time and changes no result. An
+#: executor may have twice as many workers as cores, as encoding and decoding run side by side.
+MEMORY = 96 << 20
+#: What an entry takes with its key, by estimate: of a state for itself and each path, of a transition, of what is known
+#: of two tokens, of a pre-token for itself and each token.
+_STATE, _PATH, _MOVE, _PAIR, _PIECE, _ID = 300, 130, 220, 110, 220, 40
+#: Bytes of a pre-token between two looks for a certain boundary.
+LOOK = 512
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -74,14 +82,29 @@ class Transducer:
         self._beside: dict[int, bool] = {}
         self._trees: dict[bytes, tuple[bytes, bytes, bool] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
-        self._reset()
-
-    def _reset(self) -> None:
+        self._depth = self._depths()
+        self.reset()
+
+    def _depths(self) -> np.ndarray:
+        """Bytes from the root to each node of the tree."""
+        depth = np.zeros(len(self._token), np.uint16)
+        for key in sorted(self._child, key=self._child.get):  # parents before their children
+            depth[self._child[key]] = depth[key >> 8] + 1
+        return depth
+
+    def reset(self) -> None:
+        """Give up all memories."""
         # a path is (last token or -1, node of the token being read); a state is its open paths, oldest first
         start = ((-1, 0),)
         self._states = {start: 0}
         self._paths = [start]
         self._step: dict[int, tuple[int, int]] = {}
+        self._classes.clear()
+        self._beside.clear()
+        for known in self._edges:
+            known.clear()
+        self._trees.clear()
+        self.size = 0  # of the memories, by estimate
 
     def _merge_parts(self, data: bytes, least: int) -> list[bytes]:
         """Merging by rank down to ``least`` parts: the definition of what neighbours may be."""
@@ -104,6 +127,7 @@ class Transducer:
             tidy = all(len(p) == 1 or (self.ranks[p] < self.ranks[token] and (t := self._tree(p)) is not None and t[2]) for p in parts)
             got = (left, right, tidy)
         self._trees[token] = got
+        self.size += _PIECE
         return got
 
     def _edge(self, token: bytes, side: int) -> tuple[list[tuple[bytes, int]], bool]:
@@ -122,13 +146,13 @@ class Transducer:
                 tidy &= tree[2]
                 ends, now = self.ranks[now], tree[side]
             got = known[token] = (pieces[::-1], tidy)
+            self.size += _PIECE + _PATH * len(pieces)
         return got
 
     def _may_follow(self, last: int, token: int) -> bool:
         key = (last + 1) << 24 | token
         if (known := self._beside.get(key)) is None:
-            if len(self._beside) > 4 * MEMORY:
-                self._beside.clear()
+            self.size += _PAIR
             known = self._beside[key] = self._tried(None if last < 0 else self.bytes[last], self.bytes[token])
         return known
 
@@ -163,8 +187,7 @@ class Transducer:
             return last
         key = (last + 1) << 24 | node
         if (known := self._classes.get(key)) is None:
-            if len(self._classes) > 4 * MEMORY:
-                self._classes.clear()
+            self.size += _PAIR
             bits = sum(1 << i for i, token in enumerate(few) if self._may_follow(last, token))
             known = self._classes[key] = -2 - bits if bits else -1
         return known
@@ -204,31 +227,61 @@ class Transducer:
         if (to := self._states.get(after)) is None:
             to = self._states[after] = len(self._paths)
             self._paths.append(after)
+            self.size += _STATE + _PATH * len(after)
+        self.size += _MOVE
         got = self._step[state << 8 | byte] = to, ended
         return got
 
     def encode(self, piece: bytes) -> list[int]:
-        """Tokens of a pre-token; one that is itself a token is that token, as in the reading library.
-
-        Each byte gives the token that would end the encoding there. A boundary is certain when no open path began
-        before it, which the longest token bounds; walking back from the end takes the certain ones.
-        """
+        """Tokens of a pre-token; one that is itself a token is that token, as in the reading library."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self._paths) > MEMORY:
-            self._reset()
-        ended = []
+        return list(chain.from_iterable(self.stream(piece)))
+
+    def stream(self, piece: bytes, look: int = LOOK) -> Iterator[list[int]]:
+        """Tokens of a pre-token in runs, each emitted when its end is certain; looked for every ``look`` bytes.
+
+        Each byte read gives the token that would end the encoding there, if one would.
+        """
+        ended: list[int] = []  # of the bytes after those whose tokens are emitted
         state, step = 0, self._step
-        for byte in piece:
-            hit = step.get(state << 8 | byte) or self._advance(state, byte)
-            state = hit[0]
-            ended.append(hit[1])
+        for lo in range(0, len(piece), look):
+            for byte in piece[lo : lo + look]:
+                hit = step.get(state << 8 | byte) or self._advance(state, byte)
+                state = hit[0]
+                ended.append(hit[1])
+            if lo + look >= len(piece):
+                break
+            if certain := self._certain(state, ended):
+                yield self._back(ended[:certain], piece)
+                del ended[:certain]
+            if self.size > MEMORY:
+                paths = self._paths[state]
+                self.reset()
+                step = self._step
+                state = self._states[paths] = len(self._paths)
+                self._paths.append(paths)
+        yield self._back(ended, piece)
+
+    def _certain(self, state: int, ended: list[int]) -> int:
+        """The last boundary that all open paths have come through, in bytes of ended."""
+        begins = sorted({len(ended) - int(self._depth[node]) for _, node in self._paths[state]})
+        while len(begins) > 1:
+            last = begins.pop()
+            before = last - self._length[ended[last - 1]] if last else 0
+            if before not in begins:
+                begins.append(before)
+                begins.sort()
+        return begins[0] if begins else 0
+
+    def _back(self, ended: list[int], piece: bytes) -> list[int]:
+        """The tokens that lead to the end of ended."""
         out = []
-        at = len(piece)
-        while at:
+        at = len(ended)
+        while at > 0:
             token = ended[at - 1]
             if token < 0:
-                raise ValueError(f"no encoding of {piece!r}: a byte is missing among the tokens")
+                raise ValueError(f"no encoding of {piece[:80]!r}: a byte is missing among the tokens")
             out.append(token)
             at -= self._length[token]
         out.reverse()
@@ -303,22 +356,27 @@ class StreamDecoder:
 class _Memory(dict):
     """Ids of pre-tokens, encoded when first asked for. Of two halves the older one is given up when both are full."""
 
-    def __init__(self, encode: Callable[[bytes], list[int]]):
+    def __init__(self, transducer: Transducer):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.transducer, self.older, self.size = transducer, {}, 0
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if (got := self.older.get(piece)) is None:
-            got = tuple(self.encode(piece.encode()))
+            got = tuple(self.transducer.encode(piece.encode()))
             if len(piece) > 256:  # hardly comes again
                 return got
         self[piece] = got
+        self.size += _PIECE + len(piece) + _ID * len(got)
         return got
 
     def trim(self) -> None:
-        if len(self) > MEMORY:
+        """Keep pre-tokens and transducer within MEMORY: a quarter for each half of the former, half for the latter."""
+        if self.size > MEMORY // 4:
             self.older = dict(self)
             self.clear()
+            self.size = 0
+        if self.transducer.size > MEMORY // 2:
+            self.transducer.reset()
 
 
 class Tokenizer:
@@ -334,7 +392,7 @@ class Tokenizer:
 
     @cached_property
     def known(self) -> _Memory:
-        return _Memory(Transducer(self.ranks).encode)
+        return _Memory(Transducer(self.ranks))
 
     @cached_property
     def whole(self) -> frozenset[int]:
@@ -343,8 +401,11 @@ class Tokenizer:
 
     def encode(self, text: str) -> list[int]:
         known = self.known
-        out = list(chain.from_iterable(map(known.__getitem__, self.find(text))))
-        known.trim()
+        out: list[int] = []
+        pieces = self.find(text)
+        for lo in range(0, len(pieces), 4096):
+            out.extend(chain.from_iterable(map(known.__getitem__, pieces[lo : lo + 4096])))
+            known.trim()
         return out
 
     def decoder(self) -> StreamDecoder:
@@ -362,7 +423,10 @@ FORGET.append(tokenizer.cache_clear)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, ids of every row of docs; null and empty texts have no ids. Repeated rows stay; other columns are not read."""
+    """doc_id, ids of every row of docs; null and empty texts have no ids. Repeated rows and null keys stay.
+
+    Other columns are not read; an empty table gives no rows. Texts of any length are read whole, pre-token by pre-token.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)

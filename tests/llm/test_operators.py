@@ -132,6 +132,17 @@ def test_bpe(spark, odd):
         s = t.decoder()
         parts = [s.feed([i]) for i in ids]
         assert b"".join(parts).decode() == x and all(p.decode() is not None for p in parts)
+    # emitted at certain boundaries: the same for any distance of looks, in a window that does not grow with the pre-token
+    transducer = t.known.transducer
+    for x in ["x" * 40_000, "".join(rng.choice("abcdefghijklmnop") for _ in range(40_000)), "日本" * 9000, "ab" * 30_000 + "c"]:
+        want = own.encode_ordinary(x)
+        assert t.encode(x) == want
+        for look in (1, 7, 64):
+            runs = list(transducer.stream(x[:3000].encode(), look))
+            assert [i for r in runs for i in r] == own.encode_ordinary(x[:3000]) and len(runs) > 10 and max(map(len, runs)) < 300
+    transducer.size = 1 << 40  # full memories are emptied amid a pre-token
+    assert [i for r in transducer.stream(b"qwertyuiopasdfg" * 400, 64) for i in r] == own.encode_ordinary("qwertyuiopasdfg" * 400) and transducer.size < 1 << 30
+    assert decode(encode(docs.limit(0), path, tokenizers.PATTERN), path, tokenizers.PATTERN).count() == 0
     with pytest.raises(ValueError):
         StreamDecoder([b"\xff"]).feed([0])
     cut = StreamDecoder([b"\xc3"])
