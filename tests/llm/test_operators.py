@@ -347,6 +347,31 @@ def test_sql(spark):
     assert F is not None
 
 
+def test_leak_recall(spark):
+    """Candidates by latent cosine against all stretches, for paraphrases of items of 16 to 1,000 words; and the SVD."""
+    from marlstone.llm import decontaminate
+    from marlstone.llm.decontaminate import find_leaks, randomised_svd
+
+    rnd = random.Random(4)
+    lexicon = [f"w{k}" for k in range(3000)]
+    weights = [1 / (k + 5) for k in range(3000)]
+    items = [rnd.choices(lexicon, weights, k=n) for n in (16, 24, 40, 90, 200, 400, 1000) for _ in range(6)]
+    texts = []
+    for x in items:
+        kept = [w if rnd.random() < 0.78 else rnd.choice(lexicon) for w in x]
+        texts.append(" ".join(rnd.choices(lexicon, weights, k=60) + kept + rnd.choices(lexicon, weights, k=60)))
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, None), (900, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found, all_ = ({(r["doc_id"], r["item_id"]) for r in find_leaks(docs, bench, cosine=c).collect()} for c in (0.35, -2.0))
+    assert found <= all_ and len(found) >= 0.9 * len(all_) and len(all_) >= 20
+    lists = [rnd.sample(range(40), 6) for _ in range(200)]
+    rows = spark.createDataFrame([(x,) for x in lists], "cells array<int>")
+    vectors, values = randomised_svd(rows, np.ones(40, np.float32), 5, turns=20)
+    a = decontaminate._dense([np.array(x) for x in lists], np.ones(40, np.float32)).astype(float)
+    _, s, vt = np.linalg.svd(a)
+    assert np.allclose(values, s[:5], rtol=0.02) and abs(np.linalg.norm(vt[0] @ vectors[:, :1]) - 1) < 0.01
+
+
 def test_leaks_common_short_and_long(spark):
     """Items are found in passages that many documents share, in the midst of longer texts, and across many windows."""
     from marlstone.llm.decontaminate import find_leaks
