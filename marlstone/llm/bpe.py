@@ -30,7 +30,7 @@ from .common import FORGET
 
 #: Bytes of the memories of a worker, by estimate; full ones are emptied, which costs time and changes no result. An
 #: executor may have twice as many workers as cores, as encoding and decoding run side by side.
-MEMORY = 96 << 20
+MEMORY = 512 << 20
 #: What an entry takes with its key, by estimate: of a state for itself and each path, of a transition, of what is known
 #: of two tokens, of a pre-token for itself and each token.
 _STATE, _PATH, _MOVE, _PAIR, _PIECE, _ID = 300, 130, 220, 110, 220, 40
@@ -100,10 +100,7 @@ class Transducer:
         self._paths = [start]
         self._step: dict[int, tuple[int, int]] = {}
         self._classes.clear()
-        self._beside.clear()
-        for known in self._edges:
-            known.clear()
-        self._trees.clear()
+        self._beside.clear()  # merges and edges of tokens stay: there are no more of them than tokens
         self.size = 0  # of the memories, by estimate
 
     def _merge_parts(self, data: bytes, least: int) -> list[bytes]:
@@ -127,7 +124,6 @@ class Transducer:
             tidy = all(len(p) == 1 or (self.ranks[p] < self.ranks[token] and (t := self._tree(p)) is not None and t[2]) for p in parts)
             got = (left, right, tidy)
         self._trees[token] = got
-        self.size += _PIECE
         return got
 
     def _edge(self, token: bytes, side: int) -> tuple[list[tuple[bytes, int]], bool]:
@@ -146,7 +142,6 @@ class Transducer:
                 tidy &= tree[2]
                 ends, now = self.ranks[now], tree[side]
             got = known[token] = (pieces[::-1], tidy)
-            self.size += _PIECE + _PATH * len(pieces)
         return got
 
     def _may_follow(self, last: int, token: int) -> bool:
