@@ -1,11 +1,11 @@
 """Main text of pages by site style trees.
 
 The DOMs of a host are merged by the path of tags and classes. For each node of the merged tree two entropies are
-taken over the pages that have it: of its presentation (the sequence of its children) and of its content (how widely
-each of its texts is shared). A branch that looks alike and reads alike all over a site has a low importance and is
-removed from each page, next to what HTML itself names as no part of the article: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments. A host with few pages tells nothing by entropy, so there the
-names alone decide.
+taken over the articles whose pages have it: of its presentation (the sequence of its children) and of its content (how
+widely each of its texts is shared). A branch that looks alike and reads alike all over a site has a low importance and
+is removed from each page, next to what HTML itself names as no part of the article: menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and comments. Pages that hold the same article count once, so copies of an
+article do not make it boilerplate. A host with few articles tells nothing by entropy, so there the names alone decide.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from .common import materialise
 
 # Names of HTML elements, by what they do to the text around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -38,12 +39,16 @@ CLOSES = {
 #: Elements and roles that are no part of an article.
 ASIDE = frozenset("nav footer aside form menu dialog button select head search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in class names and ids that say the same.
+#: Words of which the class names and ids consist that say the same, next to words that say nothing by themselves.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar "
     "widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments "
     "commentlist reply replies respond disqus pagination pager toolbar".split()
 )
+PLAIN_WORDS = frozenset(
+    "site main page top bottom left right primary secondary global box bar list item items container wrapper wrap inner outer block area section slot unit zone panel form button buttons "
+    "link links icon icons media post posts article articles story stories user users reader readers thread js is the and in of".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Never judged by entropy: the frame of a page and the plain blocks of its text.
 FRAME = frozenset("html body main article p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
@@ -56,11 +61,15 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 @dataclass
 class Node:
-    """An element of a page: its place in the merged tree, and whether HTML names it as no part of the article."""
+    """An element of a page: its place in the merged tree (a hash of the labels above and its own), its depth, whether
+    entropy may remove it, and whether HTML names it as no part of the article.
+    """
 
     parent: int
     tag: str
-    path: str
+    path: int
+    depth: int
+    judged: bool
     aside: bool
     heading_only: bool
     article: int
@@ -73,8 +82,10 @@ def _names(tag: str, attributes: str) -> tuple[str, bool, bool]:
         return "", False, False
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     label = entities.unescape(f"{found.get('class', '')} {found.get('id', '')}")
-    said = {w.lower() for w in _WORD.findall(label)}
-    aside = tag not in {"html", "body", "main"} and (bool(said & ASIDE_WORDS) or found.get("role", "").lower() in ASIDE_ROLES)
+    tokens = [{w.lower() for w in _WORD.findall(x)} for x in label.split()]
+    said = set().union(*tokens)
+    named = any(x & ASIDE_WORDS and x <= ASIDE_WORDS | PLAIN_WORDS for x in tokens)
+    aside = tag not in {"html", "body", "main"} and (named or found.get("role", "").lower() in ASIDE_ROLES)
     style = found.get("style", "").replace(" ", "").lower()
     aside |= re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) is not None or found.get("aria-hidden") == "true" or "display:none" in style
     return ".".join(sorted(set(re.sub(r"\d+", "", label).split()))), aside, "header" in said
@@ -85,7 +96,8 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     Tags left open are closed where HTML says so: a block closes an open paragraph, an item the item before it.
     """
-    nodes = [Node(-1, "", "", False, False, -1)]
+    nodes = [Node(-1, "", 0, 0, False, False, False, -1)]
+    held: dict[str, int] = {}  # open elements by tag
     stack, blocks, buffer = [0], [], []
     articles = 0
 
@@ -100,6 +112,8 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         """Leave the elements from this depth of the stack on."""
         if any(nodes[i].tag in BLOCKS for i in stack[depth:]):
             flush(place())
+        for i in stack[depth:]:
+            held[nodes[i].tag] -= 1
         del stack[depth:]
 
     def place() -> int:
@@ -123,7 +137,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if m[1]:
             inline = tag not in BLOCKS
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1 if held.get(tag) else 0, 0, -1):
                 have = nodes[stack[depth]].tag
                 if have == tag:
                     close(depth)
@@ -138,7 +152,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag == "br":
             buffer.append(" ")
         if tag in BLOCKS:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1 if held.get("p") else 0, 0, -1):
                 have = nodes[stack[depth]].tag
                 if have == "p":
                     close(depth)
@@ -148,7 +162,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag in CLOSES:
                 ends, bounds = CLOSES[tag]
                 outer = None
-                for depth in range(len(stack) - 1, 0, -1):
+                for depth in range(len(stack) - 1 if any(held.get(x) for x in ends) else 0, 0, -1):
                     have = nodes[stack[depth]].tag
                     if have in bounds:
                         break
@@ -177,13 +191,20 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             flush(place())
         if not up.children or up.children[-1] != label:
             up.children.append(label)
-        if len(stack) < 256 and not m[3].endswith("/"):
-            nodes.append(Node(stack[-1], tag, f"{up.path}>{label}" if len(up.path) < 512 else up.path, aside, heading_only, article))
+        if not m[3].endswith("/"):
+            judged = label not in FRAME and tag not in {"html", "body", "main", "article"}
+            nodes.append(Node(stack[-1], tag, _below(up.path, label), up.depth + 1, judged, aside, heading_only, article))
             stack.append(len(nodes) - 1)
+            held[tag] = held.get(tag, 0) + 1
     flush(place())
     return nodes, blocks
 
 
+@lru_cache(maxsize=1 << 16)
+def _below(path: int, label: str) -> int:
+    return _hash(f"{path}>{label}")
+
+
 def host_of(url: str | None) -> str:
     m = _HOST.match(url or "")
     return m[1].lower() if m else ""
@@ -194,33 +215,38 @@ def _hash(text: str) -> int:
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """host, path, kind, feature, pages: how many pages of a host have a node with a presentation (0) or a text (1)."""
+    """host, path, parent, depth, judged, kind, feature, pages: how many articles of a host have pages with a node that has
+    a presentation (kind 0) or a text (1).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for url, page in zip(batch["url"], batch["html"], strict=True):
-                host = host_of(url)
                 nodes, blocks = read(page or "")
-                own = {(n.path, 0, _hash(" ".join(n.children))) for n in nodes[1:]}
-                own |= {(nodes[i].path, 1, _hash(text)) for i, text in blocks if i}
-                out += [(host, *x) for x in own]
-            yield pd.DataFrame(out, columns=["host", "path", "kind", "feature"]).astype({"kind": "int8", "feature": "int64"})
+                article = _hash(_article(nodes, blocks, frozenset()))
+                own = {(n.path, nodes[n.parent].path, n.depth, n.judged, 0, _hash(" ".join(n.children))) for n in nodes[1:]}
+                own |= {(nodes[i].path, nodes[nodes[i].parent].path, nodes[i].depth, nodes[i].judged, 1, _hash(text)) for i, text in blocks if i}
+                host = host_of(url)
+                out += [(host, *x, article) for x in own]
+            kinds = {"path": "int64", "parent": "int64", "depth": "int32", "judged": "bool", "kind": "int8", "feature": "int64", "article": "int64"}
+            yield pd.DataFrame(out, columns=["host", *kinds]).astype(kinds)
 
-    rows = pages.select("url", "html").mapInPandas(run, "host string, path string, kind byte, feature long")
-    return rows.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("pages"))
+    rows = pages.select("url", "html").mapInPandas(run, "host string, path long, parent long, depth int, judged boolean, kind byte, feature long, article long")
+    keys = ["host", "path", "parent", "depth", "judged", "kind", "feature"]
+    return rows.dropDuplicates([*keys, "article"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"))
 
 
 def importance(counted: DataFrame, least_pages: int = 8, decay: float = 0.9) -> DataFrame:
-    """host, path, pages, importance of the nodes that least_pages pages of a host have.
+    """host, path, judged, pages, importance of the nodes that pages of least_pages articles of a host have.
 
-    Presentation: entropy of the children sequences over pages, to base m, the number of pages. Content: 1 less the
-    mean, over its texts, of the entropy of the pages that share a text. A branch mixes its own presentation with the
-    mean importance of its texts and children, weighted by pages. Branches without text are left out.
+    Presentation: entropy of the children sequences over articles, to base m, the number of articles. Content: 1 less the
+    mean, over its texts, of the entropy of the articles that share a text. A branch mixes its own presentation with the
+    mean importance of its texts and children, weighted by articles. Branches without text are left out.
     """
     n = F.col("pages").cast("double")
     nodes = (
-        counted.groupBy("host", "path")
+        counted.groupBy("host", "path", "parent", "depth", "judged")
         .agg(
             F.sum(F.when(F.col("kind") == 0, n)).alias("m"),
             F.sum(F.when(F.col("kind") == 0, n * F.log(n))).alias("nlogn"),
@@ -231,10 +257,10 @@ def importance(counted: DataFrame, least_pages: int = 8, decay: float = 0.9) ->
     )
 
     def tree(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("path", key=lambda s: -s.str.count(">"), kind="stable")
-        children: dict[str, list[tuple[float, float]]] = {}
+        frame = frame.sort_values(["depth", "path"], ascending=[False, True])
+        children: dict[int, list[tuple[float, float]]] = {}
         out = []
-        for host, path, m, nlogn, texts, shared in frame[["host", "path", "m", "nlogn", "texts", "shared"]].itertuples(index=False):
+        for host, path, parent, judged, m, nlogn, texts, shared in frame[["host", "path", "parent", "judged", "m", "nlogn", "texts", "shared"]].itertuples(index=False):
             base = np.log(m)
             look = min(max((base - nlogn / m) / base, 0.0), 1.0)
             below = children.pop(path, [])
@@ -244,81 +270,72 @@ def importance(counted: DataFrame, least_pages: int = 8, decay: float = 0.9) ->
                 continue
             inner = sum(w * x for w, x in below) / sum(w for w, _ in below)
             value = (1 - decay) * look + decay * inner
-            out.append((host, path, int(m), value))
-            children.setdefault(path.rpartition(">")[0], []).append((m, value))
-        return pd.DataFrame(out, columns=["host", "path", "pages", "importance"])
+            out.append((host, path, judged, int(m), value))
+            children.setdefault(parent, []).append((m, value))
+        return pd.DataFrame(out, columns=["host", "path", "judged", "pages", "importance"])
 
     # rows of a host here are the nodes of its template, not its pages
-    return nodes.groupBy("host").applyInPandas(tree, "host string, path string, pages long, importance double")
+    return nodes.groupBy("host").applyInPandas(tree, "host string, path long, judged boolean, pages long, importance double")
 
 
-def _judged(path: str) -> bool:
-    """Whether entropy may remove this node: it is no part of the frame of a page and not above an article."""
-    last = path.rpartition(">")[2]
-    return last not in FRAME and last.partition(".")[0] not in {"html", "body", "main", "article"}
-
-
-def main_text(page: str | None, low: frozenset[str] | set[str]) -> str:
+def main_text(page: str | None, low: frozenset[int] | set[int]) -> str:
     """Blocks of the article in page order, joined by two line ends.
 
-    The article is the longest article element, else the main element, else the body; of it go the branches that are
-    named as no part of it and those whose paths are in low, unless a kept heading of the first level is inside.
+    The article is all article elements, else the main element, else the body; of it go the branches that are named as
+    no part of it and those whose paths are in low, unless a kept heading of the first level is inside.
     """
-    nodes, blocks = read(page or "")
+    return _article(*read(page or ""), low)
+
+
+def _article(nodes: list[Node], blocks: list[tuple[int, str]], low: frozenset[int] | set[int]) -> str:
     titled = set()
     for i, _ in blocks:
         if nodes[i].tag == "h1" and not nodes[i].aside:
-            while i > 0:
+            while i > 0 and i not in titled:
                 titled.add(i)
                 i = nodes[i].parent
-    lost: dict[int, bool] = {0: False}
+    lost, inside = [False] * len(nodes), [False] * len(nodes)
     for i, node in enumerate(nodes[1:], 1):
-        own = node.aside or (node.path in low and i not in titled)
-        lost[i] = own or lost[node.parent]
+        lost[i] = lost[node.parent] or node.aside or (node.path in low and i not in titled)
+        inside[i] = inside[node.parent] or node.tag == "article"
     kept = [(i, text) for i, text in blocks if not lost[i] and not (nodes[i].heading_only and nodes[i].tag not in HEADINGS)]
-    sizes: dict[int, int] = {}
-    for i, text in kept:
-        a = nodes[i].article
-        while a > 0:  # an article inside another or inside main counts for both
-            if nodes[a].tag == "article":
-                sizes[a] = sizes.get(a, 0) + len(text)
-            a = nodes[nodes[a].parent].article
-    chosen = max(sizes, key=lambda a: (sizes[a], -a)) if sizes else None
-    if chosen is None and any(nodes[i].article > 0 for i, _ in kept):
-        kept = [(i, t) for i, t in kept if nodes[i].article > 0]
-    if chosen is not None:
-
-        def inside(i: int) -> bool:
-            a = nodes[i].article
-            while a > 0 and a != chosen:
-                a = nodes[nodes[a].parent].article
-            return a == chosen
-
-        kept = [(i, t) for i, t in kept if inside(i)]
+    for within in (lambda i: inside[i], lambda i: nodes[i].article > 0):
+        if any(within(i) for i, _ in kept):
+            kept = [(i, t) for i, t in kept if within(i)]
+            break
     return "\n\n".join(t for _, t in kept)
 
 
+#: Paths to remove, of all hosts, up to which they are broadcast; beyond, pages join them by host and one of SALTS numbers.
+FEW_PATHS, SALTS = 200_000, 32
+
+
 def extract(pages: DataFrame, threshold: float = 0.2, least_pages: int = 8) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages; text is "" where nothing is left.
 
     Null html is the empty page. Pages without a host, or with a null url, form one host. Rows that repeat come back as
-    often. Other columns are not read; an empty table gives no rows.
+    often. Other columns are not read; an empty table gives no rows. Elements may be nested to any depth. Hosts whose pages
+    hold fewer than least_pages different articles are judged by names alone.
     """
     base = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    nodes = materialise(importance(features(base), least_pages), "style-tree")
-    low = nodes.where(F.col("importance") < threshold).groupBy(F.col("host").alias("_host")).agg(F.collect_set("path").alias("low"))
+    nodes = materialise(importance(features(base), least_pages), "style-tree").where(F.col("judged") & (F.col("importance") < threshold))
+    low = nodes.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_set("path")).alias("low"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = base.withColumn("_host", host).join(low, "_host", "left").select("page_id", "url", "html", "low")
+    paged = base.withColumn("_host", host)
+    if nodes.count() <= FEW_PATHS:
+        joined = paged.join(F.broadcast(low), "_host", "left")
+    else:  # a host may have any number of pages, so its pages are dealt over salts
+        salted = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = paged.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
+    joined = joined.select("page_id", "url", "html", "low")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            known: dict[int, frozenset] = {}
+            known: dict[tuple, frozenset] = {}
             texts = []
             for page, paths in zip(batch["html"], batch["low"], strict=True):
-                key = 0 if paths is None else hash(tuple(paths))
-                if key not in known:
-                    known[key] = frozenset(() if paths is None else (p for p in paths if _judged(p)))
-                texts.append(main_text(page, known[key]))
+                key = () if paths is None else tuple(paths)
+                texts.append(main_text(page, known.setdefault(key, frozenset(key))))
             yield batch[["page_id", "url"]].assign(page_id=batch["page_id"].astype("Int64"), text=texts, n_chars=[len(t) for t in texts])
 
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")

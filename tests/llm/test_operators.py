@@ -181,6 +181,18 @@ def test_html(spark):
     assert got[13]["text"] == "" and got[14]["n_chars"] == 0 and got[15]["text"] == "a < b and c\n\nz"
     assert extract(df.limit(0)).count() == 0
     assert main_text("<div id='cookieNotice'>c</div><p>plain", set()) == "plain"
+    # nesting of any depth, math and object, several articles, class names whose other words say something
+    deep = "<div id=page><article><p>begin" + "<div>" * 3000 + "<nav>MENU</nav><p>deep" + "</div>" * 3000 + "<p>after</article></div>"
+    assert main_text(deep, set()) == "begin\n\ndeep\n\nafter"
+    assert main_text("<article><p>so <math><mi>x</mi>=<mn>2</mn></math> and <object>o</object></article>", set()) == "so x=2 and o"
+    assert main_text("<main><article><p>one</article><article><p>two two</article></main><p>out", set()) == "one\n\ntwo two"
+    assert main_text("<div class='sharing-economy'><p>kept</div><div class='share-buttons'>x</div><div class='ad slot'>y</div>", set()) == "kept"
+    # a host of copies of one article: they are one article, which tells nothing; with other articles the shared box goes
+    copies = [(i, f"http://c.example/{i}", "<article><h1>Same</h1><ul><li>first<li>second</ul></article>", 1) for i in range(30)]
+    got = {r["text"] for r in extract(spark.createDataFrame(copies, "page_id long, url string, html string, low int")).collect()}
+    assert got == {"Same\n\nfirst\n\nsecond"}
+    long_ = spark.createDataFrame([(1, "u", "<p>" + "word " * 200_000 + "</p>" + "<p>x" * 20_000)], "page_id long, url string, html string")
+    assert extract(long_).first()["n_chars"] == 5 * 200_000 - 1 + 3 * 20_000
 
 
 def plain_repeats(rows, length):
