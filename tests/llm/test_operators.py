@@ -167,6 +167,49 @@ def test_quotes(spark):
         (2, 1): (0, 2, 0, "turn", 1), (None, None): (0, None, None, None, None), (3, 5): (0, None, None, None, 3),
     }
     assert link_quotes(df.limit(0)).count() == 0
+    # against brute force: quotes of own later turns, of later conversations, and circles
+    from marlstone.llm.quotes import _prints, fingerprint, passages
+
+    rng = random.Random(8)
+    said = [f"line {k} says {rng.random()}" for k in range(12)]
+    rows = {(1, 0): f"> {said[0]}\nx1", (1, 3): said[0], (5, 0): said[0], (7, 0): f"> {said[1]}\n{said[2]}", (9, 0): f"{said[1]}\n> {said[2]}", (8, 0): "word " * 60_000}
+    for c in range(20, 50):
+        for t in range(rng.randrange(1, 5)):
+            rows[c, t] = "\n".join(rng.choice(["> ", ">> ", "", ""]) + rng.choice(said) for _ in range(rng.randrange(1, 4)))
+    df = spark.createDataFrame([(c, t, "u", x, "clash", 1) for (c, t), x in rows.items()], "conv_id long, turn long, role string, text string, id string, position int")
+    holds = {}
+    for k, x in rows.items():
+        clean, _ = passages(x)
+        for p in {p for p, _ in _prints([y for y in clean.split("\n") if y.strip()])} | {p for part in re.split(r"\n\s*\n", clean) if (p := fingerprint([part]))}:
+            holds.setdefault(p, set()).add(k)
+    want = {}
+    for k, x in rows.items():
+        links = []
+        for level, lines in passages(x)[1]:
+            found = []
+            for p, n in _prints(lines):
+                at = holds.get(p, set())
+                own, other = sorted(y for y in at if y[0] == k[0] and y < k), sorted(y for y in at if y[0] != k[0])
+                if own or other:
+                    found.append((-n, *(own or other)[0]))
+            if found:
+                n, *to = min(found)
+                links.append((level, n, tuple(to)))
+        want[k] = (len(links), min(links)[2] if links else ((k[0], k[1] - 1) if (k[0], k[1] - 1) in rows else None))
+    got = {(r["conv_id"], r["turn"]): r for r in link_quotes(df).collect()}
+    assert {k: r["n_linked"] for k, r in got.items()} == {k: n for k, (n, _) in want.items()}
+    assert got[1, 0]["reply_conv"] == 5 and len(got[8, 0]["text"]) == 300_000
+    cuts = {k for k, r in got.items() if r["reply_by"] == "cut"}
+    assert cuts and {k: (r["reply_conv"], r["reply_turn"]) for k, r in got.items() if k not in cuts} == {k: to or (None, None) for k, (_, to) in want.items() if k not in cuts}
+    for k in cuts:  # a cut message is the smallest of a circle
+        circle, at = [], k
+        while not circle or at != k:
+            circle.append(at)
+            at = want[at][1]
+        assert k == min(circle)
+    for k, r in got.items():
+        to = None if k in cuts else want[k][1]
+        assert r["reply_position"] == (got[to]["reply_position"] + 1 if to else 0) and (not to or got[to]["thread_id"] == r["thread_id"])
 
 
 def test_html(spark):
