@@ -1,23 +1,27 @@
 """Packing of token ids into rows of one length by best fit decreasing.
 
 Each scan task packs its own documents in groups of bounded size, so nothing is shuffled and no task holds more than a
-group. Overlong documents are split into pieces of whole rows and a rest; pieces are placed from the longest to the
+group; which documents share a row therefore depends on how the input is split. Overlong documents are split into pieces of whole rows and a rest; pieces are placed from the longest to the
 shortest into the open row with the least room that is enough, which a segment tree over capacities finds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import long_column, text_bytes
+from .bpe import load_ranks
+from .common import FORGET, long_column, text_bytes
 
 #: Tokens of a group of documents that are packed together.
 GROUP = 8 << 20
+SCHEMA = "pack_id long, n_tokens long, doc_ids array<long>, doc_offsets array<long>, cu_seqlens array<int>, ids binary, positions binary"
 
 
 class Capacities:
@@ -82,6 +86,20 @@ def byte_ids(data: np.ndarray) -> np.ndarray:
     return data.astype(np.uint16)
 
 
+@lru_cache(maxsize=2)
+def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+
+
+def token_ids(path: str, pattern: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Ids of a text by the ranks of a tokenizer's file, for pack(); special tokens are text."""
+
+    def ids(data: np.ndarray) -> np.ndarray:
+        return np.array(_encoding(path, pattern).encode_ordinary(data.tobytes().decode()), np.uint16)
+
+    return ids
+
+
 def pack(docs: DataFrame, length: int = 2048, end_id: int = 256, pad_id: int = 257, ids: Callable[[np.ndarray], np.ndarray] = byte_ids, text: str = "text", key: str = "doc_id", group: int = GROUP) -> DataFrame:
     """Packed rows: pack_id, n_tokens, doc_ids, doc_offsets, cu_seqlens, ids, positions.
 
@@ -93,8 +111,6 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 256, pad_id: int = 2
     """
     if not 0 < length < 1 << 16:
         raise ValueError("length must be from 1 to 65535")
-    schema = "pack_id long, n_tokens long, doc_ids array<long>, doc_offsets array<long>, cu_seqlens array<int>, ids binary, positions binary"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held, size = [], 0
@@ -113,7 +129,7 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 256, pad_id: int = 2
         for out in _pack(held, length, end_id, pad_id, number):
             yield out
 
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, SCHEMA)
 
 
 def _pack(held: list, length: int, end_id: int, pad_id: int, number: int) -> Iterator[pa.RecordBatch]:
@@ -147,11 +163,19 @@ def _pack(held: list, length: int, end_id: int, pad_id: int, number: int) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["pack_id", "n_tokens", "doc_ids", "doc_offsets", "cu_seqlens", "ids", "positions"])
 
 
+FORGET.append(_encoding.cache_clear)
+
+
 def write_matrices(packed: DataFrame, path: str) -> None:
-    """Write packed rows to Parquet files under path; the ids and positions of a file are its matrices."""
+    """Write packed rows to Parquet files under path; the ids and positions of a file are its matrices, in order of pack_id."""
     packed.write.mode("error").parquet(path)
 
 
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """Packed rows that write_matrices wrote."""
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
 def matrix(rows: list[bytes], length: int = 2048) -> np.ndarray:
     """Matrix of the ids or positions of packed rows."""
     return np.stack([np.frombuffer(x, "<u2", length) for x in rows]) if rows else np.zeros((0, length), np.uint16)

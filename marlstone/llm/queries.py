@@ -21,11 +21,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
     from pyspark.sql import functions as F
 
-    from .packing import pack
+    from .bpe import load_ranks
+    from .common import new_path
+    from .packing import pack, read_matrices, token_ids, write_matrices
 
-    packed = pack(_table(spark, sf_dir, "documents"))
+    file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    end, path = max(load_ranks(file).values()) + 1, new_path(spark, "packed")
+    write_matrices(pack(_table(spark, sf_dir, "documents"), end_id=end, pad_id=end + 1, ids=token_ids(file, public_tokenizers.PATTERN)), path)
+    packed = read_matrices(spark, path)
     return packed.select("pack_id", "n_tokens", "doc_ids", "doc_offsets", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
 
 
