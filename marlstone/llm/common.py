@@ -19,10 +19,14 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests in one process) is a temporary folder set.
+    Only where the session names none and runs in one process (tests) is a temporary folder set; on a cluster that raises,
+    as executors would write to their own disks.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -83,6 +83,12 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", counte
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the rows that repeat the text of a row with a smaller key; columns as given."""
-    gone = exact_dedup(docs, text, key).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """docs without the rows that repeat the text of a row with a smaller key; columns as given.
+
+    Rows go by key and text: of two texts under one key each is judged by itself. Rows with a null key go where a row with
+    a key has their text, else all of them stay. Null and empty texts are equal; an empty table stays empty.
+    """
+    gone = exact_dedup(docs, text, key).where(~F.col("kept") & (F.col("doc_id").isNotNull() | F.col("keep_id").isNotNull()))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_digest")).distinct()
+    digest = F.sha2(normalised(docs[text]).cast("binary"), 256)
+    return docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"]) & (digest == gone["_digest"]), "left_anti")

@@ -262,6 +262,10 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows of a component other than those of its smallest key; columns as given."""
+    """docs without the rows of a component other than those of its smallest key; columns as given.
+
+    All rows of a key are one document, so they stay or go together; rows with a null key stay, as do null and empty
+    texts, which are linked with nothing. An empty table stays empty.
+    """
     gone = jaccard_classes(docs, text, key, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")

@@ -1,6 +1,13 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
 ORACLES: dict[str, str] = {
+    "op1_warc": r"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+             g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to, 'whole' AS state
+        FROM g
+    """,
     "op8_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
              d AS (SELECT doc_id, sha256(t) AS text_sha256 FROM n)
@@ -8,4 +15,29 @@ ORACLES: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op7_prefix_free_parsing": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+             w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, generate_series(0, n - 50) AS t(i)),
+             f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+             l AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS new FROM w JOIN f USING (s) WHERE doc_id > m),
+             r AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM l),
+             s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+             g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM s),
+             k AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS pieces FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+               sha256(unhex(CASE WHEN last IS NULL THEN h ELSE pieces || substr(h, 2 * last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM w, generate_series(1, greatest(len(w) - 4, 1)) AS t(i) WHERE len(w) > 0),
+             n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+             e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+             u AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+             r AS (SELECT DISTINCT x AS node, x AS root FROM u UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node WHERE r.root < u.y),
+             c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, w.doc_id) AS component_id
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+    """,
 }

@@ -60,7 +60,7 @@ def test_warc(spark, tmp_path):
     assert archived_pages(reassemble(read_records(spark, str(tmp_path / "none")))).count() == 0
 
 
-def test_packing(spark, odd):
+def test_packing(spark, odd, tmp_path):
     from marlstone.llm.packing import best_fit_decreasing, matrix, pack
 
     rows = [*odd, (None, "nobody")]
@@ -94,6 +94,21 @@ def test_packing(spark, odd):
         room[want[i]] -= sizes[i]
     assert len(loads) == len(room)
     assert pack(table(spark, []), length=256).count() == 0
+    # ids of a tokenizer, written and read: every document can be decoded from the matrices
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from marlstone.llm.packing import _encoding, read_matrices, token_ids, write_matrices
+
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = _encoding(path, tokenizers.PATTERN)
+    end = own.n_vocab
+    write_matrices(pack(table(spark, rows), length=64, end_id=end, pad_id=end + 1, ids=token_ids(path, tokenizers.PATTERN)), str(tmp_path / "m"))
+    parts = {}
+    for r in read_matrices(spark, str(tmp_path / "m")).collect():
+        for k, key in enumerate(r["doc_ids"]):
+            parts.setdefault(key, {})[r["doc_offsets"][k]] = matrix([bytes(r["ids"])], 64)[0][r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]].tolist()
+    for key, text in texts.items():
+        whole = sum((parts[key][o] for o in sorted(parts[key])), [])
+        assert whole[-1] == end and own.decode(whole[:-1]) == (text or "")
 
 
 def test_quality(spark):
@@ -297,6 +312,9 @@ def test_exact(spark, odd):
     for counters in (1000, 4):
         assert sorted((tuple(r) for r in exact_dedup(docs, counters=counters).collect()), key=repr) == sorted(want, key=repr)
     assert drop_exact_copies(docs).columns == docs.columns
+    twice = table(spark, [(1, "A"), (5, "A"), (5, "B"), (None, "B"), (None, "C"), (7, None), (8, "")])
+    assert sorted(((r["doc_id"], r["text"]) for r in drop_exact_copies(twice).collect()), key=repr) == sorted([(1, "A"), (5, "B"), (None, "C"), (7, None)], key=repr)
+    assert drop_exact_copies(twice.limit(0)).count() == 0
     assert exact_dedup(docs.limit(0)).count() == 0
     assert misra_gries(iter("abacadaa"), 1) == {"a": 2}
 
