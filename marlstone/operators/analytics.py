@@ -11,7 +11,7 @@ from ..functions import cells
 from ..plans.spec import MAX_GROUPS, Aggregate, ColumnInfo, Compare, Filter, Listing, Metric
 
 #: Order in which warnings are told.
-WARNINGS = ("EMPTY_SELECTION", "ZERO_DENOMINATOR", "NULLS_EXCLUDED", "GROUPS_TRUNCATED")
+WARNINGS = ("EMPTY_SELECTION", "NULLS_EXCLUDED", "ZERO_DENOMINATOR", "GROUPS_TRUNCATED")
 
 
 def cell(col: ColumnInfo) -> Column:
@@ -262,7 +262,12 @@ def compare_pinned(computed: DataFrame, pinned: DataFrame, keys: list[str]) -> D
 
 
 def bounded(df: DataFrame, budget: int, order_by: list[str]) -> DataFrame:
-    """The leading rows whose JSON texts fit a budget of characters together (rows of one result)."""
+    """The leading rows whose JSON texts fit a budget of characters together.
+
+    A row takes two characters at least, so no more than half the budget of rows can fit: the top of the order is cut
+    there before the running sum.
+    """
+    df = df.orderBy(*order_by).limit(budget // 2)
     size = F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
     total = F.sum(size).over(Window.partitionBy(F.lit(0)).orderBy(*order_by))
     return df.withColumn("_total", total).where(F.col("_total") <= budget).drop("_total")

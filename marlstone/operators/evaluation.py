@@ -47,18 +47,23 @@ def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, by: str, value: str, samples: int = 10_000, seed: int = 20_240, confidence: float = 0.95) -> DataFrame:
-    """by, n, mean, low, high: percentile bootstrap of group means; groups are evaluation items, some hundreds each."""
+    """by, n, mean, low, high: percentile bootstrap of group means, null values left out.
+
+    Values are counted first, so a task holds the distinct scores of a group and draws how often each comes again.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(frame[value].dropna().to_numpy(float))
-        if not len(x):
-            return pd.DataFrame({by: [frame[by].iloc[0]], "n": [0], "mean": [None], "low": [None], "high": [None]})
+        frame = frame.sort_values(value)
+        x, times = frame[value].to_numpy(float), frame["_times"].to_numpy(np.int64)
+        n = int(times.sum())
         rng = np.random.default_rng(seed)
-        means = np.concatenate([x[rng.integers(0, len(x), (min(1000, samples - i), len(x)))].mean(axis=1) for i in range(0, samples, 1000)])
+        step = max(1, (1 << 20) // len(x))
+        means = np.concatenate([rng.multinomial(n, times / n, min(step, samples - i)) @ x / n for i in range(0, samples, step)])
         low, high = np.quantile(means, [(1 - confidence) / 2, (1 + confidence) / 2])
-        return pd.DataFrame({by: [frame[by].iloc[0]], "n": [len(x)], "mean": [x.mean()], "low": [low], "high": [high]})
+        return pd.DataFrame({by: [frame[by].iloc[0]], "n": [n], "mean": [x @ times / n], "low": [low], "high": [high]})
 
-    return df.select(by, F.col(value).cast("double").alias(value)).groupBy(by).applyInPandas(run, f"{by} {dict(df.dtypes)[by]}, n long, mean double, low double, high double")
+    counted = df.select(by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_times"))
+    return counted.groupBy(by).applyInPandas(run, f"{by} {dict(df.dtypes)[by]}, n long, mean double, low double, high double")
 
 
 def token_overlap(a: DataFrame, b: DataFrame, tokens: str, least: float) -> DataFrame:
@@ -125,3 +130,108 @@ def longest_shared_run(pairs: DataFrame, a: str, b: str) -> DataFrame:
             yield f.assign(longest=[longest((p or "").lower().split(), (q or "").lower().split()) for p, q in zip(f[a], f[b], strict=True)])
 
     return pairs.mapInPandas(run, ", ".join(f"`{n}` {k}" for n, k in pairs.dtypes) + ", longest long")
+
+
+def paired_difference(a: DataFrame, b: DataFrame, item: str, score: str, **options) -> DataFrame:
+    """n, mean, low, high: bootstrap of the mean difference of two arms over the items that both have."""
+    both = a.select(item, F.col(score).alias("_a")).join(b.select(item, F.col(score).alias("_b")), item)
+    return bootstrap(both.select(F.lit("all").alias("_by"), (F.col("_a") - F.col("_b")).alias("d")), "_by", "d", **options).drop("_by")
+
+
+def breakdown(per_item: DataFrame, keys: dict[str, str], score: str) -> DataFrame:
+    """dimension, value, items, mean of a score for each value of several dimensions, in one grouping."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(c).cast("string").alias("value")) for n, c in keys.items()]))
+    return per_item.select(score, pairs.alias("k")).groupBy("k.dimension", "k.value").agg(F.count(F.lit(1)).alias("items"), F.avg(score).alias("mean"))
+
+
+def failure_buckets(items: DataFrame, item: str, hit_a: Column, hit_b: Column, examples: int = 6) -> DataFrame:
+    """bucket, n, examples (the first items): a_only, b_only and both_miss; items that both hit are in none.
+
+    The first items of a bucket come from a bounded top of each partition, not from a list of the bucket.
+    """
+    name = F.when(hit_a & ~hit_b, "a_only").when(hit_b & ~hit_a, "b_only").when(~hit_a & ~hit_b, "both_miss")
+    marked = items.select(item, name.alias("bucket")).where("bucket IS NOT NULL")
+    w = Window.partitionBy("bucket").orderBy(item)
+    first = marked.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= examples).groupBy("bucket").agg(F.sort_array(F.collect_list(item)).alias("examples"))
+    return marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(first, "bucket")
+
+
+def outranked(ranked: DataFrame, item: str, handle: str, truth: DataFrame, negatives: DataFrame) -> DataFrame:
+    """item, true_rank, best_distractor_rank, distractor_wins of the items that have distractors."""
+    best = lambda t, n: t.join(ranked, [item, handle], "left").groupBy(item).agg(F.min("rank").alias(n))
+    both = best(negatives, "best_distractor_rank").join(best(truth, "true_rank"), item, "left")
+    wins = F.col("best_distractor_rank").isNotNull() & (F.col("true_rank").isNull() | (F.col("best_distractor_rank") < F.col("true_rank")))
+    return both.select(item, "true_rank", "best_distractor_rank", wins.alias("distractor_wins"))
+
+
+# Words without content, and endings that are cut from words of more than their length and three, in order.
+PLAIN_WORDS = (
+    "a an the of in on for to and or is are was were be been by with from at as that this these those it its than more most into over per vs their they our we what which who whom how why "
+    "when where did does do has have had about across between among any all each there here not no can could would should will shall may might much many very also just only"
+).split()
+ENDINGS = ("ingly", "edly", "ing", "ies", "ied", "ers", "est", "ed", "es", "er", "ly", "s")
+
+
+def content_stems(text: Column) -> Column:
+    """Stems of the content words of a text, in order, repeats kept."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9]+(?:[.%][a-z0-9]+)*%?)"), F.lit(1)), lambda w: ~w.isin(PLAIN_WORDS))
+
+    def stem(w: Column) -> Column:
+        out = w
+        for end in reversed(ENDINGS):
+            out = F.when(w.endswith(end) & (F.length(w) > len(end) + 3), F.substring(w, F.lit(1), F.length(w) - len(end))).otherwise(out)
+        return F.when(w.rlike("^[0-9]"), w).otherwise(out)
+
+    return F.transform(words, stem)
+
+
+def overlap_share(question: Column, anchors: Column) -> Column:
+    """Share of the question's distinct stems that its anchors' text has; 0 without any."""
+    q = F.array_distinct(content_stems(question))
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, content_stems(anchors))) / F.size(q)).otherwise(F.lit(0.0))
+
+
+def overlap_bin(share: Column) -> Column:
+    """low, mid from 0.34, high from 0.67."""
+    return F.when(share >= 0.67, "high").when(share >= 0.34, "mid").otherwise("low")
+
+
+def id_scores(df: DataFrame, item: str, found: str, wanted: str) -> DataFrame:
+    """item, recall, precision of id sets; undefined (null) without wanted or found ids."""
+    f, w = F.array_distinct(found), F.array_distinct(wanted)
+    both = F.size(F.array_intersect(f, w))
+    return df.select(item, F.when(F.size(w) > 0, both / F.size(w)).alias("recall"), F.when(F.size(f) > 0, both / F.size(f)).alias("precision"))
+
+
+def average_precision(ranked: DataFrame, item: str, rank: str, relevant: str) -> DataFrame:
+    """item, average_precision: mean of the precision at each relevant rank; null without relevant ones."""
+    w = Window.partitionBy(item).orderBy(rank)
+    at = ranked.withColumn("_p", F.sum(F.col(relevant).cast("int")).over(w) / F.row_number().over(w))
+    return at.groupBy(item).agg(F.avg(F.when(F.col(relevant), F.col("_p"))).alias("average_precision"))
+
+
+def verifier_rates(df: DataFrame, by: list[str], supported: Column, accepted: Column) -> DataFrame:
+    """by, n, false_positive_rate (accepted of the unsupported), false_negative_rate (refused of the supported)."""
+    fp, fn = F.avg(F.when(~supported, accepted.cast("double"))), F.avg(F.when(supported, (~accepted).cast("double")))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), fp.alias("false_positive_rate"), fn.alias("false_negative_rate"))
+
+
+def prefixed_sum(timings: Column, prefix: str) -> Column:
+    """Sum of the values of a map whose keys begin with a prefix; null without any."""
+    own = F.map_values(F.map_filter(timings, lambda k, v: k.startswith(prefix) & v.isNotNull()))
+    return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda s, x: s + x.cast("double")))
+
+
+def gates(df: DataFrame, by: list[str], conditions: dict[str, Column]) -> DataFrame:
+    """by, each gate and passed: whether all rows meet every condition."""
+    out = df.groupBy(*by).agg(*[F.bool_and(F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()])
+    return out.withColumn("passed", cells.all_of([F.col(n) for n in conditions]))
+
+
+def frozen(items: DataFrame, item: str, columns: list[str], expected: DataFrame) -> DataFrame:
+    """item, state: changed, missing or new against expected (item, digest); unchanged items are not told."""
+    digest = F.sha2(F.to_json(F.struct(*columns)).cast("binary"), 256)
+    now = items.select(item, digest.alias("_now"))
+    both = now.join(expected.select(item, F.col("digest").alias("_was")), item, "full")
+    state = F.when(F.col("_was").isNull(), "new").when(F.col("_now").isNull(), "missing").when(F.col("_now") != F.col("_was"), "changed")
+    return both.select(item, state.alias("state")).where("state IS NOT NULL")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import settled
+
 LEVELS = {"debug": 10, "info": 20, "warning": 30, "error": 40}
 
 
@@ -71,8 +73,96 @@ def upsert(base: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return latest(both, key, ["_at"]).drop("_at")
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "_i") -> DataFrame:
+    """df with the row's place from 0 and ``_n``, the number of rows, without gathering all rows in one task.
+
+    Rows are dealt in ranges of the order; the ranges' sizes, one row each, tell where each begins.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # settled, as the bounds of the ranges are drawn anew each time they are computed
+    dealt = df.withColumn("_part", F.lit(0)) if by else settled(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    dealt = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    sizes = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    w = Window.partitionBy(*(by or [F.lit(0)]))
+    begins = sizes.withColumn("_n", F.sum("_size").over(w)).withColumn("_before", F.sum("_size").over(w.orderBy("_part")) - F.col("_size")).drop("_size")
+    return dealt.join(F.broadcast(begins) if not by else begins, [*by, "_part"]).withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")
+
+
 def equal_bins(df: DataFrame, order: list[str], bins: int, value: Column) -> DataFrame:
-    """bin, n, mean of consecutive bins of equal count of a bounded series; remainders spread by floor arithmetic."""
-    one = Window.partitionBy(F.lit(0))
-    at = df.withColumn("_i", F.row_number().over(one.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(one))
+    """bin, n, mean of consecutive bins of equal count; remainders spread by floor arithmetic."""
+    at = numbered(df, [], order)
     return at.groupBy(F.floor(F.col("_i") * bins / F.col("_n")).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+
+
+def rate_per_bin(df: DataFrame, order: list[str], bins: int, hit: Column) -> DataFrame:
+    """bin, n, rate: share of the rows of each bin for which a condition holds."""
+    return equal_bins(df, order, bins, hit.cast("double")).withColumnRenamed("mean", "rate")
+
+
+def counts_by(df: DataFrame, *by: str | Column) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def failure_categories(df: DataFrame, document: str, path: str) -> DataFrame:
+    """category, n of the strings in a JSON array; documents without the array add nothing."""
+    names = F.from_json(F.get_json_object(document, path), "array<string>")
+    return df.select(F.explode(names).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def retrieval_timing(df: DataFrame, by: list[str], ms: Column, candidates: Column, hit: Column) -> DataFrame:
+    """by, p50_ms, p95_ms, p50_candidates, hit_rate over the rows that tell whether the cache was hit."""
+    return df.groupBy(*by).agg(F.percentile(ms, 0.5).alias("p50_ms"), F.percentile(ms, 0.95).alias("p95_ms"), F.percentile(candidates, 0.5).alias("p50_candidates"), F.avg(hit.cast("double")).alias("hit_rate"))
+
+
+def summary(df: DataFrame, failed: Column, tokens: Column) -> DataFrame:
+    """One row: runs, failed, error_rate, recorded (runs with usage) and mean_tokens over those."""
+    return df.agg(F.count(F.lit(1)).alias("runs"), F.count_if(failed).alias("failed"), F.avg(failed.cast("double")).alias("error_rate"), F.count(tokens).alias("recorded"), F.avg(tokens.cast("double")).alias("mean_tokens"))
+
+
+def overview(**counts: tuple[DataFrame, Column]) -> DataFrame:
+    """One row of independent scalars: each name is an aggregate of its table; one-row frames are joined."""
+    out = None
+    for name, (df, aggregate) in counts.items():
+        one = df.agg(aggregate.alias(name))
+        out = one if out is None else out.crossJoin(F.broadcast(one))  # one row each
+    return out
+
+
+def log_page(df: DataFrame, level: Column, minimum: str, others: Column, order: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The page of a log query, newest first, and its level histogram, which does not look at the level filter."""
+    chosen = df.where(others).withColumn("level", level)
+    return chosen.where(at_least(F.col("level"), minimum)).orderBy(F.desc(order)).limit(limit), counts_by(chosen, "level")
+
+
+def window_start(now: Column, minutes: int) -> Column:
+    """Lower bound of a relative window, floored to the minute."""
+    return F.date_trunc("minute", now - F.make_dt_interval(mins=F.lit(minutes)))
+
+
+def merged(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
+    """Two rings as one, in order."""
+    return a.unionByName(b).orderBy(order)
+
+
+def two_rings(df: DataFrame, order: str, noise: Column, capacity: int, noise_capacity: int) -> DataFrame:
+    """The newest rows of a log, where noise has a ring of its own and cannot push out the rest; with dropped, the number of
+    rows of its kind that have gone.
+    """
+    rings = []
+    for kind, on, most in (("log", ~F.coalesce(noise, F.lit(False)), capacity), ("noise", F.coalesce(noise, F.lit(False)), noise_capacity)):
+        own = df.where(on)
+        total = own.agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("dropped"))
+        rings.append(ring(own, order, most).withColumn("ring", F.lit(kind)).crossJoin(F.broadcast(total)))  # one row
+    return merged(*rings, order)
+
+
+def paired(events: DataFrame, keys: list[str], kind: str, at: str, start: str, stop: str) -> DataFrame:
+    """keys, started, completed, ms of calls: one grouping by key; a call without an end has null ms."""
+    calls = events.where(F.col(kind).isin(start, stop)).groupBy(*keys).agg(F.min(F.when(F.col(kind) == start, F.col(at))).alias("started"), F.max(F.when(F.col(kind) == stop, F.col(at))).alias("completed"))
+    return calls.where("started IS NOT NULL").withColumn("ms", ((F.col("completed").cast("double") - F.col("started").cast("double")) * 1000).cast("long"))
+
+
+def precedence(states: Column, order: list[str], otherwise: str) -> Column:
+    """The first of the ordered states that an array holds."""
+    hits = F.filter(F.array(*map(F.lit, order)), lambda s: F.array_contains(states, s))
+    return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(otherwise))

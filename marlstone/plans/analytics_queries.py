@@ -136,9 +136,9 @@ def a34_composition(t: Tables) -> DataFrame:
     return an.composition(t.orders, "o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)")).select("o_orderpriority", "share")
 
 
-@query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
 def a36_pivot(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O"]).count().na.fill(0)
+    return t.orders.groupBy("o_orderpriority").pivot("o_orderstatus").count().na.fill(0)
 
 
 @query("""
@@ -232,9 +232,7 @@ def p8_keyset_page(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 200),
-         s AS (SELECT o_orderkey, sum(length('{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}')) OVER (ORDER BY o_orderkey) AS total FROM r)
-    SELECT o_orderkey FROM s WHERE total <= 3000""")
+    WITH s AS (SELECT o_orderkey, sum(length('{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}')) OVER (ORDER BY o_orderkey) AS total FROM orders)
+    SELECT o_orderkey FROM s WHERE total <= 30000""")
 def p14_bounded_result(t: Tables) -> DataFrame:
-    top = t.orders.select("o_orderkey", "o_orderpriority").orderBy("o_orderkey").limit(200)
-    return an.bounded(top, 3000, ["o_orderkey"]).select("o_orderkey")
+    return an.bounded(t.orders.select("o_orderkey", "o_orderpriority"), 30_000, ["o_orderkey"]).select("o_orderkey")

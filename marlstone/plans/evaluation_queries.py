@@ -40,11 +40,11 @@ def e3_wilson_rates(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS a, count(*) FILTER (toxic = 1 AND quality = 0) AS b FROM labels WHERE doc_id < 200),
+    WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS a, count(*) FILTER (toxic = 1 AND quality = 0) AS b FROM labels),
          i AS (SELECT unnest(range(0, least(a, b) + 1)) AS i, a, b FROM c)
     SELECT min(a) AS a_only, min(b) AS b_only, round(least(1.0, 2 * sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2)))), 9) AS p FROM i""")
 def e7_mcnemar(t: Tables) -> DataFrame:
-    return ev.mcnemar(t.labels.where("doc_id < 200").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b")), "a", "b")
+    return ev.mcnemar(t.labels.select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b")), "a", "b")
 
 
 @query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
@@ -84,10 +84,10 @@ def e5_bootstrap(t: Tables) -> DataFrame:
     return ev.bootstrap(per, "lang", "quality", samples=2000)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS unsupported FROM orders WHERE o_orderkey <= 1000")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS unsupported FROM orders")
 def v5_unsupported_numbers(t: Tables) -> DataFrame:
     """Answers whose total is off on odd orders, checked against their evidence."""
-    o = t.orders.where("o_orderkey <= 1000")
+    o = t.orders
     cents = F.format_string("%.2f", F.col("o_totalprice"))
     df = o.select("o_orderkey", F.concat(F.lit("In 1998 the total was $"), F.format_string("%.2f", F.col("o_totalprice") + F.col("o_orderkey") % 2 * 7), F.lit(".")).alias("answer"), F.concat(F.lit("total $"), cents).alias("evidence"))
     bad = claims.unsupported(df, "answer", "evidence", "o_orderkey").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("k"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
+from ..operators import links as li
 from ..operators import telemetry as te
 from ..queries import Tables, query
 
@@ -73,7 +74,7 @@ def p10_conversation_page(t: Tables) -> DataFrame:
 def j1_join_chain(t: Tables) -> DataFrame:
     """Large to small over keys; Spark broadcasts the small sides where their sizes allow."""
     per = t.customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    return per.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", "n")
+    return li.chain(per, (t.nation, "c_nationkey", "n_nationkey"), (t.region, "n_regionkey", "r_regionkey")).select("n_name", "r_name", "n")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
@@ -144,9 +145,11 @@ def w3_top_k_per_class(t: Tables) -> DataFrame:
     return t.orders.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("o_custkey", "o_orderkey")
 
 
-@query("SELECT bin, count(*) AS n FROM (SELECT CAST(floor((row_number() OVER (ORDER BY event_id) - 1) * 7 / 500) AS BIGINT) AS bin FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 500)) GROUP BY 1")
+@query("""
+    SELECT bin, count(*) AS n, round(avg(value), 6) AS mean
+    FROM (SELECT value, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) * 7 / count(*) OVER ()) AS BIGINT) AS bin FROM events) GROUP BY 1""")
 def w9_equal_bins(t: Tables) -> DataFrame:
-    return te.equal_bins(t.events.orderBy("event_id").limit(500), ["event_id"], 7, F.col("value")).select("bin", "n")
+    return te.equal_bins(t.events, ["event_id"], 7, F.col("value")).withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT o_custkey, max(o_orderkey) + 1 AS next_version FROM orders GROUP BY 1")
