@@ -5,10 +5,12 @@
    ones. Any fixed order is exact; this one only keeps buckets small.
 2. Sets of similarity >= t share a shingle among the first n - ceil(t n) + 1 of each. Sets with the same prefix and
    size make one group, and groups meet by shared prefix shingles: one shuffle of (shingle, group, size).
-3. Groups expand to sets. In every bucket members are first tried against a few pivots (stars, linear in the bucket),
-   then all pairs that meet in a bucket and are still in different components are tried as well, so no link that could
-   join components is missed, and pairs inside a component are never enumerated. Pairs with too few common prefix
-   shingles for their sizes are out before that.
+3. Pairs of groups are filtered first: all sets of a group have its prefix and size, so the size filter and the count
+   of common prefix shingles at early places hold for all of them at once. In every bucket groups are first tried
+   against a few pivots (stars, linear in the bucket), then all pairs of groups that meet in a bucket. A group whose
+   sets are in several components counts as one part for each, and pairs of one component are never enumerated.
+   Pairs that pass expand to their sets: a representative of one part against all sets of the other with stars, all
+   sets against all in the last turn. So no link that could join components is missed.
 4. Pairs are verified on the whole sets, recomputed from the texts of candidate sets only.
 """
 
@@ -196,19 +198,16 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     rows = base.mapInArrow(_prefixes(size, num, den, frequent), "token long, id long, n long")
     met = materialise(rows.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_meeting, "token long, id long, n long"), "jaccard-met")
-    members = met.where("n < 0").select(F.col("token").alias("grp"), F.col("id"), F.expr(f"-n div {_SHIFT}").alias("n")).distinct()
-    buckets = met.where("n > 0").select("token", F.col("id").alias("grp"), F.expr(f"n % {_SHIFT}").alias("at"))
-    # a group of several sets is a bucket too
-    crowd = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
-    # sets of one group have their whole prefixes in common, which is always enough: w counts for them all
-    rows = materialise(
-        buckets.join(members, "grp").select("token", "id", "n", "at", F.lit(1).cast("long").alias("w")).unionByName(members.join(crowd, "grp").select(F.col("grp").alias("token"), "id", "n", F.lit(0).cast("long").alias("at"), F.col("n").alias("w"))),
-        "jaccard-buckets",
-    )
+    members = met.where("n < 0").select(F.col("token").alias("grp"), "id", F.expr(f"-n div {_SHIFT}").alias("n")).distinct()
+    buckets = met.where("n > 0").select("token", F.col("id").alias("grp"), F.expr(f"n div {_SHIFT}").alias("n"), F.expr(f"n % {_SHIFT}").alias("at"))
+    counts = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k"))
+    meets = buckets.select("grp").distinct().withColumn("meets", F.lit(True))
+    # the sets of groups that meet another one or hold several sets
+    wanted = materialise(members.join(counts, "grp").join(meets, "grp", "left").where("k > 1 OR meets").select("grp", "id", "n", (F.col("k") > 1).alias("crowd")), "jaccard-members")
     reps = sig.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"))
-    wanted = rows.select("id").distinct().join(reps, "id")
-    # the sets that meet another one, with one text each; a text exchange here is the price of exact verification
-    texts = materialise(base.join(wanted, base["doc_id"] == wanted["rep"]).groupBy("id").agg(F.first("text").alias("text")), "jaccard-texts")
+    named = wanted.select("id").join(reps, "id")
+    # one text for each of these sets; a text exchange here is the price of exact verification
+    texts = materialise(base.join(named, base["doc_id"] == named["rep"]).groupBy("id").agg(F.first("text").alias("text")), "jaccard-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
@@ -226,8 +225,21 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     enough = f"greatest(1, {most} div {SHARE})"
     placed = f"at < n - {overlap} + {enough} AND pat < pn - {overlap} + {enough}"
     for turn in range(stars + 1):
-        now = rows.withColumn("root", F.col("id")) if roots is None else rows.join(roots, rows["id"] == roots["node"], "left").select("token", "id", "n", "at", "w", F.coalesce("root", "id").alias("root"))
-        if roots is not None:  # buckets of a single component are done
+        # a part: the sets of one group and one component, named by its least set; at first a group is one part
+        if roots is None:
+            nodes = wanted.withColumn("root", F.col("grp"))
+        else:
+            nodes = wanted.join(roots, wanted["id"] == roots["node"], "left").select("grp", "id", "n", "crowd", F.coalesce("root", "id").alias("root"))
+        parts = nodes.groupBy("grp", "root").agg(F.min("id").alias("part"), F.first("n").alias("size"))
+        others = nodes.where("crowd").join(parts, ["grp", "root"]).where("id <> part").select("part", "id")
+        now = buckets.join(parts, "grp").select("token", F.col("part").alias("id"), "n", "at", F.lit(1).cast("long").alias("w"), "root")
+        if roots is None:
+            now = materialise(now, "jaccard-buckets")
+        else:
+            # the parts of one group are a bucket too; their whole prefixes are common, which is always enough
+            split = parts.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
+            now = now.unionByName(parts.join(split, "grp").select(F.col("grp").alias("token"), F.col("part").alias("id"), F.col("size").alias("n"), F.lit(0).cast("long").alias("at"), F.col("size").alias("w"), "root"))
+            # buckets of a single component are done
             open_ = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
             now = materialise(now.join(open_, "token"), "jaccard-open")
         if turn < stars:
@@ -246,6 +258,18 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
             where = "root <> proot AND id < pivot"
         together = now.join(other, "token").where(where).where(similar).where(placed).select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"), F.least("n", "pn").alias("n"), F.greatest("n", "pn").alias("pn"), "w")
         pairs = together.groupBy("u", "v", "n", "pn").agg(F.sum("w").alias("c")).where(f"c >= {enough}").select("u", "v")
+        # pairs of parts expand to pairs of sets
+        left = pairs.join(others, pairs["u"] == others["part"]).select(F.col("id").alias("u"), "v")
+        wide = pairs.unionByName(left)
+        if turn < stars:
+            pairs = wide.unionByName(pairs.join(others, pairs["v"] == others["part"]).select("u", F.col("id").alias("v")))
+        else:
+            pairs = wide.unionByName(wide.join(others, wide["v"] == others["part"]).select("u", F.col("id").alias("v")))
+        if roots is None:  # the sets of a group against a few of them
+            few = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id")) for i in range(pivots)]
+            centres = wanted.where("crowd").groupBy("grp").agg(F.array(*few).alias("p")).select("grp", F.explode(F.array_distinct("p.id")).alias("v"))
+            pairs = pairs.unionByName(wanted.where("crowd").join(centres, "grp").where("id <> v").select(F.col("id").alias("u"), "v"))
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
