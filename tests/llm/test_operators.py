@@ -388,6 +388,32 @@ def test_jaccard(spark, odd):
     assert jaccard_classes(docs.limit(0)).count() == 0
 
 
+def test_jaccard_groups(spark):
+    """Sets of one prefix and size: copies of a text with one word changed, against all pairs by brute force."""
+    import random
+
+    from marlstone.llm.jaccard_join import jaccard_classes
+
+    rnd = random.Random(5)
+    rows = []
+    for start in range(2):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(90)]
+        for i in range(40):
+            copy = list(words)
+            for at in rnd.sample(range(90), 1 if i < 20 else 3):
+                copy[at] = f"c{rnd.randrange(10**6)}"
+            rows.append((start * 40 + i, " ".join(copy)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(86)} for i, t in rows}
+    least = {i: i for i in sets}
+    links = [(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    for _ in sets:
+        for x, y in links:
+            least[x] = least[y] = min(least[x], least[y])
+    assert len(set(least.values())) > 2
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_classes(table(spark, rows)).collect()}
+    assert got == least
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from marlstone.llm.decontaminate import find_leaks
