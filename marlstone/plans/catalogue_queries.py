@@ -139,10 +139,10 @@ def i4_blocks(t: Tables) -> DataFrame:
     return out
 
 
-@query("SELECT item_id AS query_id, doc_id FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(regexp_extract(text, '^\\S+\\s+\\S+')), '[\\p{L}\\p{N}]+')) AS w FROM benchmark WHERE item_id % 50 = 0) JOIN (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS d FROM documents) ON list_has_all(d, list_filter(w, lambda x: x NOT IN (STOP)))".replace("STOP", ", ".join(f"'{w}'" for w in re_.STOPWORDS)))
+@query("SELECT query_id, doc_id FROM (SELECT doc_id AS query_id, list_distinct(regexp_extract_all(lower(regexp_extract(text, '\\S+\\s+\\S+$')), '[\\p{L}\\p{N}]+')) AS w FROM documents WHERE doc_id % 50 = 0) JOIN (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS d FROM documents) ON list_has_all(d, list_filter(w, lambda x: x NOT IN (STOP))) AND len(list_filter(w, lambda x: x NOT IN (STOP))) > 0".replace("STOP", ", ".join(f"'{w}'" for w in re_.STOPWORDS)))
 def r10_all_terms(t: Tables) -> DataFrame:
-    """The first two words of items as queries."""
-    queries = t.benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^\S+\s+\S+", 0).alias("text"))
+    """The last two words of the documents whose id is divisible by 50 as queries."""
+    queries = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.regexp_extract("text", r"\S+\s+\S+$", 0).alias("text"))
     return re_.all_terms_lane(queries, re_.postings(t.documents, "doc_id", "text"), "doc_id")
 
 
