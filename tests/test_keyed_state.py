@@ -223,3 +223,63 @@ def test_runs_in_a_stream_with_restart(spark, tmp_path):
     stop = '{"termination_state": "interrupted", "flags": ["RUN_INTERRUPTED"]}'
     assert got == [(1, 0, "start", "", 0, 1), (1, 1, "token", "ab", 10, 2), (1, 2, "done", stop, 5000, 1), (2, 0, "start", "", 0, 1), (2, 1, "token", "x", 20, 1), (2, 2, "done", "", 40, 1)]
     shutil.rmtree(tmp_path / "in")
+
+
+def test_queue_takes_each_version_once(spark, tmp_path):
+    """A batch sent twice, one cut after its results and one cut before its commit: each version has one result."""
+    from marlstone.streaming.queue import JobQueue
+
+    queue, worked = JobQueue(str(tmp_path / "q"), ["version", "attempt"]), []
+
+    def batch(*rows):
+        return spark.createDataFrame([(v, a, s, "x") for v, a, s in rows], "version long, attempt int, status string, text string")
+
+    def work(todo):
+        rows = todo.collect()
+        worked.append(sorted((r.version, r.attempt) for r in rows))
+        return todo.where("version <> 5").select("version", "attempt", F.lit("ready").alias("status"))
+
+    def broken(todo):
+        raise RuntimeError("the worker was lost")
+
+    run = queue.step(work)
+    first = batch((1, 0, "queued"), (1, 0, "queued"), (2, 0, "queued"), (3, 0, "ready"))
+    run(first, 0)
+    run(first, 0)
+    assert worked == [[(1, 0), (2, 0)]]
+    second = batch((2, 0, "queued"), (4, 0, "queued"), (5, 0, "queued"), (1, 1, "queued"))
+    with pytest.raises(RuntimeError):
+        queue.step(broken)(second, 1)
+    queue._write(batch((4, 0, "ready")).select("version", "attempt", "status"), "results", 1)  # half of the results, no commit
+    assert sorted(r.version for r in queue.results(spark).collect()) == [1, 2]
+    run(second, 1)
+    run(batch((4, 0, "queued"), (6, 0, "queued")), 2)
+    assert worked[1:] == [[(1, 1), (4, 0), (5, 0)], [(6, 0)]]
+    assert sorted((r.version, r.attempt) for r in queue.results(spark).collect()) == [(1, 0), (1, 1), (2, 0), (4, 0), (6, 0)]
+    assert sorted((r.version, r.attempt, r.batch_id, r.status) for r in queue.states(spark).collect()) == [(1, 0, 0, "ready"), (1, 1, 1, "ready"), (2, 0, 0, "ready"), (4, 0, 1, "ready"), (5, 0, 1, "failed"), (6, 0, 2, "ready")]
+
+
+def test_queue_in_a_stream_with_restart(spark, tmp_path):
+    from marlstone.streaming.queue import JobQueue, drain
+
+    queue, calls = JobQueue(str(tmp_path / "q"), ["version"]), []
+
+    def work(todo):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return todo.select("version", F.lit("ready").alias("status"))
+
+    def run():
+        stream = spark.readStream.schema("version long, status string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = drain(stream, queue, work, str(tmp_path / "cp"))
+        try:
+            q.awaitTermination(120)
+        except Exception:  # the second batch is cut; the next run sends it again
+            return False
+        return q.exception() is None
+
+    spark.createDataFrame([(i % 20, "queued") for i in range(60)], "version long, status string").repartition(4).write.parquet(str(tmp_path / "in"))
+    assert not run()
+    assert run()
+    assert sorted(r.version for r in queue.results(spark).collect()) == list(range(20))
