@@ -6,47 +6,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells
+from ..functions.stemming import STOP_WORDS, stem_sql
+from ..operators import lexical
 from ..operators import retrieval as re_
 from ..queries import Tables, query
 
-_STOP = ", ".join(f"'{w}'" for w in re_.STOPWORDS)
-_TERMS = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({_STOP})))"
-_LEXICAL = f"""
-    p AS (SELECT doc_id, unnest({_TERMS}) AS lexeme FROM documents),
-    q AS (SELECT item_id AS query_id, unnest({_TERMS}) AS lexeme FROM benchmark WHERE item_id % 50 = 0),
-    f AS (SELECT lexeme, count(*) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
-    tt AS (SELECT q.query_id, q.lexeme, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, df * 1.0 / n <= 0.9 AS rare FROM q JOIN f USING (lexeme), n),
-    s AS (SELECT query_id, doc_id, round(sum(idf), 9) AS score FROM (SELECT *, max(rare) OVER (PARTITION BY query_id) AS anyr FROM tt) x JOIN p USING (lexeme) WHERE rare OR NOT anyr GROUP BY 1, 2),
-    lex AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, score FROM s)"""
+_WORDS = r"[\p{L}\p{N}]+"
+#: Lexemes of texts with their places in SQL: t has (id, text) of both sides, voc stems each word once.
+_STEMMED = f"""
+    docs AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS text FROM documents),
+    quer AS (SELECT item_id AS query_id, lower(left(nfc_normalize(text || ' "' || regexp_extract(text, '\\S+\\s+\\S+\\s+\\S+$') || '"'), 1000)) AS text FROM benchmark),
+    dtok AS (SELECT id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS at_ FROM (SELECT id, regexp_extract_all(text, '{_WORDS}') AS w FROM docs)),
+    qtok AS (SELECT query_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS at_ FROM (SELECT query_id, regexp_extract_all(text, '{_WORDS}') AS w FROM quer)),
+    voc AS MATERIALIZED (SELECT w, CASE WHEN NOT regexp_full_match(w, '\\p{{L}}+') THEN w WHEN w IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}) THEN NULL ELSE {stem_sql("w")} END AS lexeme
+                         FROM (SELECT w FROM dtok UNION SELECT w FROM qtok)),
+    place AS MATERIALIZED (SELECT id, lexeme, at_ FROM dtok JOIN voc USING (w) WHERE lexeme IS NOT NULL),
+    p AS MATERIALIZED (SELECT id AS doc_id, lexeme, count(*) AS n_at FROM place GROUP BY 1, 2),
+    len AS (SELECT doc_id, sum(n_at) AS n_places FROM p GROUP BY 1),
+    q AS MATERIALIZED (SELECT DISTINCT query_id, lexeme FROM qtok JOIN voc USING (w) WHERE lexeme IS NOT NULL),
+    f AS (SELECT lexeme, count(*) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)"""
+_LEXICAL = f"""{_STEMMED},
+    tt AS (SELECT query_id, lexeme, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf, coalesce(df, 0) / n <= 0.9 AS rare FROM q LEFT JOIN f USING (lexeme), n),
+    ph AS (SELECT query_id, j, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT query_id, j, regexp_extract_all(ps[j], '{_WORDS}') AS w FROM (SELECT query_id, list_distinct(regexp_extract_all(text, '"([^"]{{2,200}})"', 1)) AS ps FROM quer), generate_series(1, len(ps)) AS g(j))),
+    pl AS (SELECT query_id, j, k, lexeme, count(*) OVER (PARTITION BY query_id, j) AS size FROM ph JOIN voc USING (w) WHERE lexeme IS NOT NULL),
+    pq AS (SELECT query_id, id AS doc_id, count(DISTINCT j) AS phrases FROM (SELECT query_id, j, id, at_ - k AS shift FROM pl JOIN place USING (lexeme) GROUP BY query_id, j, size, id, at_ - k HAVING count(*) = size) GROUP BY 1, 2),
+    s AS (SELECT query_id, doc_id, round(sum(idf) + 2 * coalesce(any_value(phrases), 0), 9) AS score, sum(n_at) AS places FROM (SELECT *, max(rare) OVER (PARTITION BY query_id) AS anyr FROM tt) x JOIN p USING (lexeme) LEFT JOIN pq USING (query_id, doc_id) WHERE rare OR NOT anyr GROUP BY 1, 2),
+    lex AS (SELECT query_id, doc_id, score, round(0.1 * places / ln(n_places + 1), 9) AS tiebreak, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, round(0.1 * places / ln(n_places + 1), 9) DESC, doc_id) AS rank FROM s JOIN len USING (doc_id))"""
+_DENSE = """
+    qv AS (SELECT item_id AS query_id, embedding AS e FROM benchmark JOIN embeddings ON vec_id = item_id),
+    ds AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS score FROM embeddings, qv),
+    den AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds)"""
 
 
 def _queries(t: Tables) -> DataFrame:
-    """The stated query set: benchmark items whose id is divisible by 50."""
-    return t.benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
+    """All benchmark items as queries, their last three words once more as a quoted phrase."""
+    text = F.concat(F.col("text"), F.lit(' "'), F.regexp_extract("text", r"\S+\s+\S+\s+\S+$", 0), F.lit('"'))
+    return t.benchmark.select(F.col("item_id").alias("query_id"), text.alias("text"))
+
+
+def _index(t: Tables) -> lexical.LexicalIndex:
+    return lexical.index_of(t.documents, "doc_id", "text")
 
 
 def _lexical(t: Tables, k: int) -> DataFrame:
-    docs = t.documents
-    return re_.lexical_lane(_queries(t), docs, re_.postings(docs, "doc_id", "text"), "doc_id", "text", k)
+    return lexical.lexical_lane(_queries(t), _index(t), k)
+
+
+def _dense(t: Tables, k: int) -> DataFrame:
+    """Benchmark items that have a vector against all vectors, taken as those of the documents of the same number."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    queries = t.benchmark.join(t.embeddings, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return re_.dense_lane(queries, vectors, "doc_id", "embedding", k)
+
+
+@query(f"WITH {_STEMMED} SELECT query_id, string_agg(lexeme, ' ' ORDER BY lexeme) AS lexemes FROM q GROUP BY 1")
+def r3_query_lexemes(t: Tables) -> DataFrame:
+    got = lexical.analysed(lexical.normalised_queries(_queries(t)), ["query_id"], "text")
+    return got.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("lexeme")), " ").alias("lexemes"))
 
 
-@query(f"SELECT lexeme, count(*) AS df FROM (SELECT doc_id, unnest({_TERMS}) AS lexeme FROM documents) GROUP BY 1")
+@query(f"WITH {_STEMMED} SELECT lexeme, df FROM f")
 def r4_document_frequencies(t: Tables) -> DataFrame:
-    return re_.postings(t.documents, "doc_id", "text").groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
+    return _index(t).frequencies()
 
 
-@query(f"""
-    WITH f AS (SELECT lexeme, count(*) AS df FROM (SELECT doc_id, unnest({_TERMS}) AS lexeme FROM documents) GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
-    SELECT lexeme, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM f, n""")
+@query(f"WITH {_STEMMED} SELECT lexeme, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM f, n")
 def r5_idf(t: Tables) -> DataFrame:
-    n = t.documents.agg(F.count(F.lit(1)).alias("n"))
-    df = re_.postings(t.documents, "doc_id", "text").groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("lexeme", F.round(cells.idf(F.col("n"), F.col("df")), 9).alias("idf"))
+    index = _index(t)
+    return index.frequencies().crossJoin(F.broadcast(index.size())).select("lexeme", F.round(cells.idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
 
-@query(f"WITH {_LEXICAL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lex WHERE rank <= 10")
+@query(f"WITH {_LEXICAL} SELECT query_id, doc_id, round(score, 6) AS score, round(tiebreak, 6) AS tiebreak, rank FROM lex WHERE rank <= 10")
 def r7_lexical_lane(t: Tables) -> DataFrame:
-    return _lexical(t, 10).withColumn("score", F.round("score", 6))
+    return _lexical(t, 10).withColumns({"score": F.round("score", 6), "tiebreak": F.round("tiebreak", 6)})
+
+
+@query(f"""
+    WITH {_STEMMED}, want AS (SELECT query_id, lexeme, count(*) OVER (PARTITION BY query_id) AS m FROM (SELECT DISTINCT query_id, lexeme FROM (SELECT *, max(at_) OVER (PARTITION BY query_id) AS last FROM qtok) JOIN voc USING (w) WHERE at_ > last - 3 AND lexeme IS NOT NULL)),
+    h AS MATERIALIZED (SELECT query_id, id AS doc_id, m, lexeme, at_ FROM want JOIN place USING (lexeme)),
+    g AS (SELECT query_id, doc_id FROM h GROUP BY query_id, doc_id, m HAVING count(DISTINCT lexeme) = m),
+    e AS MATERIALIZED (SELECT h.*, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY at_) AS no FROM h SEMI JOIN g USING (query_id, doc_id)),
+    z AS (SELECT e.query_id, e.doc_id, e.at_ AS e, e.no AS last_no, w.lexeme, e.m FROM e JOIN (SELECT DISTINCT query_id, lexeme FROM want) w USING (query_id)),
+    l AS (SELECT z.query_id, z.doc_id, z.e, any_value(z.last_no) AS last_no, min(e.at_) AS b, min(e.no) AS first_no FROM z ASOF JOIN e ON z.query_id = e.query_id AND z.doc_id = e.doc_id AND z.lexeme = e.lexeme AND z.e >= e.at_ GROUP BY z.query_id, z.doc_id, z.e, z.m HAVING count(*) = z.m),
+    x AS (SELECT query_id, doc_id, b, e, last_no - first_no + 1 AS entries FROM l QUALIFY coalesce(b > lag(b) OVER (PARTITION BY query_id, doc_id ORDER BY e), true)),
+    d AS (SELECT query_id, doc_id, round(sum(0.1 / (1 + (e - b) - (entries - 1))) / ln(any_value(n_places) + 1), 9) AS density FROM x JOIN len USING (doc_id) GROUP BY 1, 2)
+    SELECT query_id, doc_id, round(density, 6) AS density, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY density DESC, doc_id) AS rank FROM d) WHERE rank <= 10""")
+def r9_cover_density(t: Tables) -> DataFrame:
+    """The last three words of all benchmark items, all of them wanted, by minimal covers."""
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"\S+\s+\S+\s+\S+$", 0).alias("text"))
+    return lexical.all_lexemes_lane(queries, _index(t), 10).withColumn("density", F.round("density", 6))
 
 
 @query("""
@@ -59,14 +107,13 @@ def r11_dense_lane(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    WITH {_LEXICAL}, two AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank FROM lex WHERE rank <= 30),
-    u AS (SELECT query_id, doc_id, rank FROM lex WHERE rank <= 30 UNION ALL SELECT * FROM two),
-    r AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 12) AS score, min(rank) AS best FROM u GROUP BY 1, 2)
-    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, doc_id) AS fused_rank FROM r""")
+    WITH {_LEXICAL}, {_DENSE},
+    u AS (SELECT query_id, doc_id, rank FROM lex WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, rank FROM den WHERE rank <= 30),
+    r AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(rank) AS best_rank FROM u GROUP BY 1, 2)
+    SELECT query_id, doc_id, round(score, 9) AS score, best_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, doc_id) AS fused_rank FROM r""")
 def r13_rank_fusion(t: Tables) -> DataFrame:
-    one = _lexical(t, 30)
-    two = re_.top_k(one.select("query_id", "doc_id", F.col("doc_id").cast("double").alias("score")), "doc_id", 30)
-    return re_.fuse({"lexical": one, "newest": two}, "doc_id").select("query_id", "doc_id", "fused_rank")
+    fused = re_.fuse({"lexical": _lexical(t, 30), "dense": _dense(t, 30)}, "doc_id")
+    return fused.withColumn("score", F.round("score", 9))
 
 
 @query(f"""
@@ -77,10 +124,14 @@ def w4_pool_cap(t: Tables) -> DataFrame:
     return re_.cap_per_source(ranked, "source", "rank", 2, 24).select("query_id", "doc_id", F.col("pool_rank"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_LEXICAL}, c AS MATERIALIZED (SELECT query_id, doc_id, rank, (n_chars + 3) // 4 AS tokens FROM lex JOIN documents USING (doc_id) WHERE rank <= 24),
+    walk AS (SELECT query_id, 0::BIGINT AS rank, NULL::BIGINT AS doc_id, 0::BIGINT AS used, 0::BIGINT AS items, false AS kept FROM c GROUP BY 1
+             UNION ALL SELECT c.query_id, c.rank, c.doc_id, used + CASE WHEN items < 12 AND used + tokens <= 1500 THEN tokens ELSE 0 END, items + CASE WHEN items < 12 AND used + tokens <= 1500 THEN 1 ELSE 0 END, items < 12 AND used + tokens <= 1500 FROM walk w JOIN c ON c.query_id = w.query_id AND c.rank = w.rank + 1)
+    SELECT query_id, doc_id, items - 1 AS pack_rank FROM walk WHERE kept""")
 def w7_evidence_pack(t: Tables) -> DataFrame:
     ranked = _lexical(t, 24).join(t.documents.select("doc_id", "n_chars"), "doc_id").withColumn("tokens", F.ceil(F.col("n_chars") / 4))
-    return re_.evidence_pack(ranked, "doc_id", "rank", "tokens")
+    return re_.evidence_pack(ranked, "doc_id", "rank", "tokens", most_tokens=1500)
 
 
 @query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'apache license') AND contains(lower(text), 'the')")
