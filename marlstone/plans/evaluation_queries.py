@@ -86,16 +86,6 @@ def e5_bootstrap(t: Tables) -> DataFrame:
     return ev.bootstrap(per, "lang", "quality", samples=2000)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS unsupported FROM orders")
-def v5_unsupported_numbers(t: Tables) -> DataFrame:
-    """Answers whose total is off on odd orders, checked against their evidence."""
-    o = t.orders
-    cents = F.format_string("%.2f", F.col("o_totalprice"))
-    df = o.select("o_orderkey", F.concat(F.lit("In 1998 the total was $"), F.format_string("%.2f", F.col("o_totalprice") + F.col("o_orderkey") % 2 * 7), F.lit(".")).alias("answer"), F.concat(F.lit("total $"), cents).alias("evidence"))
-    bad = claims.unsupported(df, "answer", "evidence", "o_orderkey").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("k"))
-    return o.select("o_orderkey").join(bad, "o_orderkey", "left").select("o_orderkey", F.coalesce("k", F.lit(0)).cast("int").alias("unsupported"))
-
-
 @query("SELECT item_id, CASE WHEN regexp_matches(lower(text), '\\b(compare|versus|vs)\\b') THEN 'compare' WHEN regexp_matches(lower(text), '\\b(how many|average|mean|median|total)\\b') THEN 'aggregate' WHEN regexp_matches(lower(text), '\\b(list|show|which)\\b') THEN 'list' ELSE 'search' END AS task FROM benchmark")
 def v14_router(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", claims.route(F.col("text")).alias("task"))

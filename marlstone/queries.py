@@ -38,6 +38,6 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Q
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All registered queries and their SQL."""
-    from .plans import analytics_queries, catalogue_queries, evaluation_queries, ingestion_queries, record_queries, result_queries, retrieval_queries, streaming_queries, telemetry_queries  # noqa: F401
+    from .plans import analytics_queries, catalogue_queries, claim_queries, evaluation_queries, ingestion_queries, record_queries, result_queries, retrieval_queries, streaming_queries, telemetry_queries  # noqa: F401
 
     return QUERIES, ORACLES

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import cells
 from marlstone.operators import analytics as an
-from marlstone.operators import claims, ingestion
+from marlstone.operators import figures, ingestion
 from marlstone.operators import evaluation as ev
 from marlstone.operators import retrieval as re_
 from marlstone.plans.spec import Schema, SpecError, dataset_id, request_key
@@ -103,9 +103,10 @@ def test_csv_rows_keep_numbers(spark, tmp_path):
     assert [(r["row_number"], r["a"]) for r in got] == [(2, "1"), (4, "3")]
 
 
-def test_numbers():
-    got = claims.numbers("Sales rose 3.5% to $1.2 million in 2021, twelve more than 1,200")
-    assert [(n["value"], n["percent"], n["currency"], n["temporal"]) for n in got] == [(3.5, True, None, False), (1.2e6, False, "$", False), (2021.0, False, None, True), (1200.0, False, None, False), (12.0, False, None, False)]
+def test_numbers(spark):
+    df = spark.createDataFrame([("Sales rose 3.5% to $1.2 million in 2021, twelve more than 1,200",)], "t string")
+    got = one(figures.with_mentions(df, "t", bare=True))["mentions"]
+    assert [(n["value"], n["percent"], n["currency"], n["temporal"]) for n in got] == [(3.5, True, None, False), (1.2e6, False, "USD", False), (2021.0, False, None, True), (12.0, False, None, False), (1200.0, False, None, False)]
 
 
 def test_bootstrap_and_floor(spark):
