@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import figures
+from ..operators import answers, figures
 from ..queries import Tables, query
 
 #: Sentences with one figure of an order each, by the order's number: form, then value, scale, percent, currency, temporal and kind.
@@ -92,3 +92,50 @@ def v11_recheck(t: Tables) -> DataFrame:
     notes = d.select(handle.alias("handle"), F.concat(F.lit("The text holds "), wrong, F.lit(" characters.")).alias("text"))
     said = d.select("doc_id", F.concat(F.lit("A first sentence without figures. It holds "), F.col("n"), F.lit(" characters [["), handle, F.lit("]].")).alias("content"))
     return figures.recheck(said, notes, "doc_id", "content", "handle", "text").select("doc_id", "unit", "numbers")
+
+
+_HEADS = {"1-URGENT": ("## Answer", "answer"), "2-HIGH": ("### **Key findings**:", "findings"), "3-MEDIUM": ("## Conflicting  Evidence ##", "conflicts"), "4-NOT SPECIFIED": ("## Notes", "unrecognized"), "5-LOW": ("#### Gaps &amp; Unknowns", "gaps")}
+
+
+@query(f"""
+    WITH o AS (SELECT o_custkey, o_orderkey, CASE o_orderpriority {" ".join(f"WHEN '{p}' THEN '{s}'" for p, (_, s) in _HEADS.items())} END AS section FROM orders),
+    g AS (SELECT o_custkey, section, min(o_orderkey) AS first, string_agg('order ' || o_orderkey, chr(10) || chr(10) ORDER BY o_orderkey) AS body FROM o GROUP BY 1, 2)
+    SELECT o_custkey, section, row_number() OVER (PARTITION BY o_custkey ORDER BY first) AS place, body FROM g""")
+def v1_sections(t: Tables) -> DataFrame:
+    """The orders of a customer as an answer in sections by priority, many of them opened more than once."""
+    head = F.create_map(*(F.lit(x) for p, (h, _) in _HEADS.items() for x in (p, h)))
+    part = F.concat(head[F.col("o_orderpriority")], F.lit("\n"), F.lit("order "), F.col("o_orderkey").cast("string"))
+    parts = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("part")))).alias("parts"))
+    return answers.sections(parts.select("o_custkey", F.array_join(F.transform("parts", lambda x: x["part"]), "\n").alias("text")), "o_custkey", "text")
+
+
+@query("""
+    SELECT conv_id, turn, 'Turn: ' || coalesce(text, '') || ' as ' || role || ' told, see here (R' || turn || ') [E1] and.' AS clean, 9::BIGINT AS n_leaks FROM conversations""")
+def v7_leaks(t: Tables) -> DataFrame:
+    """Every turn with nine leaks of all kinds in it; what stays is the turn and the words between them."""
+    n = F.col("turn").cast("string")
+    leaky = F.concat(
+        F.lit("Turn: "), F.coalesce("text", F.lit("")), F.lit(" [[WS/SRC@v1:P"), n, F.lit("]] as <b>"), F.col("role"), F.lit("</b> to\u200bld, see [here](http://x.y/"), n, F.lit(") (R"), n,
+        F.lit(") WS/ABC-1@v12:P3.B2 [E1](u) and https://e.f/"), n, F.lit(" #w12 ."),
+    )
+    got = answers.strip_leaks(t.conversations.select("conv_id", "turn", leaky.alias("text")), "text")
+    return got.select("conv_id", "turn", "clean", F.size("leaks").cast("long").alias("n_leaks"))
+
+
+@query()
+def v9_citation_budget(t: Tables) -> DataFrame:
+    """Orders as answers: each line is a unit that cites its own, the previous and the first line; five citations at most.
+
+    A citation backs a line's quantity if the line cited has it too. The steps depend on each other, so there is no SQL; the tests
+    compare small answers with the steps written out.
+    """
+    lines = t.lineitem.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")))
+    n, q = F.col("n"), F.col("l_quantity").cast("long").cast("string")
+    name = F.when(n <= 2, "answer").when(n <= 5, "findings").otherwise("interpretation")
+    alias = lambda i: F.concat(F.lit("E"), i.cast("string"))
+    cited = F.array_distinct(F.array(alias(n), alias(F.greatest(n - 1, F.lit(1))), F.lit("E1")))
+    said = F.concat(F.lit("The line has "), q, F.lit(" pieces "), F.array_join(F.transform(cited, lambda a: F.concat(F.lit("["), a, F.lit("]"))), ""))
+    units = lines.select("l_orderkey", name.alias("section"), n.cast("long").alias("unit"), said.alias("text"), cited.alias("cited"), F.expr("CAST(array() AS array<string>)").alias("fixed"))
+    evidence = lines.select("l_orderkey", alias(n).alias("alias"), F.concat(q, F.lit(" pieces")).alias("body"))
+    proved = answers.proofs(units, "l_orderkey", F.col("text"), "cited", evidence)
+    return answers.fit_citations(proved, "l_orderkey", 5).select("l_orderkey", "unit", "cited", "kept")
