@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import pairwise
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -195,7 +194,7 @@ def fit_citations(units: DataFrame, key: str, cap: int, parents: DataFrame | Non
 
     units: key, section, unit (order), text, cited array<string>, proof map<string,array<int>> (claims that a citation backs), fixed
     array<string> (citations that must stay). parents: key, alias, parent. Answers within the cap are left alone by
-    Spark; the others, small groups, are fitted one by one: repeated units go; then second citations of one parent, those of the
+    Spark; the others, each packed into one row, are fitted one by one: repeated units go; then second citations of one parent, those of the
     unit before, those the findings have, extra ones; then findings beyond the third, from the end. A citation goes only
     while the unit keeps one and the rest back every claim that all backed. What cannot fit stays over the cap.
     """
@@ -211,19 +210,23 @@ def fit_citations(units: DataFrame, key: str, cap: int, parents: DataFrame | Non
     else:
         busy = busy.withColumn("parents", named)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("unit")
-        bits = lambda ids: sum(1 << int(i) for i in set(ids))
-        listed = lambda x: [] if x is None else list(x)
-        own = [
-            _Unit(int(r.unit), r.section, r.text or "", listed(r.cited), {a: bits(ids) for a, ids in dict(r.proof or {}).items()}, set(listed(r.fixed)))
-            for r in frame.itertuples()
-        ]
-        _fit(own, cap, dict(frame["parents"].iloc[0] or {}))
-        columns = {"section": [u.section for u in own], "unit": [u.at for u in own], "text": [u.text for u in own], "cited": [u.cited for u in own], "kept": [u.kept for u in own], "repairs": [u.log for u in own]}
-        return pd.DataFrame({key: frame[key].iloc[0], **columns})
-
-    fitted = busy.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, section string, unit long, text string, cited array<string>, kept boolean, repairs array<string>")
+    held = ["section", "unit", "text", "cited", "proof", "fixed"]
+    packed = busy.groupBy(key).agg(F.collect_list(F.struct(*held)).alias("units"), F.any_value("parents").alias("parents"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = lambda ids: sum(1 << i for i in set(ids or ()))
+        for batch in batches:
+            rows, done = [], []
+            for row, (units_, parents_) in enumerate(zip(batch.column("units").to_pylist(), batch.column("parents").to_pylist(), strict=True)):
+                own = [_Unit(int(u["unit"]), u["section"], u["text"] or "", list(u["cited"] or ()), {a: bits(ids) for a, ids in u["proof"] or ()}, set(u["fixed"] or ())) for u in sorted(units_, key=lambda u: u["unit"])]
+                _fit(own, cap, dict(parents_ or ()))
+                rows += [row] * len(own)
+                done += own
+            texts, lists = pa.string(), pa.list_(pa.string())
+            columns = [pa.array([u.section for u in done], texts), pa.array([u.at for u in done], pa.int64()), pa.array([u.text for u in done], texts), pa.array([u.cited for u in done], lists), pa.array([u.kept for u in done], pa.bool_()), pa.array([u.log for u in done], lists)]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int32())), *columns], [key, "section", "unit", "text", "cited", "kept", "repairs"])
+
+    fitted = packed.mapInArrow(run, f"{key} {kinds[key]}, section string, unit long, text string, cited array<string>, kept boolean, repairs array<string>")
     return calm.withColumn("unit", F.col("unit").cast("long")).unionByName(fitted)
 
 

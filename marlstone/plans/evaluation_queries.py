@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import claims
 from ..operators import evaluation as ev
+from ..operators import gold as go
 from ..operators import retrieval as re_
 from ..queries import Tables, query
 
@@ -99,3 +100,46 @@ def v6_years(t: Tables) -> DataFrame:
 @query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'ignore previous instructions')")
 def v17_instruction_like(t: Tables) -> DataFrame:
     return t.documents.where(claims.instruction_like(F.col("text"))).select("doc_id")
+
+
+@query("""
+    SELECT o_orderkey, o_orderkey % 5 <> 1 AS filter_ok, o_orderkey % 5 <> 2 AS aggregation_ok, o_orderkey % 5 <> 3 AS grouping_ok FROM orders""")
+def e19_spec_components(t: Tables) -> DataFrame:
+    """Specs made from orders, written in another order and form, each with at most one part that differs from the gold spec."""
+    k, price, s = F.col("o_orderkey") % 5, F.floor(F.col("o_totalprice") / 1000).cast("string"), F.col("o_orderstatus")
+    gold = F.concat(F.lit('{"filters":[{"column":"status","op":"in","values":["'), s, F.lit('"]},{"column":"price","op":"gt","value":'), price, F.lit('}],"metrics":[{"fn":"sum","column":"x"}],"group_by":["a","b"]}'))
+    own = F.concat(
+        F.lit('{"group_by":["b","a"'), F.when(k == 3, ',"c"').otherwise(""), F.lit('],"metrics":[{"fn":"count"},{"fn":"'), F.when(k == 2, "mean").otherwise("sum"),
+        F.lit('","column":"x"}],"filters":[{"column":"price","op":"gt","operands":["'), price, F.when(k == 1, "1").otherwise(".0"), F.lit('"]},{"op":"eq","column":"status","value":"'), s, F.lit('"}]}'),
+    )
+    df = t.orders.select("o_orderkey", F.lit("aggregate").alias("tool"), gold.alias("gold"), own.alias("own"))
+    return go.spec_components(df, "tool", "gold", "tool", "own").select("o_orderkey", "filter_ok", "aggregation_ok", "grouping_ok")
+
+
+@query("""
+    WITH g AS (SELECT l_orderkey, l_returnflag, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+         c AS (SELECT l_orderkey, l_returnflag, q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) - 1 AS place FROM g),
+         w AS (SELECT l_orderkey, max(l_returnflag) AS f FROM lineitem GROUP BY 1)
+    SELECT w.l_orderkey, CASE WHEN w.l_orderkey % 3 = 0 THEN NULL ELSE place END AS place, w.l_orderkey % 3 = 1 AS exact_equal, w.l_orderkey % 3 <> 0 AS rounded_equal FROM w JOIN c ON c.l_orderkey = w.l_orderkey AND c.l_returnflag = w.f""")
+def e18_gold_values(t: Tables) -> DataFrame:
+    """Quantities by return flag as cells; the gold value of the last flag is exact, only rounded, or wrong."""
+    by = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.sum("l_quantity").cast("decimal(20,4)").alias("q"))
+    common = [F.lit("D:1").alias("dataset"), F.lit("sum").alias("fn"), F.lit("q").alias("column"), F.create_map(F.lit("flag"), "l_returnflag").alias("group"), F.lit(None).cast("int").alias("denominator"), F.lit("count").alias("unit")]
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_returnflag")) - 1
+    cells = by.select("l_orderkey", place.alias("place"), F.lit("aggregate").alias("operation"), *common, F.bround("q", 2).cast("string").alias("value"), F.col("q").cast("string").alias("exact"))
+    last = by.groupBy("l_orderkey").agg(F.max(F.struct("l_returnflag", "q")).alias("m")).select("l_orderkey", "m.*")
+    k = F.col("l_orderkey") % 3
+    value, exact = F.when(k == 0, F.col("q") + 9_000_000).otherwise(F.bround("q", 2)), F.when(k == 1, F.col("q")).otherwise(F.col("q") + 8_000_000)
+    gold = last.select("l_orderkey", F.lit(0).alias("fact"), F.lit("aggregate").alias("tool"), *common, value.cast("string").alias("value"), exact.cast("string").alias("exact"))
+    return go.match_gold(gold, cells, "l_orderkey", "fact").select("l_orderkey", "place", "exact_equal", "rounded_equal")
+
+
+@query("""
+    WITH f AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '\\S+'), lambda x, i: i IN (1, 4)) AS forms FROM benchmark WHERE length(trim(text)) > 0)
+    SELECT item_id, doc_id FROM f, documents WHERE contains(lower(text), forms[1]) AND contains(lower(text), forms[len(forms)]) AND doc_id % 10 <> item_id % 10""")
+def j19_surface_forms(t: Tables) -> DataFrame:
+    """The first and fourth word of every benchmark item as its forms, against all documents; pairs of equal last digits are known."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\S+)"), F.lit(1))
+    facts = t.benchmark.where(F.length(F.trim("text")) > 0).select("item_id", F.filter(words, lambda x, i: i.isin(0, 3)).alias("forms"))
+    found = go.surface_candidates(facts, "item_id", "forms", t.documents, "doc_id", "text")
+    return found.where(F.col("doc_id") % 10 != F.col("item_id") % 10)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ingestion as ing
+from ..operators import layout
 from ..queries import Tables, query
 from ..sources import tabular
 
@@ -67,3 +68,32 @@ def i11_missing_embeddings(t: Tables) -> DataFrame:
 @query("SELECT p_partkey, substr(trim(regexp_replace(upper(p_name), '[^A-Z0-9]+', '-', 'g'), '-'), 1, 32) AS code FROM part")
 def i16_source_code(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", ing.source_code(F.concat(F.col("p_name"), F.lit(".csv"))).alias("code"))
+
+
+_LINES = """
+    t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
+    l AS (SELECT doc_id, line // 30 AS page, line, CASE WHEN line % 5 = 2 THEN '- ' ELSE '' END || trim(raw) AS text, CASE WHEN line % 17 = 0 THEN 18.0 WHEN line % 11 = 4 THEN 13.0 WHEN line % 29 = 9 THEN 7.0 ELSE 10.0 END AS size, line * 12.0 + line // 3 * 6.0 AS top, line * 12.0 + line // 3 * 6.0 + 11.0 AS bottom FROM t)"""
+
+
+@query(f"""
+    WITH {_LINES}, x AS (SELECT * FROM l WHERE trim(text) <> ''),
+    z AS (SELECT doc_id, size, sum(length(text)) AS n, min(line) AS first FROM x GROUP BY 1, 2), b AS (SELECT doc_id, arg_min(size, (-n, first)) AS body FROM z GROUP BY 1),
+    k AS (SELECT x.*, body, size - body >= 2 AND length(text) <= 160 AS head, size - body >= 5 AND length(text) <= 160 AS big, starts_with(text, '- ') AND NOT (size - body >= 2 AND length(text) <= 160) AS item FROM x JOIN b USING (doc_id) WHERE size - body > -2),
+    g AS (SELECT *, lag(bottom) OVER p AS low, lag(head) OVER p AS after FROM k WINDOW p AS (PARTITION BY doc_id, page ORDER BY line)),
+    s AS (SELECT *, NOT head AND (item OR low IS NULL OR after OR top - low > 0.45 * body) AS starts FROM g),
+    u AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id, page ORDER BY line) AS unit, sum(head::INT) OVER (PARTITION BY doc_id, page ORDER BY line) AS block,
+                 max(CASE WHEN head THEN line END) OVER w AS hl, max(CASE WHEN big THEN line END) OVER w AS tl, min(CASE WHEN head AND NOT big THEN line END) OVER w AS sl FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+    v AS (SELECT doc_id, page, block, unit, min(line) AS first, max(hl) AS hl, max(tl) AS tl, max(sl) AS sl, bool_or(item AND starts) AS is_item, string_agg(CASE WHEN item THEN trim(substr(text, 3)) ELSE text END, ' ' ORDER BY line) AS text FROM u WHERE NOT head GROUP BY 1, 2, 3, 4),
+    r AS (SELECT *, is_item AND NOT coalesce(lag(is_item) OVER (PARTITION BY doc_id, page, block ORDER BY first), false) AS fresh FROM v)
+    SELECT r.doc_id, r.page, row_number() OVER (PARTITION BY r.doc_id, r.page ORDER BY first) AS unit, CASE WHEN is_item THEN 'item' ELSE 'paragraph' END AS kind, CASE WHEN is_item THEN sum(fresh::INT) OVER (PARTITION BY r.doc_id ORDER BY first) END AS list_run,
+           CASE WHEN hl IS NULL THEN '' WHEN hl = tl OR coalesce(tl, CASE WHEN sl < hl THEN sl END) IS NULL THEN h.text ELSE o.text || ' > ' || h.text END AS heading_path, r.text
+    FROM r LEFT JOIN l h ON h.doc_id = r.doc_id AND h.line = hl LEFT JOIN l o ON o.doc_id = r.doc_id AND o.line = coalesce(tl, sl)""")
+def i17_layout(t: Tables) -> DataFrame:
+    """Lines of documents as laid-out pages, their sizes and gaps by line number."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
+    n = F.col("line")
+    top = n * 12.0 + F.floor(n / 3) * 6.0
+    size = F.when(n % 17 == 0, 18.0).when(n % 11 == 4, 13.0).when(n % 29 == 9, 7.0).otherwise(10.0)
+    text = F.concat(F.when(n % 5 == 2, "- ").otherwise(""), F.trim("raw"))
+    made = lines.select("doc_id", F.floor(n / 30).alias("page"), "line", text.alias("text"), size.alias("size"), top.alias("top"), (top + 11.0).alias("bottom"))
+    return layout.layout(made, "doc_id").withColumn("heading_path", F.array_join("heading_path", " > "))

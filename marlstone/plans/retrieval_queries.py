@@ -9,6 +9,7 @@ from ..functions import cells
 from ..functions.stemming import STOP_WORDS, stem_sql
 from ..operators import lexical
 from ..operators import retrieval as re_
+from ..operators import search as se
 from ..queries import Tables, query
 
 _WORDS = r"[\p{L}\p{N}]+"
@@ -142,3 +143,35 @@ def r20_keyword_search(t: Tables) -> DataFrame:
 @query("SELECT item_id, trim(regexp_replace('  ' || text || '\t x\n', '\\s+', ' ', 'g')) AS flat FROM benchmark")
 def i1_collapsed(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", cells.collapsed(F.concat(F.lit("  "), "text", F.lit("\t x\n"))).alias("flat"))
+
+
+_SEARCH = f"""
+    WITH {_LEXICAL}, {_DENSE},
+    u AS (SELECT query_id, doc_id, rank FROM lex WHERE rank <= 40 UNION ALL SELECT query_id, doc_id, rank FROM den WHERE rank <= 40),
+    r AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(rank) AS best_rank FROM u GROUP BY 1, 2),
+    fu AS (SELECT r.*, source, lang, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, doc_id) AS fused_rank FROM r JOIN documents USING (doc_id)),
+    po AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over, fused_rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY fused_rank) > 4 AS over FROM fu)),
+    od AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN place <= 24 THEN place ELSE 1000 + fused_rank END) AS pos FROM po),
+    cp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over3, pos) AS fin FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY pos) > 3 AS over3 FROM od)),
+    fl AS (SELECT *, fin <= 10 AS head, list_position(['de', 'es'], lang) AS want, row_number() OVER (PARTITION BY query_id, lang ORDER BY fin) AS nth FROM cp),
+    mk AS (SELECT *, head AND NOT (coalesce(want, 0) > 0 AND nth = 1) AS spare, NOT head AND coalesce(want, 0) > 0 AND nth = 1 AS fresh FROM fl),
+    mv AS (SELECT *, least(sum(spare::INT) OVER (PARTITION BY query_id), sum(fresh::INT) OVER (PARTITION BY query_id)) AS moves, row_number() OVER (PARTITION BY query_id, spare ORDER BY fin DESC) AS s_no, row_number() OVER (PARTITION BY query_id, fresh ORDER BY want) AS f_no FROM mk)"""
+
+
+@query(f"""{_SEARCH}
+    SELECT query_id, doc_id, place <= 24 AS in_pool, fresh AND f_no <= moves AS promoted,
+           row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN head AND NOT (spare AND s_no <= moves) THEN 0 WHEN fresh AND f_no <= moves THEN 1 ELSE 2 END, CASE WHEN fresh AND f_no <= moves THEN want ELSE fin END) AS rank
+    FROM mv""")
+def r15_search(t: Tables) -> DataFrame:
+    """All benchmark items through lanes, fusion, pool, source caps and a floor for two languages."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    own = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = se.search(_queries(t).join(own, "query_id", "left"), t.documents, "doc_id", "source", "lang", se.SearchConfig(wanted_classes=("de", "es")), _index(t), vectors)
+    return found.ranked.select("query_id", "doc_id", "in_pool", "promoted", "rank")
+
+
+@query()
+def r18_reranked(t: Tables) -> DataFrame:
+    """The same with a scorer that counts shared words; the scorer is Python, so there is no SQL and the tests compare with plain sorting."""
+    found = se.search(_queries(t), t.documents, "doc_id", "source", "lang", se.SearchConfig(use_dense=False, rerank=True), _index(t), scorer=se.overlap_scorer)
+    return found.ranked.where("in_pool").select("query_id", "doc_id", "rerank_score", "rank")
