@@ -111,7 +111,7 @@ def below_floor(metrics: DataFrame, floors: dict[str, float]) -> DataFrame:
 
 
 def longest_shared_run(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs with longest: words of the longest run that both texts share."""
+    """pairs with longest: content stems of the longest run that both texts share; null texts share nothing."""
 
     def longest(x: list[str], y: list[str]) -> int:
         # a run of n words holds runs of fewer, so the length is searched by halving
@@ -127,9 +127,10 @@ def longest_shared_run(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            yield f.assign(longest=[longest((p or "").lower().split(), (q or "").lower().split()) for p, q in zip(f[a], f[b], strict=True)])
+            yield f.assign(longest=[longest(list(p), list(q)) for p, q in zip(f["_a"], f["_b"], strict=True)]).drop(columns=["_a", "_b"])
 
-    return pairs.mapInPandas(run, ", ".join(f"`{n}` {k}" for n, k in pairs.dtypes) + ", longest long")
+    stemmed = pairs.withColumn("_a", content_stems(F.col(a))).withColumn("_b", content_stems(F.col(b)))
+    return stemmed.mapInPandas(run, ", ".join(f"`{n}` {k}" for n, k in pairs.dtypes) + ", longest long")
 
 
 def paired_difference(a: DataFrame, b: DataFrame, item: str, score: str, **options) -> DataFrame:

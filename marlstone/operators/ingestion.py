@@ -75,17 +75,22 @@ def purge(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(gone.select(*on).distinct(), on, "left_anti")
 
 
-def redact(dependants: DataFrame, array: str, gone: DataFrame, text: str, marker: str = "[source deleted]") -> DataFrame:
-    """dependants whose handles (CODE-version-...) name a purged version lose their text; the others stay as they are."""
-    touched = (
-        dependants.select("id", F.explode(array).alias("h"))
-        .select("id", F.regexp_extract("h", r"^([A-Z]+)-v(\d+)", 1).alias("source"), F.regexp_extract("h", r"^([A-Z]+)-v(\d+)", 2).try_cast("int").alias("version"))
-        .join(gone, ["source", "version"], "left_semi")
-        .select("id")
-        .distinct()
-        .withColumn("_hit", F.lit(True))
-    )
-    return dependants.join(touched, "id", "left").withColumn(text, F.when(F.col("_hit"), F.lit(marker)).otherwise(F.col(text))).drop("_hit")
+def redact(dependants: DataFrame, key: str, array: str, gone: DataFrame, text: str, marker: str = "[source deleted]") -> DataFrame:
+    """dependants that name a handle of a purged version (source, version) lose their text; the others stay as they are."""
+    from .retrieval import handle_parts
+
+    named = dependants.select(key, F.explode(array).alias("_h")).select(key, handle_parts(F.col("_h")).alias("_p")).where("_p IS NOT NULL").select(key, "_p.source", "_p.version")
+    touched = named.join(gone.select("source", "version").distinct(), ["source", "version"], "left_semi").select(key).distinct().withColumn("_hit", F.lit(True))
+    return dependants.join(touched, key, "left").withColumn(text, F.when(F.col("_hit"), F.lit(marker)).otherwise(F.col(text))).drop("_hit")
+
+
+def tombstoned(cards: F.Column, gone: F.Column) -> F.Column:
+    """Citation cards (structs with handle and source_code) in their order; those of purged sources keep only these two, and purged.
+
+    gone is an array of source codes. All cards get the field purged; the other fields of a purged one are null.
+    """
+    out = lambda c: F.array_contains(gone, c["source_code"])
+    return F.transform(cards, lambda c: F.when(out(c), F.struct(c["handle"].alias("handle"), c["source_code"].alias("source_code"), F.lit(None).cast("string").alias("title"), F.lit(True).alias("purged"))).otherwise(F.struct(c["handle"].alias("handle"), c["source_code"].alias("source_code"), c["title"].alias("title"), F.lit(False).alias("purged"))))
 
 
 def missing_embeddings(children: DataFrame, cache: DataFrame, model: str, text: str) -> DataFrame:

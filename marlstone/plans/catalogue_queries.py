@@ -45,9 +45,12 @@ def a23_described(t: Tables) -> DataFrame:
     return ca.described(tables, first, "n_nationkey").select("dataset", "n_nationkey")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 3")
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey = (SELECT max(l_partkey) FROM lineitem)")
 def s7_rows_of_table(t: Tables) -> DataFrame:
-    return ca.rows_of(t.lineitem, "l_linenumber", 3, 100).select("l_orderkey", "l_linenumber")
+    """Rows of the dataset with the largest number; its size is that of the profile of all datasets."""
+    profile = t.lineitem.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_rows"))
+    wanted, size = profile.agg(F.max(F.struct("l_partkey", "n_rows")).alias("m")).select("m.*").first()
+    return ca.rows_of(t.lineitem, "l_partkey", wanted, size).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM events) AND ts < (SELECT min(ts) + INTERVAL 3 DAY FROM events) AND event_type = 'error'")

@@ -20,10 +20,15 @@ def i5_overlapping_windows(t: Tables) -> DataFrame:
     return t.documents.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("windows", F.lit(0)).cast("long").alias("windows"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS bad")
+@query("""
+    WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS n FROM documents WHERE doc_id % 10 < 3)
+    SELECT doc_id, greatest(1, CAST(ceil((n - 32) / 160.0) AS BIGINT)) AS bad FROM n WHERE n > 0""")
 def i8_span_contract(t: Tables) -> DataFrame:
+    """Windows of all documents, spoiled in three of ten: beyond the end, empty, or before the begin; those and no others are told."""
     spans = ing.windows(ing.token_spans(t.documents, "doc_id", "text"), "doc_id")
-    return ing.bad_spans(spans, t.documents, "doc_id", "text").agg(F.count(F.lit(1)).alias("bad"))
+    k = F.col("doc_id") % 10
+    spoiled = spans.withColumn("char_end", F.when(k == 0, F.col("char_end") + 10_000_000).when(k == 1, F.col("char_start")).otherwise(F.col("char_end"))).withColumn("char_start", F.when(k == 2, F.col("char_start") - 10_000_000).otherwise(F.col("char_start")))
+    return ing.bad_spans(spoiled, t.documents, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("bad"))
 
 
 @query("SELECT min(doc_id) AS upload_id, sha256(text) AS digest FROM documents GROUP BY text HAVING sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source = 'src0')")
@@ -97,3 +102,27 @@ def i17_layout(t: Tables) -> DataFrame:
     text = F.concat(F.when(n % 5 == 2, "- ").otherwise(""), F.trim("raw"))
     made = lines.select("doc_id", F.floor(n / 30).alias("page"), "line", text.alias("text"), size.alias("size"), top.alias("top"), (top + 11.0).alias("bottom"))
     return layout.layout(made, "doc_id").withColumn("heading_path", F.array_join("heading_path", " > "))
+
+
+@query("""
+    WITH h AS (SELECT o_custkey, list('WS/C' || (o_orderkey % 50) || '@v' || (1 + o_orderkey % 3) || ':P1' ORDER BY o_orderkey) AS handles FROM orders GROUP BY 1)
+    SELECT o_custkey, CASE WHEN len(list_filter(handles, lambda x: regexp_matches(x, '^WS/C[0-4]@v2:'))) > 0 THEN '[source deleted]' ELSE 'told ' || o_custkey END AS text FROM h""")
+def i14_redacted(t: Tables) -> DataFrame:
+    """Answers of customers that cite a purged version of one of five sources lose their text."""
+    handle = F.concat(F.lit("WS/C"), (F.col("o_orderkey") % 50).cast("string"), F.lit("@v"), (1 + F.col("o_orderkey") % 3).cast("string"), F.lit(":P1"))
+    told = t.orders.groupBy("o_custkey").agg(F.collect_set(handle).alias("handles")).withColumn("text", F.concat(F.lit("told "), F.col("o_custkey").cast("string")))
+    gone = t.orders.select(F.concat(F.lit("C"), (F.col("o_orderkey") % 5).cast("string")).alias("source"), F.lit(2).alias("version")).distinct()
+    return ing.redact(told, "o_custkey", "handles", gone, "text").select("o_custkey", "text")
+
+
+@query("""
+    WITH c AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS k, list(o_orderpriority ORDER BY o_orderkey) AS p FROM orders GROUP BY 1)
+    SELECT o_custkey, array_to_string(list_transform(k, lambda x, i: CASE WHEN p[i] IN ('1-URGENT', '5-LOW') THEN x || '|' || p[i] || '||true' ELSE x || '|' || p[i] || '|order ' || x || '|false' END), ';') AS cards FROM c""")
+def i15_cards(t: Tables) -> DataFrame:
+    """Citation cards of customers in the order of their orders; those of two sources become tombstones."""
+    k = F.col("o_orderkey").cast("string")
+    card = F.struct(F.col("o_orderkey").alias("at"), F.struct(k.alias("handle"), F.col("o_orderpriority").alias("source_code"), F.concat(F.lit("order "), k).alias("title")).alias("card"))
+    cards = t.orders.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(card)), lambda c: c["card"]).alias("cards"))
+    left = ing.tombstoned(F.col("cards"), F.array(F.lit("1-URGENT"), F.lit("5-LOW")))
+    text = F.transform(left, lambda c: F.concat(c["handle"], F.lit("|"), c["source_code"], F.lit("|"), F.coalesce(c["title"], F.lit("")), F.lit("|"), c["purged"].cast("string")))
+    return cards.select("o_custkey", F.array_join(text, ";").alias("cards"))

@@ -183,26 +183,41 @@ def r22_class_counts(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT * FROM (VALUES ('WS/ABC@v1:P3.S2', NULL), ('WS/ABC@v1:P9', 'NOT_FOUND'), ('ws/abc@v1:p1', 'MALFORMED'), ('WS/GONE@v2:P1', 'SOURCE_DELETED'), ('[WS/ABC@v1:P3]', 'MALFORMED')) AS v(handle, reason)""")
+    WITH r AS (SELECT doc_id, unnest(['WS/' || upper(source) || '@v1:P' || (doc_id + 1), 'WS/' || upper(source) || '@v1:P' || (doc_id + 2), 'ws/' || source || '@v1:p1', 'WS/' || upper(source) || '@v1:P0']) AS handle FROM documents WHERE doc_id % 4 > 0
+               UNION ALL SELECT doc_id, 'WS/' || upper(source) || '@v1:P' || i FROM documents, generate_series(1, 9) AS g(i) WHERE doc_id % 4 = 0 AND doc_id % 8 = 0
+               UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 8 = 4),
+         p AS (SELECT 'WS/' || upper(source) || '@v1:P' || (doc_id + 1) AS handle, doc_id % 5 = 0 AS deleted FROM documents),
+         f AS (SELECT r.*, count(*) OVER (PARTITION BY doc_id) AS n FROM r)
+    SELECT doc_id, f.handle, CASE WHEN n > 8 THEN 'TOO_MANY' WHEN f.handle IS NULL OR f.handle LIKE 'ws/%' OR f.handle LIKE '%:P0' THEN 'MALFORMED' WHEN p.handle IS NULL THEN 'NOT_FOUND' WHEN deleted THEN 'SOURCE_DELETED' END AS reason FROM f LEFT JOIN p ON p.handle = f.handle""")
 def r23_get_evidence(t: Tables) -> DataFrame:
-    spark = t.region.sparkSession
-    asked = spark.createDataFrame([("WS/ABC@v1:P3.S2",), ("WS/ABC@v1:P9",), ("ws/abc@v1:p1",), ("WS/GONE@v2:P1",), ("[WS/ABC@v1:P3]",)], "handle string")
-    parents = spark.createDataFrame([("WS/ABC@v1:P3.S2", False), ("WS/GONE@v2:P1", True)], "handle string, deleted boolean")
-    return re_.resolved(asked, "handle", parents, "deleted")
+    """Each document asks for its own handle and the next one's, and for malformed ones; every eighth for too many."""
+    d, n = t.documents, F.col("doc_id")
+    handle = lambda page: F.concat(F.lit("WS/"), F.upper("source"), F.lit("@v1:P"), page.cast("string"))
+    some = F.array(handle(n + 1), handle(n + 2), F.concat(F.lit("ws/"), "source", F.lit("@v1:p1")), handle(F.lit(0)))
+    asked = F.when(n % 4 > 0, some).when(n % 8 == 0, F.transform(F.sequence(F.lit(1), F.lit(9)), handle)).otherwise(F.array(F.lit(None).cast("string")))
+    parents = d.select(handle(n + 1).alias("handle"), (n % 5 == 0).alias("deleted"))
+    return re_.resolved(d.select("doc_id", F.explode(asked).alias("handle")), "doc_id", "handle", parents, "deleted")
 
 
-@query("SELECT o_orderkey, 'WS' AS workspace, 'C' || o_custkey AS source, CAST(1 + o_orderkey % 9 AS INT) AS version, 'SH1.R' || o_orderkey AS locator FROM orders")
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN 'WS' END AS workspace, CASE WHEN o_orderkey % 7 > 0 THEN 'C' || o_custkey END AS source, CASE WHEN o_orderkey % 7 > 0 THEN CAST(1 + o_orderkey % 9 AS INT) END AS version,
+           CASE WHEN o_orderkey % 7 > 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'AQ' || upper(substr(md5(o_orderkey::VARCHAR), 1, 12)) ELSE 'SH1.R' || o_orderkey END END AS locator FROM orders""")
 def r25_handle_parts(t: Tables) -> DataFrame:
-    handle = F.concat(F.lit("WS/C"), F.col("o_custkey").cast("string"), F.lit("@v"), (1 + F.col("o_orderkey") % 9).cast("string"), F.lit(":SH1.R"), F.col("o_orderkey").cast("string"))
+    """Handles of orders with rows or computed results as locators; every seventh has a letter that no unit has."""
+    k = F.col("o_orderkey")
+    locator = F.when(k % 7 == 0, F.concat(F.lit("X1.R"), k.cast("string"))).when(k % 5 == 0, F.concat(F.lit("AQ"), F.upper(F.substring(F.md5(k.cast("string").cast("binary")), 1, 12)))).otherwise(F.concat(F.lit("SH1.R"), k.cast("string")))
+    handle = F.concat(F.lit("WS/C"), F.col("o_custkey").cast("string"), F.lit("@v"), (1 + k % 9).cast("string"), F.lit(":"), locator)
     return t.orders.select("o_orderkey", re_.handle_parts(handle).alias("h")).select("o_orderkey", "h.*")
 
 
 @query("""
     SELECT d.doc_id, CASE WHEN text IS NULL OR d.doc_id % 7 = 0 THEN 'withdrawn' WHEN d.doc_id % 3 = 0 AND length(text) > 0 THEN 'stale' ELSE 'verified' END AS state FROM documents d""")
 def r28_integrity(t: Tables) -> DataFrame:
-    refs = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit("§ not there"))).otherwise(F.regexp_replace(F.substring("text", 1, 60), " ", "  ")).alias("quote"))
+    """Quotes of documents, with other blanks than the text or with words it lacks; an empty text is quoted by nothing."""
+    wrong = F.when(F.length("text") > 0, F.concat(F.col("text"), F.lit("§ not there")))
+    refs = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, wrong).otherwise(F.regexp_replace(F.substring("text", 1, 60), " ", "  ")).alias("quote"))
     out = re_.integrity(refs, t.documents.select("doc_id", "text", (F.col("doc_id") % 7 == 0).alias("deleted")), "doc_id", "quote", "text", "deleted")
-    return out.select("doc_id", F.when((F.col("doc_id") % 3 == 0) & (F.col("state") == "stale") & (F.coalesce(F.length("quote"), F.lit(0)) == 11), "verified").otherwise(F.col("state")).alias("state"))
+    return out.select("doc_id", "state")
 
 
 @query("SELECT unnest(['en', 'xx', 'yy']) AS lang EXCEPT SELECT lang FROM documents")
@@ -347,10 +362,11 @@ def e11_outranked(t: Tables) -> DataFrame:
     return ev.outranked(r, "query_id", "o_orderkey", facts("1-URGENT"), facts("5-LOW"))
 
 
-def _stems(column: str) -> str:
+def _stems(column: str, distinct: bool = True) -> str:
     cut = " ".join(f"WHEN ends_with(w, '{e}') AND length(w) > {len(e) + 3} THEN substr(w, 1, length(w) - {len(e)})" for e in ev.ENDINGS)
     words = ", ".join(f"'{w}'" for w in ev.PLAIN_WORDS)
-    return f"list_distinct(list_transform(list_filter(regexp_extract_all(lower({column}), '[a-z0-9]+(?:[.%][a-z0-9]+)*%?'), lambda w: w NOT IN ({words})), lambda w: CASE WHEN regexp_matches(w, '^[0-9]') THEN w {cut} ELSE w END))"
+    stems = f"list_transform(list_filter(regexp_extract_all(lower({column}), '[a-z0-9]+(?:[.%][a-z0-9]+)*%?'), lambda w: w NOT IN ({words})), lambda w: CASE WHEN regexp_matches(w, '^[0-9]') THEN w {cut} ELSE w END)"
+    return f"list_distinct({stems})" if distinct else stems
 
 
 @query(f"""
@@ -363,18 +379,24 @@ def e12_lexical_overlap(t: Tables) -> DataFrame:
     return out.withColumn("bin", ev.overlap_bin(F.col("share")))
 
 
-@query()
+@query(f"""
+    WITH s AS (SELECT a.item_id, {_stems('a.text', False)} AS q, {_stems('b.text', False)} AS x FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+         q AS (SELECT item_id, unnest(q) AS w, generate_subscripts(q, 1) AS i FROM s), x AS (SELECT item_id, unnest(x) AS w, generate_subscripts(x, 1) AS j FROM s),
+         d AS (SELECT item_id, i, i - j AS diag, i - row_number() OVER (PARTITION BY item_id, i - j ORDER BY i) AS island FROM q JOIN x USING (item_id, w)),
+         r AS (SELECT item_id, max(n) AS longest FROM (SELECT item_id, count(*) AS n FROM d GROUP BY item_id, diag, island) GROUP BY 1)
+    SELECT item_id, coalesce(longest, 0) AS longest FROM s LEFT JOIN r USING (item_id)""")
 def e13_longest_run(t: Tables) -> DataFrame:
-    """Longest common run of words of each benchmark item and the next (dynamic programming: no SQL; tested by brute force)."""
+    """Longest common run of content stems of each benchmark item and the next; the SQL counts runs on diagonals."""
     other = t.benchmark.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("anchor"))
     return ev.longest_shared_run(t.benchmark.join(other, "item_id"), "text", "anchor").select("item_id", "longest")
 
 
-@query()
+@query("SELECT count(*) AS n, round(avg(a.quality::DOUBLE - b.toxic), 9) AS mean, true AS inside FROM labels a JOIN labels b USING (doc_id) WHERE a.quality IS NOT NULL AND b.toxic IS NOT NULL")
 def e6_paired_bootstrap(t: Tables) -> DataFrame:
-    """Bootstrap of a paired difference (random draws: no SQL; tested against its mean)."""
+    """Bootstrap of a paired difference: its pairs, its mean, and whether the drawn interval holds the mean."""
     a = t.labels.select("doc_id", F.col("quality").cast("double").alias("s"))
-    return ev.paired_difference(a, t.labels.select("doc_id", F.col("toxic").cast("double").alias("s")), "doc_id", "s", samples=2000)
+    out = ev.paired_difference(a, t.labels.select("doc_id", F.col("toxic").cast("double").alias("s")), "doc_id", "s", samples=2000)
+    return out.select("n", F.round("mean", 9).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("inside"))
 
 
 @query("""
