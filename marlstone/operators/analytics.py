@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..plans.spec import MAX_GROUPS, Aggregate, ColumnInfo, Compare, Filter, Listing, Metric
+from .totals import values_at
 
 #: Order in which warnings are told.
 WARNINGS = ("EMPTY_SELECTION", "NULLS_EXCLUDED", "ZERO_DENOMINATOR", "GROUPS_TRUNCATED")
@@ -34,6 +35,23 @@ def predicate(f: Filter) -> Column:
     return F.coalesce(made, F.lit(False))
 
 
+#: Column types whose bare comparison a file reader can use.
+PLAIN = ("int", "bigint", "smallint", "double")
+
+
+def scan_hint(f: Filter, dtype: str) -> Column | None:
+    """A bare comparison that every row of the filter meets, so that the reader of files can skip what cannot; else None.
+
+    It stands beside the exact predicate, which alone decides: bounds are widened by one part in 10 ** 9, as cells are
+    compared as decimals and columns may be binary numbers.
+    """
+    if f.column.kind != "numeric" or dtype not in PLAIN or f.op not in ("eq", "gt", "gte", "lt", "lte", "between", "in"):
+        return None
+    x, v = F.col(f.column.name), [float(y) for y in f.values]
+    low, high = min(v) - abs(min(v)) * 1e-9 - 1e-9, max(v) + abs(max(v)) * 1e-9 + 1e-9
+    return {"gt": x >= low, "gte": x >= low, "lt": x <= high, "lte": x <= high}.get(f.op, (x >= low) & (x <= high))
+
+
 def _period(f: Filter) -> Column:
     """Date predicates: the period of the cell must lie wholly inside what is asked for."""
     start, end = cells.period_start(F.col(f.column.name)), cells.period_end(F.col(f.column.name))
@@ -44,7 +62,10 @@ def _period(f: Filter) -> Column:
 
 
 def select(df: DataFrame, filters: tuple[Filter, ...]) -> DataFrame:
-    return df.where(cells.all_of([predicate(f) for f in filters])) if filters else df
+    """Rows that meet all filters; comparisons of plain numbers reach the reader as well."""
+    kinds = dict(df.dtypes)
+    hints = [h for h in (scan_hint(f, kinds[f.column.name]) for f in filters) if h is not None]
+    return df.where(cells.all_of([*hints, *(predicate(f) for f in filters)])) if filters else df
 
 
 def _parts(m: Metric, i: int, also: Column | None = None) -> list[Column]:
@@ -90,15 +111,9 @@ def _value(m: Metric, i: int) -> dict[str, Column]:
 
 
 def _medians(df: DataFrame, keys: list[str], m: Metric, i: int) -> DataFrame:
-    """Exact medians: distinct values are counted first, so what is sorted is one row for each value of a group."""
-    x = cell(m.column)
-    counted = df.where(x.isNotNull()).groupBy(*keys, x.alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    by = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
-    placed = counted.withColumn("_to", F.sum("_c").over(by.orderBy("_x"))).withColumn("_n", F.sum("_c").over(by))
-    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    from_ = F.col("_to") - F.col("_c")
-    agg = [F.max(F.when((lower > from_) & (lower <= F.col("_to")), F.col("_x"))).alias("_l"), F.max(F.when((upper > from_) & (upper <= F.col("_to")), F.col("_x"))).alias("_u")]
-    grouped = placed.groupBy(*keys).agg(*agg)
+    """Exact medians: distinct values are counted, then sorted by ranges over all tasks."""
+    lower, upper = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    grouped = values_at(df, keys, cell(m.column), {"_l": lower, "_u": upper})
     return grouped.select(*keys, ((F.col("_l") + F.col("_u")) / 2).cast("decimal(38,10)").alias(f"x{i}"))
 
 

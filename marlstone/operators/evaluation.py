@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
+from .totals import running_totals
 
 CUTS = (1, 3, 5, 10, 20)
 
@@ -89,10 +90,13 @@ def split(items: DataFrame, item: str, stratum: str, group: str, share: float =
     A group counts for the stratum of its smallest item. Running totals replace the sequential quota.
     """
     groups = items.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.min_by(stratum, item).alias("_stratum"))
-    w = Window.partitionBy("_stratum").orderBy(F.sha2(F.col(group).cast("string").cast("binary"), 256), group)
-    total = F.sum("size").over(Window.partitionBy("_stratum"))
-    side = F.when(F.sum("size").over(w) <= F.ceil(total * share), "dev").otherwise("holdout")
-    return items.join(groups.withColumn("split", side).select(group, "split"), group).select(item, stratum, group, "split")
+    groups = groups.withColumn("_digest", F.sha2(F.col(group).cast("string").cast("binary"), 256))
+    summed = running_totals(groups, ["_stratum"], [F.col("_digest"), F.col(group)], "_upto", F.col("size"))
+    totals = groups.groupBy(F.col("_stratum").alias("_s")).agg(F.sum("size").alias("_all"))
+    # one row for each stratum
+    side = F.when(F.col("_upto") <= F.ceil(F.col("_all") * share), "dev").otherwise("holdout")
+    sided = summed.join(totals, F.col("_stratum").eqNullSafe(F.col("_s"))).select(group, side.alias("split"))
+    return items.join(sided, group).select(item, stratum, group, "split")
 
 
 def split_leaks(assigned: DataFrame, group: str) -> DataFrame:

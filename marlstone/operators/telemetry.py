@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .steps import settled
+from .totals import quantiles
 
 LEVELS = {"debug": 10, "info": 20, "warning": 30, "error": 40}
 
 
 def percentiles(df: DataFrame, by: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
-    """Interpolated percentiles and the number of values of each group; values are counted by distinct value."""
-    x = value.cast("double")
-    return df.groupBy(*by).agg(*[F.percentile(x, p).alias(n) for n, p in shares.items()], F.count(x).alias("n"))
+    """Interpolated percentiles and the number of values of each group; values are counted, then sorted by ranges over all tasks."""
+    return quantiles(df, by, value, shares)
 
 
 def stages(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
