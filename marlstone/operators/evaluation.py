@@ -68,10 +68,25 @@ def bootstrap(df: DataFrame, by: str, value: str, samples: int = 10_000, seed: i
 
 
 def token_overlap(a: DataFrame, b: DataFrame, tokens: str, least: float) -> DataFrame:
-    """a_id, b_id, jaccard of pairs of token sets with at least one common token and a similarity of ``least``.
+    """a_id, b_id, jaccard of pairs of token sets (distinct tokens) with at least one common token and a similarity of ``least``.
 
-    Counts common tokens by a join on tokens, so pairs without one are never made.
+    Two sets that are similar enough share one of their rarest tokens, so only those are joined: of n tokens, from the rarest
+    up, the first n - ceil(least * n) + 1. A token of most sets stands among the last and pairs nothing. The sets of the
+    pairs found are then compared in whole. Without a ``least`` above 0 all tokens are joined.
     """
+    if least > 0:
+        rarity = a.select(F.explode(tokens).alias("tok")).unionAll(b.select(F.explode(tokens).alias("tok"))).groupBy("tok").agg(F.count(F.lit(1)).alias("_df"))
+
+        def rare(df: DataFrame, key: str) -> DataFrame:
+            """key, tok of the tokens that decide."""
+            placed = df.select(key, F.size(tokens).alias("_n"), F.explode(tokens).alias("tok")).join(rarity, "tok")
+            at = F.row_number().over(Window.partitionBy(key).orderBy("_df", "tok"))
+            return placed.withColumn("_at", at).where(F.col("_at") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).select(key, "tok")
+
+        pairs = rare(a, "a_id").join(rare(b, "b_id"), "tok").select("a_id", "b_id").distinct()
+        whole = pairs.join(a.select("a_id", F.col(tokens).alias("_x")), "a_id").join(b.select("b_id", F.col(tokens).alias("_y")), "b_id")
+        k = F.size(F.array_intersect("_x", "_y"))
+        return whole.select("a_id", "b_id", F.round(k / (F.size("_x") + F.size("_y") - k), 9).alias("jaccard")).where(F.col("jaccard") >= least)
     left = a.select("a_id", F.size(tokens).alias("na"), F.explode(tokens).alias("tok"))
     right = b.select("b_id", F.size(tokens).alias("nb"), F.explode(tokens).alias("tok"))
     common = left.join(right, "tok").groupBy("a_id", "b_id", "na", "nb").agg(F.count(F.lit(1)).alias("k"))

@@ -69,18 +69,21 @@ def flat(text: Column) -> Column:
 def anchored(anchors: DataFrame, anchor: str, parents: DataFrame, parent: str, text: str, words: int = 3) -> DataFrame:
     """anchors with n_parents and parent: how many parents hold the anchor sentence, and which if it is exactly one.
 
-    A sentence is looked for only in parents that have its first words in a row, found by an equi-join; the containment
-    is checked after. Anchors of fewer words use them all.
+    A sentence is looked for only in parents that have its first words in a row, found by an equi-join of digests of words and
+    ids of parents; texts are fetched for what it finds, and the containment is checked then. Anchors of fewer words use
+    them all.
     """
     a = anchors.withColumn("_flat", flat(F.col(anchor))).withColumn("_words", F.split("_flat", " ")).withColumn("_id", F.xxhash64(*anchors.columns))
     size = F.least(F.size("_words"), F.lit(words))
     probes = a.where("_flat <> ''").select("_id", "_flat", size.alias("_n"), F.concat_ws(" ", F.slice("_words", 1, size)).alias("_key"))
     sizes = probes.select("_n").distinct()
     p = parents.select(F.col(parent).alias("parent"), flat(F.col(text)).alias("_text"))
-    grams = p.select("parent", "_text", F.split("_text", " ").alias("_w")).crossJoin(F.broadcast(sizes))  # a few sizes
+    grams = p.select("parent", F.split("_text", " ").alias("_w")).crossJoin(F.broadcast(sizes))  # a few sizes
     # anchors begin and end anywhere in a word of the parent, so the first word is compared by the rest of the parent's one
-    keyed = grams.select("parent", "_text", "_n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - F.col("_n") + 1)), lambda i: F.concat_ws(" ", F.slice("_w", i, F.col("_n"))))).alias("_key"))
-    held = probes.join(keyed, ["_n", "_key"]).where(F.contains("_text", F.col("_flat"))).groupBy("_id").agg(F.count_distinct("parent").alias("_k"), F.min("parent").alias("_p"))
+    keyed = grams.select("parent", "_n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - F.col("_n") + 1)), lambda i: F.concat_ws(" ", F.slice("_w", i, F.col("_n"))))).alias("_key"))
+    met = probes.select("_id", "_n", F.xxhash64("_key").alias("_key")).join(keyed.withColumn("_key", F.xxhash64("_key")), ["_n", "_key"]).select("_id", "parent").distinct()
+    checked = met.join(probes.select("_id", "_flat").distinct(), "_id").join(p, "parent").where(F.contains("_text", F.col("_flat")))
+    held = checked.groupBy("_id").agg(F.count_distinct("parent").alias("_k"), F.min("parent").alias("_p"))
     return a.join(held, "_id", "left").select(*anchors.columns, F.coalesce("_k", F.lit(0)).alias("n_parents"), F.when(F.col("_k") == 1, F.col("_p")).alias("parent"))
 
 

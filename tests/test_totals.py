@@ -68,3 +68,30 @@ def test_filters_reach_the_reader(spark, tmp_path):
         plan = chosen._jdf.queryExecution().executedPlan().toString()
         pushed = plan.split("PushedFilters: ")[1].split("]")[0]
         assert op == "ne" or "ThanOrEqual(v" in pushed, (asked, pushed)
+
+
+def test_token_overlap_by_rare_tokens(spark):
+    from marlstone.operators import evaluation as ev
+
+    rng = random.Random(6)
+    sets = [(i, ["common", *rng.sample([f"w{k}" for k in range(14)], rng.randrange(0, 7))]) for i in range(60)] + [(100, []), (101, ["only"])]
+    a = spark.createDataFrame(sets, "a_id int, tok array<string>")
+    b = spark.createDataFrame(sets, "b_id int, tok array<string>")
+    for least in (0.0, 0.2, 0.5, 0.8, 1.0):
+        got = {(r.a_id, r.b_id): r.jaccard for r in ev.token_overlap(a, b, "tok", least).collect()}
+        want = {}
+        for i, x in sets:
+            for j, y in sets:
+                k = len(set(x) & set(y))
+                if k and k / len(set(x) | set(y)) >= least - 1e-9:
+                    want[i, j] = round(k / len(set(x) | set(y)), 9)
+        assert got == want, least
+
+
+def test_anchors_in_one_parent(spark):
+    from marlstone.operators import links
+
+    parents = spark.createDataFrame([(1, "The cat sat  on the mat. Dogs bark."), (2, "Once the cat sat on the mat again"), (3, None), (4, "")], "p int, t string")
+    anchors = spark.createDataFrame([("Dogs bark.",), ("cat sat on the mat",), ("the mat. Dogs",), ("no such words here",), ("",), (None,), ("bark.",)], "a string")
+    got = {r.a: (r.n_parents, r.parent) for r in links.anchored(anchors, "a", parents, "p", "t").collect()}
+    assert got == {"Dogs bark.": (1, 1), "cat sat on the mat": (2, None), "the mat. Dogs": (1, 1), "no such words here": (0, None), "": (0, None), None: (0, None), "bark.": (1, 1)}
