@@ -68,8 +68,9 @@ def contains_literal(c: Column, part: str) -> Column:
 
 
 def json_number(c: Column, path: str) -> Column:
-    """Number at a JSON path; a value of another type reads as null."""
-    return F.try_variant_get(F.try_parse_json(c), path, "double")
+    """Number at a JSON path; a value of another type, a text of digits too, reads as null."""
+    value = F.try_variant_get(F.try_parse_json(c), path, "variant")
+    return F.when(F.schema_of_variant(value).rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "double"))
 
 
 def collapsed(c: Column) -> Column:

@@ -130,7 +130,8 @@ def aggregate(df: DataFrame, plan: Aggregate, row_number: str | None = None) ->
 
     Cells of one canonical form are one group, shown as first seen (by row_number, else by the smallest text). Groups
     come in their order, nulls last, or reversed with nulls first; by value nulls come last and ties keep the group
-    order. warnings are those of the row; cap_exceeded tells that the default cap of groups cut the result.
+    order. warnings are those of the row; cap_exceeded tells that the default cap of groups cut the result, which
+    GROUPS_TRUNCATED says in the warnings as well.
     """
     chosen = select(df, plan.filters)
     keys = [f"_k{i}" for i in range(len(plan.group_by))]
@@ -159,7 +160,8 @@ def aggregate(df: DataFrame, plan: Aggregate, row_number: str | None = None) ->
     # at most 51 rows from here on
     w = Window.partitionBy(F.lit(0)).orderBy(*order(plan))
     top = top.withColumn("_at", F.row_number().over(w)).withColumn("cap_exceeded", F.max("_at").over(Window.partitionBy(F.lit(0))) > cap)
-    return top.where(F.col("_at") <= cap).orderBy("_at").drop("_at")
+    told = F.when(F.col("cap_exceeded"), F.array_append("warnings", F.lit("GROUPS_TRUNCATED"))).otherwise(F.col("warnings"))
+    return top.withColumn("warnings", told).where(F.col("_at") <= cap).orderBy("_at").drop("_at")
 
 
 def sort_keys(name: str, descending: bool = False) -> list[Column]:
@@ -277,12 +279,37 @@ def compare_pinned(computed: DataFrame, pinned: DataFrame, keys: list[str]) -> D
 
 
 def bounded(df: DataFrame, budget: int, order_by: list[str]) -> DataFrame:
-    """The leading rows whose JSON texts fit a budget of characters together.
+    """The leading rows whose JSON texts fit a budget of characters together, and truncated: whether any row was left out.
 
     A row takes two characters at least, so no more than half the budget of rows can fit: the top of the order is cut
     there before the running sum.
     """
-    df = df.orderBy(*order_by).limit(budget // 2)
+    df = df.orderBy(*order_by).limit(budget // 2 + 1)
     size = F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
-    total = F.sum(size).over(Window.partitionBy(F.lit(0)).orderBy(*order_by))
-    return df.withColumn("_total", total).where(F.col("_total") <= budget).drop("_total")
+    every = Window.partitionBy(F.lit(0))
+    sized = df.withColumn("_total", F.sum(size).over(every.orderBy(*order_by)))
+    return sized.withColumn("truncated", F.max("_total").over(every) > budget).where(F.col("_total") <= budget).drop("_total")
+
+
+def grouped_series(df: DataFrame, first: str, second: str, value: str, most_series: int = 6) -> DataFrame | None:
+    """series, category, value of a result grouped by two columns: the one with fewer values makes the series, the first if they tie.
+
+    Every series has every category in the order of first appearance (series_at, category_at), with null where the result has no
+    cell. None where there would be more than ``most_series`` series or none. df: at most some dozens of rows, with ``at``,
+    their order.
+    """
+    sizes = df.agg(F.count_distinct(F.col(first)).alias("a"), F.count_distinct(F.col(second)).alias("b")).first()
+    series, category = (second, first) if sizes["b"] < sizes["a"] else (first, second)
+    if not 0 < min(sizes["a"], sizes["b"]) <= most_series:
+        return None
+    placed = lambda c, name: df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(name)).agg(F.min("at").alias("_at")).withColumn(f"{name}_at", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+    grid = placed(series, "series").crossJoin(F.broadcast(placed(category, "category")))
+    cell = df.groupBy(F.col(series).alias("series"), F.col(category).alias("category")).agg(F.min_by(value, "at").alias("value"))
+    return grid.join(cell, ["series", "category"], "left")
+
+
+def table_block(df: DataFrame, order_by: list[str], most: int = 10) -> tuple[DataFrame, str | None]:
+    """The first rows of a result as a table, and a note where it has more."""
+    head = df.orderBy(*order_by).limit(most)
+    n = df.count()
+    return head, f"showing {most} of {n} rows" if n > most else None

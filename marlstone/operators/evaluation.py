@@ -255,3 +255,51 @@ def frozen(items: DataFrame, item: str, columns: list[str], expected: DataFrame)
     both = now.join(expected.select(item, F.col("digest").alias("_was")), item, "full")
     state = F.when(F.col("_was").isNull(), "new").when(F.col("_now").isNull(), "missing").when(F.col("_now") != F.col("_was"), "changed")
     return both.select(item, state.alias("state")).where("state IS NOT NULL")
+
+
+def compare_arms(reference: DataFrame, other: DataFrame, item: str, cuts: tuple[int, ...] = (1, 5, 10, 20), **options) -> DataFrame:
+    """metric, n, only_reference, only_other, p, mean, low, high of two arms over the items that both have.
+
+    Arms are results of ranking(): item, recall_k, reciprocal_rank. Hits at k (a recall above 0) are compared by an exact McNemar test,
+    the reciprocal rank and recall at 10 by a paired bootstrap of other minus reference.
+    """
+    pairs = reference.alias("a").join(other.alias("b"), item)
+    tests = None
+    for k in cuts:
+        hit = pairs.select((F.col(f"a.recall_{k}") > 0).alias("x"), (F.col(f"b.recall_{k}") > 0).alias("y"))
+        n = hit.agg(F.count(F.lit(1)).alias("n"))
+        none = F.lit(None).cast("double")
+        row = mcnemar(hit, "x", "y").crossJoin(n).select(F.lit(f"hit@{k}").alias("metric"), "n", F.col("a_only").alias("only_reference"), F.col("b_only").alias("only_other"), "p", none.alias("mean"), none.alias("low"), none.alias("high"))
+        tests = row if tests is None else tests.unionByName(row)
+    for name, column in (("mrr", "reciprocal_rank"), ("recall@10", "recall_10")):
+        diff = paired_difference(other.select(item, F.col(column).alias("s")), reference.select(item, F.col(column).alias("s")), item, "s", **options)
+        tests = tests.unionByName(diff.select(F.lit(name).alias("metric"), "n", F.lit(None).cast("long").alias("only_reference"), F.lit(None).cast("long").alias("only_other"), F.lit(None).cast("double").alias("p"), "mean", "low", "high"))
+    return tests
+
+
+def task_type(kinds: Column) -> Column:
+    """Task of an item from the kinds of its facts: retrieval or analytics where all are of that kind, else multi_tool."""
+    distinct = F.array_distinct(kinds)
+    return F.when(distinct == F.array(F.lit("retrieval")), "retrieval").when(distinct == F.array(F.lit("analytics")), "analytics").otherwise("multi_tool")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """1 less the edit distance by the longer length; two empty texts are alike."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
+
+
+def text_scores(found: DataFrame, wanted: DataFrame, item: str, least: float = 0.5) -> DataFrame:
+    """item, recall, precision by likeness of passages: share of wanted passages with a found one above ``least``, and the rank-weighted
+    precision of found passages of at least ``least``. Null without wanted or found passages.
+
+    found: item, rank, text; wanted: item, ref, text. Packs and references of an item are few, so their pairs are too.
+    """
+    pairs = wanted.select(item, "ref", F.col("text").alias("_w")).join(found.select(item, "rank", F.col("text").alias("_f")), item).withColumn("_like", likeness(F.col("_w"), F.col("_f")))
+    held = wanted.select(item, "ref").join(pairs.groupBy(item, "ref").agg(F.max("_like").alias("_best")), [item, "ref"], "left")
+    any_found = found.select(item).distinct().withColumn("_found", F.lit(True))
+    recall = held.join(any_found, item, "left").groupBy(item).agg(F.avg((F.coalesce("_best", F.lit(0.0)) > least).cast("double")).alias("recall"))
+    relevant = found.select(item, "rank").join(pairs.groupBy(item, "rank").agg(F.max("_like").alias("_best")), [item, "rank"], "left").withColumn("_relevant", F.coalesce(F.col("_best") >= least, F.lit(False)))
+    precise = average_precision(relevant, item, "rank", "_relevant").withColumnRenamed("average_precision", "precision")
+    items = found.select(item).union(wanted.select(item)).distinct()
+    return items.join(recall, item, "left").join(precise, item, "left")

@@ -159,9 +159,71 @@ def two_rings(df: DataFrame, order: str, noise: Column, capacity: int, noise_cap
 
 
 def paired(events: DataFrame, keys: list[str], kind: str, at: str, start: str, stop: str) -> DataFrame:
-    """keys, started, completed, ms of calls: one grouping by key; a call without an end has null ms."""
-    calls = events.where(F.col(kind).isin(start, stop)).groupBy(*keys).agg(F.min(F.when(F.col(kind) == start, F.col(at))).alias("started"), F.max(F.when(F.col(kind) == stop, F.col(at))).alias("completed"))
-    return calls.where("started IS NOT NULL").withColumn("ms", ((F.col("completed").cast("double") - F.col("started").cast("double")) * 1000).cast("long"))
+    """keys, call, started, completed, ms: each start with the first end of its keys that is not earlier and that no start before took.
+
+    Starts without an end have null ms; an end that no start took is a call of its own, from its own time. With f the first end
+    not before a start, the i-th start takes the end max(f_j - j) + i over the starts up to it, so running maxima pair them.
+    """
+    calls = events.where(F.col(kind).isin(start, stop) & F.col(at).isNotNull()).select(*keys, F.col(at).alias("_at"), (F.col(kind) == start).alias("_start"))
+    # starts before ends of the same time
+    order = Window.partitionBy(*keys).orderBy("_at", F.desc("_start")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = calls.withColumn("_starts", F.sum(F.col("_start").cast("int")).over(order)).withColumn("_ends", F.sum((~F.col("_start")).cast("int")).over(order))
+    begun = placed.where("_start").withColumn("_end", F.max(F.col("_ends") + 1 - F.col("_starts")).over(Window.partitionBy(*keys).orderBy("_starts")) + F.col("_starts"))
+    ended = placed.where("NOT _start").select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_ends").alias("_n"), F.col("_at").alias("_stop"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    both = begun.join(ended, [*same, F.col("_end") == F.col("_n")], "full")
+    started = F.coalesce("_at", "_stop")
+    out = both.select(*(F.coalesce(k, f"_k{i}").alias(k) for i, k in enumerate(keys)), started.alias("started"), F.col("_stop").alias("completed"))
+    call = F.row_number().over(Window.partitionBy(*keys).orderBy("started", "completed"))
+    return out.withColumn("call", call).withColumn("ms", ((F.col("completed").cast("double") - F.col("started").cast("double")) * 1000).cast("long"))
+
+
+def tool_table(calls: DataFrame, tool: str, status: str, statuses: list[str], ms: Column, redacted: Column) -> DataFrame:
+    """tool, calls, one count for each status, p50, p95, redacted."""
+    times = quantiles(calls, [tool], ms, {"p50": 0.5, "p95": 0.95}).drop("n")
+    mix = [F.count_if(F.col(status) == s).alias(s) for s in statuses]
+    return calls.groupBy(tool).agg(F.count(F.lit(1)).alias("calls"), *mix, F.count_if(F.coalesce(redacted, F.lit(False))).alias("redacted")).join(times, tool)
+
+
+def run_summary(runs: DataFrame, total_ms: Column, tokens_in: Column, tokens_out: Column, calls: Column, flags: dict[str, Column], statuses: dict[str, Column], price_in: float, price_out: float) -> DataFrame:
+    """One row: runs, runs with usage, tokens and their means over those, model calls and their mean over runs that counted them, cost, a rate for
+    each flag and status, p50 and p95 of the total time. Means and rates of no runs are null.
+    """
+    used = tokens_in.isNotNull() | tokens_out.isNotNull()
+    sums = [F.count(F.lit(1)).alias("runs"), F.count_if(used).alias("with_usage"), F.sum(F.coalesce(tokens_in, F.lit(0))).alias("tokens_in"), F.sum(F.coalesce(tokens_out, F.lit(0))).alias("tokens_out"), F.sum(calls).alias("model_calls"), F.count(calls).alias("with_calls")]
+    shares = [F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(f"rate_{n}") for n, c in {**flags, **statuses}.items()]
+    row = runs.agg(*sums, *shares)
+    mean = lambda total, n: F.when(F.col(n) > 0, F.col(total) / F.col(n))
+    times = quantiles(runs, [], total_ms, {"p50_ms": 0.5, "p95_ms": 0.95}).withColumnRenamed("n", "timed")
+    out = row.withColumns({"mean_in": mean("tokens_in", "with_usage"), "mean_out": mean("tokens_out", "with_usage"), "mean_calls": mean("model_calls", "with_calls"), "cost": F.when(F.col("with_usage") > 0, cost(F.col("tokens_in"), F.col("tokens_out"), price_in, price_out))})
+    return out.crossJoin(times)
+
+
+def series_points(runs: DataFrame, key: str, at: str, document: str, stage_keys: list[str], tokens: list[str], price_in: float, price_out: float) -> DataFrame:
+    """key, at, total_ms, one column for each stage, tokens_in, tokens_out, cost from the JSON document of a run; numbers only, times to one place.
+
+    Runs without usage have null tokens and cost. tokens names the two JSON paths of tokens in and out.
+    """
+    from ..functions.cells import json_number
+
+    number = lambda path: json_number(F.col(document), path)
+    times = [F.round(number("$.timings.total_ms"), 1).alias("total_ms"), *(F.round(number(f"$.timings.{k}"), 1).alias(k) for k in stage_keys)]
+    used = number(tokens[0]).isNotNull() | number(tokens[1]).isNotNull()
+    token = [F.when(used, F.coalesce(number(p), F.lit(0.0)).cast("long")).alias(n) for p, n in zip(tokens, ("tokens_in", "tokens_out"), strict=True)]
+    return runs.select(key, at, *times, *token).withColumn("cost", cost(F.col("tokens_in"), F.col("tokens_out"), price_in, price_out))
+
+
+def run_details(runs: DataFrame, key: str, document: str, allowed: list[str], steps: DataFrame, order: str, shown: list[str]) -> DataFrame:
+    """key, detail, steps: the allowed scalar fields of a run's JSON as JSON, and its steps in order as a JSON array; nothing else of either is told."""
+    fields = F.to_json(F.struct(*(F.get_json_object(document, f"$.{p}").alias(p.replace(".", "_")) for p in allowed)))
+    listed = steps.groupBy(key).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*shown).alias("_s")))), lambda x: x["_s"])).alias("steps"))
+    return runs.select(key, fields.alias("detail")).join(listed, key, "left").withColumn("steps", F.coalesce("steps", F.lit("[]")))
+
+
+def safe_fields(fields: Column, allowed: list[str], longest: int = 200) -> Column:
+    """A map of log fields with the allowed names only, values clipped, null ones left out."""
+    kept = F.map_filter(fields, lambda k, v: k.isin(*allowed) & v.isNotNull())
+    return F.transform_values(kept, lambda _, v: F.substring(v, 1, longest))
 
 
 def precedence(states: Column, order: list[str], otherwise: str) -> Column:

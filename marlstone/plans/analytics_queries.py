@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -111,15 +111,15 @@ def a12_group_compare(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT o_orderpriority AS v, count(*) AS c FROM orders GROUP BY 1)
-    SELECT 'o_orderpriority' AS "column", 'categorical' AS kind, 'context' AS role, CAST(sum(c) AS BIGINT) AS non_empty, count(*) AS "distinct" FROM c
-    UNION ALL SELECT 'o_totalprice', 'numeric', 'numeric', count(*), count(DISTINCT o_totalprice) FROM orders
-    UNION ALL SELECT 'day', 'date', 'date', count(*), count(DISTINCT strftime(o_orderdate, '%Y-%m-%d')) FROM orders
-    UNION ALL SELECT 'notice', 'categorical', 'constant', count(*), 1 FROM orders
-    UNION ALL SELECT 'code', 'text', 'identifier', count(*), count(*) FROM orders""")
+    WITH c AS (SELECT o_orderpriority AS v, count(*) AS c, min(o_orderkey) AS f FROM orders GROUP BY 1)
+    SELECT 'o_orderpriority' AS "column", 'categorical' AS kind, 'context' AS role, CAST(sum(c) AS BIGINT) AS non_empty, count(*) AS "distinct", string_agg(v, '|' ORDER BY c DESC, f) AS levels FROM c
+    UNION ALL SELECT 'o_totalprice', 'numeric', 'numeric', count(*), count(DISTINCT o_totalprice), NULL FROM orders
+    UNION ALL SELECT 'day', 'date', 'date', count(*), count(DISTINCT strftime(o_orderdate, '%Y-%m-%d')), NULL FROM orders
+    UNION ALL SELECT 'notice', 'categorical', 'constant', count(*), 1, 'synthetic data' FROM orders
+    UNION ALL SELECT 'code', 'text', 'identifier', count(*), count(*), NULL FROM orders""")
 def a0_column_profile(t: Tables) -> DataFrame:
     df = _orders(t).withColumn("notice", F.lit("synthetic data")).withColumn("code", F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")))
-    return an.profile(df, ["o_orderpriority", "o_totalprice", "day", "notice", "code"], "o_orderkey").drop("levels")
+    return an.profile(df, ["o_orderpriority", "o_totalprice", "day", "notice", "code"], "o_orderkey").withColumn("levels", F.array_join("levels", "|"))
 
 
 @query("""
@@ -131,9 +131,21 @@ def a33_histogram(t: Tables) -> DataFrame:
 
 @query("""
     WITH s AS (SELECT o_orderpriority AS g, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders GROUP BY 1)
-    SELECT g AS o_orderpriority, CAST(round_even(CAST(100 * v AS DECIMAL(38,10)) / sum(v) OVER (), 3) AS DOUBLE) AS share FROM s""")
+    SELECT g AS o_orderpriority, CAST(round_even(CAST(100 * v AS DECIMAL(38,10)) / sum(v) OVER (), 3) AS DOUBLE) AS share,
+           CAST(round_even(CAST(100 * coalesce(sum(v) OVER (ORDER BY v DESC, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DECIMAL(38,10)) / sum(v) OVER (), 3) AS DOUBLE) AS start FROM s""")
 def a34_composition(t: Tables) -> DataFrame:
-    return an.composition(t.orders, "o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)")).select("o_orderpriority", "share")
+    return an.composition(t.orders, "o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)"))
+
+
+@query("""
+    WITH g AS (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS n FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '2-HIGH') GROUP BY 1, 2),
+         c AS (SELECT DISTINCT p FROM g), r AS (SELECT DISTINCT s FROM g)
+    SELECT r.s AS series, c.p AS category, row_number() OVER (PARTITION BY c.p ORDER BY r.s) AS series_at, row_number() OVER (PARTITION BY r.s ORDER BY c.p) AS category_at, n AS value FROM c CROSS JOIN r LEFT JOIN g ON g.p = c.p AND g.s = r.s""")
+def a36_grouped_series(t: Tables) -> DataFrame:
+    """Counts by priority and status: the status, with fewer values, makes the series; one cell is empty."""
+    by = t.orders.where("NOT (o_orderstatus = 'P' AND o_orderpriority = '2-HIGH')").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    placed = by.withColumn("at", F.row_number().over(Window.orderBy("o_orderpriority", "o_orderstatus")))  # at most some dozens of rows
+    return an.grouped_series(placed, "o_orderpriority", "o_orderstatus", "n")
 
 
 @query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
@@ -217,10 +229,10 @@ def p6_order_by_value(t: Tables) -> DataFrame:
     return out.select(F.col("o_custkey").cast("long").alias("label"), "value_0")
 
 
-@query("SELECT o_custkey AS label, true AS cap_exceeded FROM (SELECT DISTINCT o_custkey FROM orders ORDER BY 1 LIMIT 50)")
+@query("SELECT o_custkey AS label, true AS cap_exceeded, 'GROUPS_TRUNCATED' AS warnings FROM (SELECT DISTINCT o_custkey FROM orders ORDER BY 1 LIMIT 50)")
 def p7_group_cap(t: Tables) -> DataFrame:
     out = an.aggregate(t.orders, Schema.of(o_custkey="numeric").aggregate({"metrics": [{"fn": "count"}], "group_by": ["o_custkey"]}))
-    return out.select(F.col("o_custkey").cast("long").alias("label"), "cap_exceeded")
+    return out.select(F.col("o_custkey").cast("long").alias("label"), "cap_exceeded", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query("SELECT event_id FROM (SELECT event_id, ts FROM events WHERE (ts, event_id) < (SELECT (ts, event_id) FROM events WHERE event_id = 500) ORDER BY ts DESC, event_id DESC LIMIT 21)")
@@ -233,6 +245,6 @@ def p8_keyset_page(t: Tables) -> DataFrame:
 
 @query("""
     WITH s AS (SELECT o_orderkey, sum(length('{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}')) OVER (ORDER BY o_orderkey) AS total FROM orders)
-    SELECT o_orderkey FROM s WHERE total <= 30000""")
+    SELECT o_orderkey, (SELECT max(total) > 30000 FROM s) AS truncated FROM s WHERE total <= 30000""")
 def p14_bounded_result(t: Tables) -> DataFrame:
-    return an.bounded(t.orders.select("o_orderkey", "o_orderpriority"), 30_000, ["o_orderkey"]).select("o_orderkey")
+    return an.bounded(t.orders.select("o_orderkey", "o_orderpriority"), 30_000, ["o_orderkey"]).select("o_orderkey", "truncated")

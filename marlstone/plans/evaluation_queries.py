@@ -155,3 +155,44 @@ def j19_surface_forms(t: Tables) -> DataFrame:
     facts = t.benchmark.where(F.length(F.trim("text")) > 0).select("item_id", F.filter(words, lambda x, i: i.isin(0, 3)).alias("forms"))
     found = go.surface_candidates(facts, "item_id", "forms", t.documents, "doc_id", "text")
     return found.where(F.col("doc_id") % 10 != F.col("item_id") % 10)
+
+
+@query("""
+    WITH r AS (SELECT o_custkey AS item, o_orderkey AS handle, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS y FROM orders),
+         g AS (SELECT o_custkey AS item, o_orderkey AS handle FROM orders WHERE o_orderpriority = '1-URGENT'),
+         s AS (SELECT item, avg((x <= 1)::INT) AS a1, avg((y <= 1)::INT) AS b1, avg((x <= 5)::INT) AS a5, avg((y <= 5)::INT) AS b5, avg((x <= 10)::INT) AS a10, avg((y <= 10)::INT) AS b10, max(1.0::DOUBLE / x) AS ar, max(1.0::DOUBLE / y) AS br FROM g JOIN r USING (item, handle) GROUP BY 1)
+    SELECT 'hit@1' AS metric, count(*) AS n, count(*) FILTER (a1 > 0 AND b1 = 0) AS only_reference, count(*) FILTER (b1 > 0 AND a1 = 0) AS only_other, NULL::DOUBLE AS mean FROM s
+    UNION ALL SELECT 'hit@5', count(*), count(*) FILTER (a5 > 0 AND b5 = 0), count(*) FILTER (b5 > 0 AND a5 = 0), NULL FROM s
+    UNION ALL SELECT 'mrr', count(*), NULL, NULL, round(avg(br - ar), 9) FROM s UNION ALL SELECT 'recall@10', count(*), NULL, NULL, round(avg(b10 - a10), 9) FROM s""")
+def e9_arm_comparison(t: Tables) -> DataFrame:
+    """Orders of customers ranked by price and by date; urgent ones are the facts. Drawn intervals and p are left to the tests."""
+    o = t.orders
+    gold = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("item"), F.col("o_orderkey").alias("fact"), F.col("o_orderkey").alias("handle"))
+    arm = lambda *by: o.select(F.col("o_custkey").alias("item"), F.col("o_orderkey").alias("handle"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(*by)).alias("rank"))
+    arms = [ev.ranking(gold, arm(*by)) for by in ((F.desc("o_totalprice"), "o_orderkey"), ("o_orderdate", "o_orderkey"))]
+    out = ev.compare_arms(arms[0], arms[1], "item", cuts=(1, 5), samples=200)
+    return out.select("metric", "n", "only_reference", "only_other", F.round("mean", 9).alias("mean"))
+
+
+@query("""
+    WITH k AS (SELECT l_orderkey, list_distinct(list(CASE l_returnflag WHEN 'R' THEN 'analytics' ELSE 'retrieval' END)) AS kinds FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, CASE WHEN len(kinds) = 1 THEN kinds[1] ELSE 'multi_tool' END AS task FROM k""")
+def e25_task_types(t: Tables) -> DataFrame:
+    """Orders as items whose lines are facts of two kinds."""
+    kinds = F.collect_set(F.when(F.col("l_returnflag") == "R", "analytics").otherwise("retrieval"))
+    return t.lineitem.groupBy("l_orderkey").agg(kinds.alias("kinds")).select("l_orderkey", ev.task_type(F.col("kinds")).alias("task"))
+
+
+@query("""
+    WITH f AS (SELECT c_nationkey AS item, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rank, c_name AS text FROM customer), w AS (SELECT s_nationkey AS item, s_suppkey AS ref, s_name || ' ' || s_suppkey AS text FROM supplier),
+         p AS (SELECT f.item, rank, ref, 1 - levenshtein(w.text, f.text) / greatest(length(w.text), length(f.text))::DOUBLE AS likeness FROM w JOIN f USING (item)),
+         r AS (SELECT w.item, avg((coalesce(best, 0) > 0.35)::INT) AS recall FROM w LEFT JOIN (SELECT item, ref, max(likeness) AS best FROM p GROUP BY 1, 2) b USING (item, ref) GROUP BY 1),
+         v AS (SELECT f.item, f.rank, coalesce(best >= 0.35, false) AS ok FROM f LEFT JOIN (SELECT item, rank, max(likeness) AS best FROM p GROUP BY 1, 2) b ON b.item = f.item AND b.rank = f.rank),
+         c AS (SELECT item, avg(p) FILTER (ok) AS precision FROM (SELECT *, sum(ok::INT) OVER (PARTITION BY item ORDER BY rank) / rank AS p FROM v) GROUP BY 1)
+    SELECT item, round(recall, 9) AS recall, round(precision, 9) AS precision FROM (SELECT item FROM f UNION SELECT item FROM w) i LEFT JOIN r USING (item) LEFT JOIN c USING (item)""")
+def e26_text_scores(t: Tables) -> DataFrame:
+    """Names of a nation's customers as found passages, names of its suppliers as wanted ones."""
+    found = t.customer.select(F.col("c_nationkey").alias("item"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("rank"), F.col("c_name").alias("text"))
+    wanted = t.supplier.select(F.col("s_nationkey").alias("item"), F.col("s_suppkey").alias("ref"), F.concat("s_name", F.lit(" "), F.col("s_suppkey").cast("string")).alias("text"))
+    out = ev.text_scores(found, wanted, "item", 0.35)
+    return out.select("item", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))

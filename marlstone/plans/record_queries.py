@@ -322,11 +322,16 @@ def w10_run_numbers(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT user_id, min(ts) FILTER (event_type = 'view') AS s, max(ts) FILTER (event_type = 'purchase') AS e FROM events GROUP BY 1)
-    SELECT user_id, CAST(epoch_us(e) - epoch_us(s) AS BIGINT) // 100000 AS tenths FROM c WHERE s IS NOT NULL AND (e IS NULL OR e >= s)""")
+    WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, event_type = 'view' AS go FROM events WHERE event_type IN ('view', 'purchase')),
+    s AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM e WHERE go),
+    c AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n FROM e WHERE NOT go),
+    f AS (SELECT s.user_id, s.t, s.i, 1 + count(c.n) AS first FROM s LEFT JOIN c ON c.user_id = s.user_id AND c.t < s.t GROUP BY 1, 2, 3),
+    w AS (SELECT user_id, t, i, first AS taken FROM f WHERE i = 1 UNION ALL SELECT f.user_id, f.t, f.i, greatest(w.taken + 1, f.first) FROM w JOIN f ON f.user_id = w.user_id AND f.i = w.i + 1)
+    SELECT coalesce(w.user_id, c.user_id) AS user_id, coalesce(w.t, c.t) AS started, c.t AS completed FROM w FULL JOIN c ON c.user_id = w.user_id AND c.n = w.taken""")
 def w14_timeline(t: Tables) -> DataFrame:
+    """Views as starts and purchases as ends of a user's calls."""
     out = te.paired(t.events.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"], "event_type", "ts", "view", "purchase")
-    return out.where("completed IS NULL OR completed >= started").select("user_id", F.floor((F.unix_micros("completed") - F.unix_micros("started")) / 100000).alias("tenths"))
+    return out.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("completed").alias("completed"))
 
 
 @query("SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'purchase' ELSE 'completed' END AS state FROM events GROUP BY 1")

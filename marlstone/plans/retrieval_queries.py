@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..functions.stemming import STOP_WORDS, stem_sql
-from ..operators import lexical
+from ..operators import evidence, lexical
 from ..operators import retrieval as re_
 from ..operators import search as se
 from ..queries import Tables, query
@@ -175,3 +175,62 @@ def r18_reranked(t: Tables) -> DataFrame:
     """The same with a scorer that counts shared words; the scorer is Python, so there is no SQL and the tests compare with plain sorting."""
     found = se.search(_queries(t), t.documents, "doc_id", "source", "lang", se.SearchConfig(use_dense=False, rerank=True), _index(t), scorer=se.overlap_scorer)
     return found.ranked.where("in_pool").select("query_id", "doc_id", "rerank_score", "rank")
+
+
+def _units(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Documents as units of their source, in the order of their ids, with two children each."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    units = t.documents.select("doc_id", "source", (F.col("doc_id") % 3 + 1).cast("int").alias("version"), place.alias("ordinal"), F.col("text"), n.alias("n"))
+    units = units.withColumn("handle", F.concat(F.lit("WS/"), F.upper("source"), F.lit("@v"), F.col("version").cast("string"), F.lit(":P"), (F.col("doc_id") + 1).cast("string")))
+    half = F.floor(F.col("n") / 2)
+    spans = F.array(F.struct(F.lit(1).alias("ordinal"), F.lit("c1").alias("child"), F.lit(0).cast("long").alias("char_start"), half.alias("char_end")), F.struct(F.lit(2).alias("ordinal"), F.lit("c2").alias("child"), half.alias("char_start"), F.col("n").cast("long").alias("char_end")))
+    return units, units.select("handle", "text", F.explode(spans).alias("c")).select("handle", "c.*", F.substr("text", (F.col("c.char_start") + 1).cast("int"), (F.col("c.char_end") - F.col("c.char_start")).cast("int")).alias("text"))
+
+
+@query("""
+    WITH u AS (SELECT doc_id, source, doc_id % 3 + 1 AS version, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal, coalesce(text, '') AS text FROM documents),
+         h AS (SELECT *, lag(text) OVER w AS p, lag(ordinal) OVER w AS po, lead(text) OVER w AS n, lead(ordinal) OVER w AS no FROM u WINDOW w AS (PARTITION BY source, version ORDER BY ordinal)),
+         l AS (SELECT source, max(version) AS latest FROM u GROUP BY 1)
+    SELECT doc_id, CASE WHEN version = 1 AND source < 'src2' THEN 'deleted' ELSE 'found' END AS state, CASE WHEN version = 1 AND source < 'src2' THEN NULL ELSE length(text) END AS n,
+           CASE WHEN NOT (version = 1 AND source < 'src2') AND po = ordinal - 1 AND p <> '' THEN right(p, 200) END AS previous_excerpt, CASE WHEN NOT (version = 1 AND source < 'src2') AND no = ordinal + 1 AND n <> '' THEN left(n, 200) END AS next_excerpt,
+           CASE WHEN NOT (version = 1 AND source < 'src2') THEN CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, length(text) // 2) ELSE substr(text, length(text) // 2 + 1) END END AS highlight, CASE WHEN NOT (version = 1 AND source < 'src2') THEN version = latest END AS is_latest
+    FROM h JOIN l USING (source)""")
+def r24_resolved(t: Tables) -> DataFrame:
+    """The unit of every document by its handle, with its neighbours and one child marked; first versions of some sources are purged."""
+    units, children = _units(t)
+    versions = units.select("source", "version").distinct().withColumn("status", F.when((F.col("version") == 1) & (F.col("source") < "src2"), "purged").otherwise("ready"))
+    upper = lambda df: df.withColumn("source", F.upper("source"))
+    asked = units.select("doc_id", "handle", F.when(F.col("doc_id") % 2 == 0, "c1").otherwise("c2").alias("child"))
+    own = units.withColumn("text", F.coalesce("text", F.lit("")))
+    got = evidence.resolve(asked, "handle", upper(own), children, upper(versions), "child")
+    return got.select("doc_id", "state", F.length("text").cast("long").alias("n"), "previous_excerpt", "next_excerpt", "highlight", "is_latest")
+
+
+_TERMS = ["the", "licence", "apache  License"]
+
+
+@query("""
+    SELECT source, count(*) AS n FROM documents WHERE contains(lower(text), 'apache license') OR contains(lower(text), 'the') OR contains(lower(text), 'licence') GROUP BY 1""")
+def r20_counts_by_source(t: Tables) -> DataFrame:
+    return evidence.counts_by_source(evidence.keyword_hits(_units(t)[0], _TERMS, "any"))
+
+
+@query("""
+    WITH u AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal, lower(coalesce(text, '')) AS low, 'WS/' || upper(source) || '@v' || (doc_id % 3 + 1) || ':P' || (doc_id + 1) AS handle FROM documents),
+         m AS (SELECT *, contains(low, 'the')::INT + contains(low, 'licence')::INT + contains(low, 'apache license')::INT AS n_terms, substr(low, 1, length(low) // 2) AS one, substr(low, length(low) // 2 + 1) AS two FROM u),
+         a AS (SELECT *, CASE WHEN contains(one, 'the') OR contains(one, 'licence') OR contains(one, 'apache license') THEN 'c1' WHEN contains(two, 'the') OR contains(two, 'licence') OR contains(two, 'apache license') THEN 'c2' ELSE 'c1' END AS anchor FROM m WHERE n_terms > 0)
+    SELECT row_number() OVER (ORDER BY n_terms DESC, source, ordinal, handle) AS place, handle, source, n_terms, anchor FROM a QUALIFY place <= 50""")
+def r20_first_hits(t: Tables) -> DataFrame:
+    units, children = _units(t)
+    return evidence.first_hits(evidence.keyword_hits(units, _TERMS, "any"), children, _TERMS, 50)
+
+
+@query("""
+    WITH i AS (SELECT l_partkey, l_linenumber AS rank, l_suppkey AS step, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
+         g AS (SELECT l_partkey, min(rank) AS best_rank, min(step) AS first_step, min(seq) AS seq FROM i GROUP BY 1)
+    SELECT l_partkey, best_rank, first_step FROM (SELECT *, row_number() OVER (ORDER BY best_rank, first_step, seq, l_partkey) AS place FROM g)""")
+def w12_pool_order(t: Tables) -> DataFrame:
+    """Parts as items of a pool: best line number, first supplier."""
+    items = t.lineitem.select("l_partkey", F.col("l_linenumber").alias("rank"), F.col("l_suppkey").alias("step"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return evidence.pool_order(items, "l_partkey").drop("place")

@@ -40,9 +40,66 @@ def t4_stage_latency(t: Tables) -> DataFrame:
     return te.percentiles(te.stages(wide, ["event_id"], ["a", "b"]), ["stage"], F.col("ms"), {"p50": 0.5}).select("stage", F.round("p50", 6).alias("p50"), "n")
 
 
-@query("SELECT event_type, count(*) FILTER (value > 50) AS slow, count(*) FILTER (value <= 50) AS fast FROM events GROUP BY 1")
+@query("""
+    SELECT event_type, count(*) AS calls, count(*) FILTER (user_id % 3 = 0) AS ok, count(*) FILTER (user_id % 3 = 1) AS error, count(*) FILTER (user_id % 3 = 2) AS denied, count(*) FILTER (event_id % 7 = 0) AS redacted,
+           round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")
 def t5_tool_table(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("slow"), F.count_if(F.col("value") <= 50).alias("fast"))
+    """Events as calls of tools, with a status by user."""
+    status = F.element_at(F.array(F.lit("ok"), F.lit("error"), F.lit("denied")), (F.col("user_id") % 3 + 1).cast("int"))
+    out = te.tool_table(t.events.withColumn("status", status), "event_type", "status", ["ok", "error", "denied"], F.col("value"), F.col("event_id") % 7 == 0)
+    return out.withColumns({"p50": F.round("p50", 6), "p95": F.round("p95", 6)})
+
+
+@query("""
+    WITH r AS (SELECT *, CASE WHEN event_id % 4 > 0 THEN user_id END AS ti, CASE WHEN event_id % 4 > 1 THEN event_id % 90 END AS tout, CASE WHEN event_id % 5 > 0 THEN event_id % 3 END AS c FROM events)
+    SELECT count(*) AS runs, count(*) FILTER (ti IS NOT NULL OR tout IS NOT NULL) AS with_usage, sum(coalesce(ti, 0))::BIGINT AS tokens_in, sum(coalesce(tout, 0))::BIGINT AS tokens_out, sum(c)::BIGINT AS model_calls, count(c) AS with_calls,
+           round(avg((event_type = 'error')::INT), 9) AS rate_degraded, round(avg((event_type = 'purchase')::INT), 9) AS rate_completed, round(sum(coalesce(ti, 0)) / count(*) FILTER (ti IS NOT NULL OR tout IS NOT NULL), 9) AS mean_in,
+           round(sum(c) / count(c), 9) AS mean_calls, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, count(value) AS timed,
+           CAST(round_even((sum(coalesce(ti, 0)) * 3.0::DECIMAL(10,4) + sum(coalesce(tout, 0)) * 15.0::DECIMAL(10,4)) / 1000000, 6) AS DOUBLE) AS cost FROM r""")
+def t12_run_summary(t: Tables) -> DataFrame:
+    """Events as runs, a quarter of them without usage."""
+    e, k = t.events, F.col("event_id")
+    ti, to, calls = F.when(k % 4 > 0, F.col("user_id")), F.when(k % 4 > 1, k % 90), F.when(k % 5 > 0, k % 3)
+    out = te.run_summary(e, F.col("value"), ti, to, calls, {"degraded": F.col("event_type") == "error"}, {"completed": F.col("event_type") == "purchase"}, 3.0, 15.0)
+    rounded = {c: F.round(c, 9) for c in ("rate_degraded", "rate_completed", "mean_in", "mean_calls")} | {c: F.round(c, 6) for c in ("p50_ms", "p95_ms")}
+    return out.drop("mean_out").withColumns(rounded).withColumn("cost", F.col("cost").cast("double"))
+
+
+def _documents(t: Tables) -> DataFrame:
+    k = F.col("event_id")
+    doc = F.to_json(
+        F.struct(
+            F.struct(F.col("value").alias("total_ms"), F.when(k % 3 == 0, (F.col("value") / 2).cast("string")).alias("plan_ms"), (F.col("value") / 4).alias("search_ms")).alias("timings"),
+            F.when(k % 4 > 0, F.struct(F.col("user_id").alias("input"), (k % 90).alias("output"))).alias("usage"), F.col("event_type").alias("mode"), F.lit("hidden").alias("secret"),
+        )
+    )
+    return t.events.select("event_id", "ts", "user_id", doc.alias("doc"))
+
+
+@query("""
+    SELECT event_id, round(value, 1) AS total_ms, NULL::DOUBLE AS plan_ms, round(value / 4, 1) AS search_ms, CASE WHEN event_id % 4 > 0 THEN user_id END AS tokens_in, CASE WHEN event_id % 4 > 0 THEN event_id % 90 END AS tokens_out FROM events""")
+def t15_series_points(t: Tables) -> DataFrame:
+    """Points of all runs; a time that is a text in the document reads as none."""
+    out = te.series_points(_documents(t), "event_id", "ts", "doc", ["plan_ms", "search_ms"], ["$.usage.input", "$.usage.output"], 3.0, 15.0)
+    return out.select("event_id", "total_ms", "plan_ms", "search_ms", "tokens_in", "tokens_out")
+
+
+@query("""
+    WITH s AS (SELECT event_id // 10 * 10 AS run, '[' || string_agg('{"event_type":"' || event_type || '","user_id":' || user_id || '}', ',' ORDER BY event_id) || ']' AS steps FROM events WHERE event_id % 10 > 0 GROUP BY 1)
+    SELECT event_id, '{"mode":"' || event_type || '"}' AS detail, coalesce(steps, '[]') AS steps FROM events LEFT JOIN s ON run = event_id WHERE event_id % 10 = 0""")
+def t14_run_details(t: Tables) -> DataFrame:
+    """Every tenth event as a run with the nine after it as its steps; only the mode of its document is told."""
+    steps = t.events.where("event_id % 10 > 0").select((F.floor(F.col("event_id") / 10) * 10).alias("event_id"), F.col("event_id").alias("at"), "event_type", "user_id")
+    return te.run_details(_documents(t).where("event_id % 10 = 0"), "event_id", "doc", ["mode"], steps, "at", ["event_type", "user_id"])
+
+
+@query("SELECT event_id, event_type AS kind, substr('user ' || user_id || ' of a long story', 1, 12) AS note, 2 AS n FROM events")
+def x13_safe_fields(t: Tables) -> DataFrame:
+    """Log fields by an allow-list, values clipped to twelve characters."""
+    note = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" of a long story"))
+    fields = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("note"), note, F.lit("token"), F.lit("secret"), F.lit("empty"), F.lit(None).cast("string"))
+    kept = te.safe_fields(fields, ["kind", "note", "empty"], 12)
+    return t.events.select("event_id", kept["kind"].alias("kind"), kept["note"].alias("note"), F.size(kept).alias("n"))
 
 
 @query("SELECT unnest([event_type, lang]) AS value, count(*) AS n FROM events, (SELECT 'x' AS lang) GROUP BY 1")
