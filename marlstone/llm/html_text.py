@@ -4,7 +4,8 @@ The DOMs of a host are merged by the path of tags and classes. For each node of
 taken over the articles whose pages have it: of its presentation (the sequence of its children) and of its content (how
 widely each of its texts is shared). A branch that looks alike and reads alike all over a site has a low importance and
 is removed from each page, next to what HTML itself names as no part of the article: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments. Pages that hold the same article count once, so copies of an
+notices, adverts, forms, scripts, styles and comments. Article elements that hold little of a page's text are cards of
+other stories, and the text around them stays. Pages that hold the same article count once, so copies of an
 article do not make it boilerplate. A host with few articles tells nothing by entropy, so there the names alone decide.
 """
 
@@ -50,6 +51,12 @@ PLAIN_WORDS = frozenset(
     "link links icon icons media post posts article articles story stories user users reader readers thread js is the and in of".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of an article that names alone do not take out of it: data, and lists unless they are made of links.
+DATA, LISTS = frozenset("table caption thead tbody tfoot tr td th figure figcaption pre blockquote".split()), frozenset("ul ol dl".split())
+#: Words of classes of the lines in an article's header that are no part of its text.
+BYLINE_WORDS = frozenset("byline author authors meta date time published updated timestamp credit credits dateline tags tag category categories kicker share sharing social".split())
+#: Article elements are the article where they hold this share of the text that is left of the page; fewer are cards of others.
+ARTICLE_SHARE = 1 / 3
 #: Never judged by entropy: the frame of a page and the plain blocks of its text.
 FRAME = frozenset("html body main article p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
 
@@ -73,22 +80,27 @@ class Node:
     aside: bool
     heading_only: bool
     article: int
+    maybe: bool = False  # a list that its names alone mark: no part of the article if it is made of links
+    byline: bool = False
+    text: int = 0  # characters of its own blocks, and of links in them
+    linked: int = 0
     children: list[str] = field(default_factory=list)
 
 
-def _names(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Classes and id without digits, whether they mark no part of the article, and whether they mark a header."""
+def _names(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """Classes and id without digits, whether attributes mark no part of the article, whether names do, whether names mark a header, and a byline."""
     if not attributes.strip():
-        return "", False, False
+        return "", False, False, False, False
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     label = entities.unescape(f"{found.get('class', '')} {found.get('id', '')}")
     tokens = [{w.lower() for w in _WORD.findall(x)} for x in label.split()]
     said = set().union(*tokens)
     named = any(x & ASIDE_WORDS and x <= ASIDE_WORDS | PLAIN_WORDS for x in tokens)
-    aside = tag not in {"html", "body", "main"} and (named or found.get("role", "").lower() in ASIDE_ROLES)
+    framed = tag in {"html", "body", "main"}
+    aside = not framed and found.get("role", "").lower() in ASIDE_ROLES
     style = found.get("style", "").replace(" ", "").lower()
     aside |= re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) is not None or found.get("aria-hidden") == "true" or "display:none" in style
-    return ".".join(sorted(set(re.sub(r"\d+", "", label).split()))), aside, "header" in said
+    return ".".join(sorted(set(re.sub(r"\d+", "", label).split()))), aside, named and not framed, "header" in said, bool(said & BYLINE_WORDS)
 
 
 def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -99,14 +111,18 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node(-1, "", 0, 0, False, False, False, -1)]
     held: dict[str, int] = {}  # open elements by tag
     stack, blocks, buffer = [0], [], []
-    articles = 0
+    linked = 0  # characters of links in the buffer
 
     def flush(at: int) -> None:
+        nonlocal linked
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
                 blocks.append((at, text))
+                nodes[at].text += len(text)
+                nodes[at].linked += min(linked, len(text))
+        linked = 0
 
     def close(depth: int) -> None:
         """Leave the elements from this depth of the stack on."""
@@ -131,6 +147,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             break
         if m.start() > at:
             buffer.append(page[at : m.start()])
+            linked += (m.start() - at) * bool(held.get("a"))
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -173,10 +190,11 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             flush(place())
         if tag in VOID:
             continue
-        names, aside, header = _names(tag, m[3])
+        names, aside, named, header, byline = _names(tag, m[3])
         up = nodes[stack[-1]]
         article = up.article
-        aside = aside or tag in ASIDE or up.aside
+        maybe = named and article > 0 and tag in LISTS
+        aside = aside or tag in ASIDE or up.aside or (named and not maybe and not (article > 0 and tag in DATA))
         heading_only = up.heading_only
         if (tag == "header" or header) and tag not in {"html", "body", "article", "main"}:
             if article < 0:
@@ -184,7 +202,6 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             else:
                 heading_only = True
         if tag in {"article", "main"} and not aside:
-            articles += 1
             article = len(nodes)
         label = f"{tag}.{names}" if names else tag
         if aside and not up.aside and tag not in BLOCKS:
@@ -193,7 +210,7 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             up.children.append(label)
         if not m[3].endswith("/"):
             judged = label not in FRAME and tag not in {"html", "body", "main", "article"}
-            nodes.append(Node(stack[-1], tag, _below(up.path, label), up.depth + 1, judged, aside, heading_only, article))
+            nodes.append(Node(stack[-1], tag, _below(up.path, label), up.depth + 1, judged, aside, heading_only, article, maybe, byline))
             stack.append(len(nodes) - 1)
             held[tag] = held.get(tag, 0) + 1
     flush(place())
@@ -281,8 +298,10 @@ def importance(counted: DataFrame, least_pages: int = 8, decay: float = 0.9) ->
 def main_text(page: str | None, low: frozenset[int] | set[int]) -> str:
     """Blocks of the article in page order, joined by two line ends.
 
-    The article is all article elements, else the main element, else the body; of it go the branches that are named as
-    no part of it and those whose paths are in low, unless a kept heading of the first level is inside.
+    The article is all article elements where these hold a third of the text or more, else the main element, else the body; of
+    it go the branches that are named as no part of it and those whose paths are in low, unless a kept heading of the
+    first level is inside. Names alone take no tables, figures or quotations out of an article, and lists only if half of
+    them is links. Of an article's header, headings stay, and paragraphs whose classes name no byline.
     """
     return _article(*read(page or ""), low)
 
@@ -295,13 +314,23 @@ def _article(nodes: list[Node], blocks: list[tuple[int, str]], low: frozenset[in
                 titled.add(i)
                 i = nodes[i].parent
     lost, inside = [False] * len(nodes), [False] * len(nodes)
+    text, linked = [n.text for n in nodes], [n.linked for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        text[nodes[i].parent] += text[i]
+        linked[nodes[i].parent] += linked[i]
     for i, node in enumerate(nodes[1:], 1):
-        lost[i] = lost[node.parent] or node.aside or (node.path in low and i not in titled)
+        lost[i] = lost[node.parent] or node.aside or (node.path in low and i not in titled) or (node.maybe and 2 * linked[i] >= text[i])
         inside[i] = inside[node.parent] or node.tag == "article"
-    kept = [(i, text) for i, text in blocks if not lost[i] and not (nodes[i].heading_only and nodes[i].tag not in HEADINGS)]
-    for within in (lambda i: inside[i], lambda i: nodes[i].article > 0):
-        if any(within(i) for i, _ in kept):
-            kept = [(i, t) for i, t in kept if within(i)]
+
+    def told(i: int) -> bool:
+        return not nodes[i].heading_only or nodes[i].tag in HEADINGS or (nodes[i].tag == "p" and not nodes[i].byline)
+
+    kept = [(i, t) for i, t in blocks if not lost[i] and told(i)]
+    whole = sum(len(t) for _, t in kept)
+    for within in (lambda i: inside[i], lambda i: nodes[i].article > 0 and not inside[i]):
+        own = [(i, t) for i, t in kept if within(i)]
+        if own and sum(len(t) for _, t in own) >= ARTICLE_SHARE * whole:
+            kept = own
             break
     return "\n\n".join(t for _, t in kept)
 
