@@ -80,7 +80,11 @@ class LexicalIndex:
     def write(cls, docs: DataFrame, key: str, text: str, folder: str, buckets: int = 64, spread: int = 4) -> LexicalIndex:
         """Analyse docs once. A bucket is dealt over ``spread`` tasks by the documents' keys."""
         index = cls(docs.sparkSession, folder, key, dict(docs.dtypes)[key], buckets)
-        rows = analysed(docs, [key], text).withColumn("bucket", index.bucket(F.col("lexeme")))
+        source = docs.select(key, text)
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        if source.rdd.getNumPartitions() < cores:  # a table of few files: its texts are dealt out before they are read
+            source = source.repartition(cores)
+        rows = analysed(source, [key], text).withColumn("bucket", index.bucket(F.col("lexeme")))
         dealt = rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(spread)))
         dealt.sortWithinPartitions("bucket", "lexeme").write.partitionBy("bucket").parquet(f"{folder}/postings")
         whole = index.read("postings")
