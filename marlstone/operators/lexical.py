@@ -21,6 +21,8 @@ from .steps import shared_path
 TOKEN = r"[\p{L}\p{N}]+"
 PHRASE = '"([^"]{2,200})"'
 MOST_QUERY_CHARS = 1000
+#: Postings that a worker gathers before it hands them on; one text may have more.
+MOST_POSTINGS = 20_000
 #: Weights of the places of a text, from body to title.
 WEIGHTS = {"D": 0.1, "C": 0.2, "B": 0.3, "A": 0.3}
 #: Terms of a query set up to this many are broadcast; more are joined by shuffle.
@@ -35,17 +37,27 @@ def analysed(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         token = regex.compile(TOKEN)
         for batch in batches:
             rows, lexemes, places = [], [], []
-            for i, t in enumerate(batch.column(len(keys)).to_pylist()):
+
+            def made(batch=batch, rows=rows, lexemes=lexemes, places=places) -> pa.RecordBatch:
+                own = batch.select(list(range(len(keys)))).take(pa.array(rows, pa.int32()))
+                out = pa.RecordBatch.from_arrays([*own.columns, pa.array(lexemes, pa.string()), pa.array(places, pa.list_(pa.int32()))], [*keys, "lexeme", "positions"])
+                for held in (rows, lexemes, places):
+                    held.clear()
+                return out
+
+            texts = batch.column(len(keys))
+            for i in range(batch.num_rows):
                 found: dict[str, list[int]] = {}
-                for at, word in enumerate(token.findall((t or "").lower()), 1):
+                for at, word in enumerate(token.findall((texts[i].as_py() or "").lower()), 1):
                     lex = lexeme(word)
                     if lex is not None:
                         found.setdefault(lex, []).append(at)
                 rows += [i] * len(found)
                 lexemes += found
                 places += found.values()
-            own = batch.select(list(range(len(keys)))).take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(lexemes, pa.string()), pa.array(places, pa.list_(pa.int32()))], [*keys, "lexeme", "positions"])
+                if len(rows) >= MOST_POSTINGS:  # what a worker holds does not grow with the batch
+                    yield made()
+            yield made()
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     return df.select(*keys, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{schema}, lexeme string, positions array<int>")
