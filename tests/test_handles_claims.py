@@ -10,7 +10,7 @@ from marlstone.operators import ingestion as ing
 from marlstone.operators import retrieval as re_
 
 HANDLES = {
-    "NORTHSTAR/SURVEY-2026@v1:R185": True, "WS/ABC@v1:P4.B2": True, "WS/ABC@v9999:SH2.R12.T1.Q7": True, "WS/PERF@v1:AQ3F9A0C21B7D4": True, "ABCDEFGHIJKLMNOP/A@v1:P1": True,
+    "ACMEWORKS/SURVEY-2026@v1:R185": True, "WS/ABC@v1:P4.B2": True, "WS/ABC@v9999:SH2.R12.T1.Q7": True, "WS/PERF@v1:AQ3F9A0C21B7D4": True, "ABCDEFGHIJKLMNOP/A@v1:P1": True,
     "ABCDEFGHIJKLMNOPQ/A@v1:P1": False, "W/A@v1:P1": False, "1W/A@v1:P1": False, "WS/A@v0:P1": False, "WS/A@v10000:P1": False, "WS/A@v1:X1": False, "WS/A@v1:P0": False, "WS/A@v1:P1.P2.P3.P4.P5": False, "WS/A@v1:AQ3F9A": False,
     "WS/A@v1:AQ3f9a0c21b7d4": False, "ws/a@v1:p1": False, "[WS/A@v1:P1]": False, "WS/A@v1:P1\n": False, "": False, "WS/" + "-".join(["ABCDEFGHIJKL"] * 6) + "@v1:P1234567.P1234567": False,
 }
