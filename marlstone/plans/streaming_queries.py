@@ -86,17 +86,20 @@ def x5_interrupted(t: Tables) -> DataFrame:
     WITH v AS (SELECT doc_id AS version_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents WHERE doc_id % 7 <> 3)
     SELECT version_id, CASE WHEN len(words) = 0 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN len(words) > 0 THEN len(words) END AS n_words FROM v""")
 def x9_job_queue(t: Tables) -> DataFrame:
-    """All documents as versions sent three times over in small files, some of them not queued; each is processed once."""
-    spark = t.documents.sparkSession
+    """All documents as versions sent three times over in small files, some of them not queued; each is processed once.
+
+    A message names its version; the work reads the texts.
+    """
+    spark, docs = t.documents.sparkSession, t.documents
     home = shared_path(spark, "queue")
-    sent = t.documents.select(F.col("doc_id").alias("version_id"), F.when(F.col("doc_id") % 7 == 3, "ready").otherwise("queued").alias("status"), "text")
+    sent = docs.select(F.col("doc_id").alias("version_id"), F.when(F.col("doc_id") % 7 == 3, "ready").otherwise("queued").alias("status"))
     sent.withColumn("copy", F.explode(F.array(*map(F.lit, range(3))))).repartition(6).write.parquet(f"{home}/in")
+    counted = docs.select(F.col("doc_id").alias("version_id"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
 
     def work(todo: DataFrame) -> DataFrame:
-        counted = todo.select("version_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
-        return counted.where("n_words > 0").withColumn("status", F.lit("ready"))
+        return todo.select("version_id").join(counted, "version_id").where("n_words > 0").withColumn("status", F.lit("ready"))
 
     ledger = JobQueue(f"{home}/ledger", ["version_id"])
-    stream = spark.readStream.schema("version_id long, status string, text string, copy int").option("maxFilesPerTrigger", 3).parquet(f"{home}/in")
+    stream = spark.readStream.schema("version_id long, status string, copy int").option("maxFilesPerTrigger", 3).parquet(f"{home}/in")
     drain(stream, ledger, work, f"{home}/checkpoint").awaitTermination()
     return ledger.states(spark).join(ledger.results(spark).select("version_id", "n_words"), "version_id", "left").select("version_id", "status", "n_words")
