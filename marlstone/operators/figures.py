@@ -66,17 +66,21 @@ _PARTS = rf"^([-−])?({_CUR})?({_NUM})(?:[ \t]?((?i:thousand|million|billion|tr
 _LABEL = r"(?<![A-Za-z0-9_])([A-Za-z][^:=;|\n]{0,40}?)[ \t]*[:=][ \t]*\z"
 _RANGE = r"^(?i:[ \t]*(?:to|and|or|[-–—])[ \t]*)?$"
 _SPAN_RANGE = r"^(?i:[ \t]*(?:to|[-–—])[ \t]*)$"
-_BEGIN, _END = "\u0001", "\u0002"
+_BEGIN, _END, _CUT = "\u0001", "\u0002", "\u0003"
 
 
 def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
-def _either(c: Column, *groups: int) -> Column:
-    """The first group of the parts of a span that is not empty, else null."""
-    found = [F.regexp_extract(c, _PARTS, g) for g in groups]
-    return F.coalesce(*(F.when(f != "", f) for f in found))
+def _cut(span: Column) -> Column:
+    """The groups of the parts of a span from place 1 on, by one match; a span in words has none."""
+    return F.split(F.regexp_replace(span, _PARTS, "".join(f"{_CUT}${g}" for g in range(1, 9))), _CUT)
+
+
+def _either(groups: Column, *at: int) -> Column:
+    """The first of the groups that is not empty, else null."""
+    return F.coalesce(*(F.nullif(F.get(groups, F.lit(g)), F.lit("")) for g in at))
 
 
 def _spelled(span: Column) -> Column:
@@ -141,21 +145,26 @@ def with_mentions(df: DataFrame, text: str, out: str = "mentions", bare: bool =
     clean = F.regexp_replace(F.regexp_replace(clean, MARKERS, " "), ORDINALS, "")
     pieces = F.split(F.regexp_replace(clean, spans, f"{_BEGIN}$0{_END}"), _BEGIN)
     piece = lambda i: F.translate(F.coalesce(F.get("_pieces", i), F.lit("")), _END, "")
-    raw = F.transform(
-        F.slice("_pieces", F.lit(2), F.greatest(F.size("_pieces") - 1, F.lit(0))),
-        lambda p, i: F.struct(
-            F.substring_index(p, _END, 1).alias("span"),
+
+    def cut(p: Column, i: Column) -> Column:
+        span, before = F.substring_index(p, _END, 1), F.right(F.concat(piece(i - 3), piece(i - 2), piece(i - 1), piece(i)), F.lit(context))
+        return F.struct(
+            span.alias("span"),
             F.substring_index(p, _END, -1).alias("gap"),
-            F.right(F.concat(piece(i - 3), piece(i - 2), piece(i - 1), piece(i)), F.lit(context)).alias("before"),
+            before.alias("before"),
             F.left(F.concat(F.substring_index(p, _END, -1), piece(i + 2), piece(i + 3), piece(i + 4)), F.lit(context)).alias("after"),
-        ),
-    )
+            _cut(span).alias("groups"),
+            # the plain pattern spares most texts the search for the label's begin
+            F.when(before.rlike(r"[:=][ \t]*\z"), F.regexp_extract(before, _LABEL, 1)).otherwise("").alias("label"),
+        )
+
+    raw = F.transform(F.slice("_pieces", F.lit(2), F.greatest(F.size("_pieces") - 1, F.lit(0))), cut)
 
     def parts(r: Column) -> Column:
-        span, before = r["span"], r["before"]
-        words, label = span.rlike(rf"^(?i:{_CARDINAL})"), F.regexp_extract(before, _LABEL, 1)
+        span, label = r["span"], r["label"]
+        words = span.rlike(rf"^(?i:{_CARDINAL})")
         named = F.struct(*(c.alias(n) for c, n in zip(_label_units(label), ("scale", "currency", "percent"), strict=True)))
-        group = lambda *g: _either(span, *g)
+        group = lambda *g: _either(r["groups"], *g)
         return F.struct(
             *(r[c].alias(c) for c in ("span", "gap", "before", "after")),
             F.when(words, _spelled(span)).alias("spelled"),
@@ -256,8 +265,12 @@ def supports(claim: Column, evidence: Column) -> Column:
 
 
 def unsupported(df: DataFrame, answer: str, evidence: str, key: str) -> DataFrame:
-    """key, text, value of the number mentions of answers that no mention of their evidence supports; years of dates and periods are left out."""
-    both = with_mentions(with_mentions(df, answer, "_a"), evidence, "_e")
+    """key, text, value of the number mentions of answers that no mention of their evidence supports; years of dates and periods are left out.
+
+    ``evidence`` names a text, or an array of mentions for evidence that several answers share.
+    """
+    stated = df.withColumn("_e", F.col(evidence)) if dict(df.dtypes)[evidence] != "string" else with_mentions(df, evidence, "_e")
+    both = with_mentions(stated, answer, "_a")
     left = F.filter("_a", lambda c: ~c["temporal"] & ~F.exists("_e", lambda e: supports(c, e)))
     return both.select(key, F.explode(left).alias("c")).select(key, "c.text", "c.value")
 

@@ -142,3 +142,11 @@ def test_gold_numbers_of_an_answer(spark):
     asked = [1.5, 1.5e6, 7.0, 8.0, None]
     got = df.select(*(fg.states(F.lit(v).cast("double"), "mentions").alias(f"c{i}") for i, v in enumerate(asked))).first()
     assert list(got) == [True, True, True, False, True]
+
+
+def test_evidence_may_be_mentions_that_answers_share(spark):
+    d = spark.createDataFrame([(1, "2 pieces for $3.50; growth_pct: 7")], "id int, evidence string")
+    read = fg.with_mentions(d, "evidence", "stated")
+    said = read.crossJoin(spark.createDataFrame([("a", "It is $3.50."), ("b", "It is 7% and 9 now.")], "k string, answer string"))
+    got = {(r.k, r.text) for r in fg.unsupported(said, "answer", "stated", "k").collect()}
+    assert got == {(r.k, r.text) for r in fg.unsupported(said.drop("stated"), "answer", "evidence", "k").collect()} == {("b", "9")}
