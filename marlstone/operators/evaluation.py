@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
+from .steps import settled
 from .totals import running_totals
 
 CUTS = (1, 3, 5, 10, 20)
@@ -289,17 +291,52 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+#: Texts that open ones are tried against before all, in two rounds, and tasks over which all pairs of an item are dealt.
+_FIRST, _DEALT = (16, 512), 64
+
+
+def _alike(texts: DataFrame, others: DataFrame, item: str, enough) -> DataFrame:
+    """item, text of the distinct ``texts`` that some text of ``others`` of their item is like enough.
+
+    Only whether there is one counts, so a text is tried against a few others first, and only what stays open against all
+    of them: lists of at most about 1,000 others, dealt over tasks, and a text leaves a list at its first match. Lengths
+    that differ too much are no pair. Nothing alike costs all pairs, in bounded memory.
+    """
+    longer, apart = (lambda a, b: F.greatest(F.length(a), F.length(b))), (lambda a, b: F.abs(F.length(a) - F.length(b)))
+    may = lambda a, b: (longer(a, b) == 0) | enough(1 - apart(a, b) / longer(a, b))
+    some = F.exists("_others", lambda o: may(F.col("_text"), o) & enough(likeness(F.col("_text"), o)))
+    own, rest = (d.select(item, "_text").where(F.col(item).isNotNull() & F.col("_text").isNotNull()).distinct() for d in (texts, others))
+    rest = settled(rest)
+    found, left = [], own
+    for n in _FIRST:
+        few = rest.groupBy(item, F.pmod(F.xxhash64("_text"), F.lit(n)).alias("_b")).agg(F.min("_text").alias("_text")).groupBy(item).agg(F.collect_list("_text").alias("_others"))
+        tried = settled(left.join(few, item).select(item, "_text", some.alias("_some")))
+        found.append(tried.where("_some").select(item, "_text"))
+        left = tried.where("NOT _some").select(item, "_text")
+    if not left.isEmpty():
+        lists = F.greatest(F.ceil(F.col("_n") / 1000), F.lit(1))
+        sized = rest.join(rest.groupBy(item).agg(F.count(F.lit(1)).alias("_n")), item)
+        blocks = sized.groupBy(item, F.pmod(F.xxhash64("_text"), lists).alias("_b")).agg(F.collect_list("_text").alias("_others")).withColumn("_deal", F.pmod(F.col("_b"), F.lit(_DEALT)))
+        open_ = left.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(_DEALT - 1)).cast("array<bigint>")))
+        found.append(open_.join(blocks, [item, "_deal"]).where(some).select(item, "_text"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def text_scores(found: DataFrame, wanted: DataFrame, item: str, least: float = 0.5) -> DataFrame:
     """item, recall, precision by likeness of passages: share of wanted passages with a found one above ``least``, and the rank-weighted
     precision of found passages of at least ``least``. Null without wanted or found passages.
 
-    found: item, rank, text; wanted: item, ref, text. Packs and references of an item are few, so their pairs are too.
+    found: item, rank, text; wanted: item, ref, text.
     """
-    pairs = wanted.select(item, "ref", F.col("text").alias("_w")).join(found.select(item, "rank", F.col("text").alias("_f")), item).withColumn("_like", likeness(F.col("_w"), F.col("_f")))
-    held = wanted.select(item, "ref").join(pairs.groupBy(item, "ref").agg(F.max("_like").alias("_best")), [item, "ref"], "left")
-    any_found = found.select(item).distinct().withColumn("_found", F.lit(True))
-    recall = held.join(any_found, item, "left").groupBy(item).agg(F.avg((F.coalesce("_best", F.lit(0.0)) > least).cast("double")).alias("recall"))
-    relevant = found.select(item, "rank").join(pairs.groupBy(item, "rank").agg(F.max("_like").alias("_best")), [item, "rank"], "left").withColumn("_relevant", F.coalesce(F.col("_best") >= least, F.lit(False)))
-    precise = average_precision(relevant, item, "rank", "_relevant").withColumnRenamed("average_precision", "precision")
+    had, want = found.select(item, "rank", F.col("text").alias("_text")), wanted.select(item, "ref", F.col("text").alias("_text"))
+    got = _alike(want, had, item, lambda x: x > least).withColumn("_got", F.lit(True))
+    fits = _alike(had, want, item, lambda x: x >= least).withColumn("_fits", F.lit(True))
+    # rows of one ref, or of one rank, share their best pair; without a ref, or a rank, a row has none
+    hit = F.coalesce(F.col("_got") & F.col("ref").isNotNull(), F.lit(0.0 > least))
+    refs = want.join(got, [item, "_text"], "left").groupBy(item, "ref").agg(F.bool_or(hit).alias("_got"), F.count(F.lit(1)).alias("_rows"))
+    recall = refs.groupBy(item).agg((F.sum(F.when(F.col("_got"), F.col("_rows")).otherwise(0)) / F.sum("_rows")).alias("recall"))
+    ranks = had.join(fits, [item, "_text"], "left")
+    whole = F.bool_or(F.coalesce(F.col("_fits") & F.col("rank").isNotNull(), F.lit(False))).over(Window.partitionBy(item, "rank"))
+    precise = average_precision(ranks.withColumn("_relevant", whole), item, "rank", "_relevant").withColumnRenamed("average_precision", "precision")
     items = found.select(item).union(wanted.select(item)).distinct()
     return items.join(recall, item, "left").join(precise, item, "left")

@@ -90,6 +90,31 @@ def test_texts_by_likeness(spark):
     assert got[1] == (0.5, pytest.approx((1 + 2 / 3) / 2)) and got[2] == (None, None) and got[3] == (0.0, None)
 
 
+def test_texts_by_likeness_try_few_before_all(spark, monkeypatch):
+    monkeypatch.setattr(ev, "_FIRST", (1, 2))  # most texts stay open for the last round
+    draw = random.Random(5)
+    text = lambda: "".join(draw.choice("abcd") for _ in range(draw.randint(0, 7)))
+    found, wanted = ([(i % 3, i // 6, text()) for i in range(90)] for _ in "ab")
+
+    def like(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[:], i
+            for j, y in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        return 1 - row[-1] / max(len(a), len(b)) if a or b else 1.0
+
+    kinds = "item int, {} int, text string"
+    f, w = spark.createDataFrame(found, kinds.format("rank")), spark.createDataFrame(wanted, kinds.format("ref"))
+    one = lambda df: df.withColumnRenamed("text", "_text").where("item = 1")
+    got = {r._text for r in ev._alike(one(w), one(f), "item", lambda x: x > 0.7).collect()}
+    assert got == {a for i, _, a in wanted if i == 1 and any(like(a, b) > 0.7 for j, _, b in found if j == 1)}
+    for r in ev.text_scores(f, w, "item", 0.7).collect():
+        refs = {(i, k) for i, k, a in wanted if any(i == j and like(a, b) > 0.7 for j, _, b in found)}
+        own = [(i, k) in refs for i, k, _ in wanted if i == r.item]
+        assert r.recall == pytest.approx(sum(own) / len(own))
+
+
 def test_arms_over_common_items(spark):
     schema = "item int, recall_1 double, recall_5 double, recall_10 double, recall_20 double, reciprocal_rank double"
     a = spark.createDataFrame([(i, float(i % 2), 1.0, 1.0, 1.0, 0.5) for i in range(40)] + [(99, 1.0, 1.0, 1.0, 1.0, 1.0)], schema)
