@@ -238,8 +238,13 @@ def proofs(units: DataFrame, key: str, text: Column, cited: str, evidence: DataF
     """
     from .figures import supports, with_mentions
 
-    said = with_mentions(units.withColumn("_said", text), "_said", "_claims").drop("_said")
-    known = with_mentions(evidence.select(key, F.col("alias").alias("_alias"), "body"), "body", "_stated").select(key, "_alias", "_stated")
+    def read(df: DataFrame, column: str, out: str) -> DataFrame:
+        """df with the mentions of a text; equal texts are read once, however many rows have them."""
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not fewer tasks than those
+        return df.join(with_mentions(df.select(column).distinct().repartition(tasks, column), column, out), column).drop(column)
+
+    said = read(units.withColumn("_said", F.coalesce(text, F.lit(""))), "_said", "_claims")
+    known = read(evidence.select(key, F.col("alias").alias("_alias"), F.coalesce("body", F.lit("")).alias("_body")), "_body", "_stated")
     pairs = said.select(key, "unit", "_claims", F.explode(cited).alias("_alias")).join(known, [key, "_alias"])
     claims = F.filter(F.transform("_claims", lambda c, i: F.when(F.exists("_stated", lambda e: supports(c, e)), i)), lambda i: i.isNotNull())
     one = pairs.groupBy(key, "unit", "_alias").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(claims)))).alias("_claims"))
