@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over all documents give the IDF weights.
-2. Passages of a sample of the documents (SAMPLE_DOCS and PASSAGES bound it) and all benchmark items are TF-IDF rows over
-   the cells of the items' words. A randomised SVD, with all products over the rows computed by Spark, gives the latent
-   basis: a range finder by power turns, then the singular vectors of the small matrix.
+2. All passages of all documents and items are TF-IDF rows over the cells of the items' words. Each is added, with a sign by
+   its hash, to one of a fixed number of rows: a sketch whose Gram matrix is that of all rows in expectation. A randomised
+   SVD of the sketch, with all products over its rows computed by Spark, gives the latent basis: a range finder by power
+   turns, then the singular vectors of the small matrix.
 3. Every document is read in whole. A stretch that shares enough words with an item holds some of the item's rarest
    words, as many as its length says; only where they meet is a stretch looked at.
 4. Stretches begin and end at words of the item, so they have its length and neither foreign words around nor the length
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_memory, long_column, materialise, slices, text_bytes, words
+from .common import lean_memory, long_column, materialise, mix, slices, text_bytes, words
 
 #: Cells of the table of document frequencies (4 bytes each in a task).
 CELLS = 1 << 16
@@ -35,8 +36,8 @@ WINDOW, STRIDE = 32, 16
 PART = 8192
 #: Least cosine of such a window.
 SHORT = 0.35
-#: About how many documents, and at most how many of their passages, the basis is learned from.
-SAMPLE_DOCS, PASSAGES = 4_000, 20_000
+#: Rows of the sketch of all passages, at most, and its numbers (4 bytes each in a task).
+SKETCH, NUMBERS = 1024, 1 << 22
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
@@ -90,29 +91,48 @@ class Block:
     slot_items: np.ndarray
 
 
-def passage_cells(docs: DataFrame, n: int, cells: np.ndarray) -> DataFrame:
-    """cells (array of places in ``cells``, the sorted cells of the items) of passages of about SAMPLE_DOCS documents.
-
-    Documents are chosen by a hash of their text; of their passages the PASSAGES with the least hash stay.
-    """
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    own = docs.sparkSession.sparkContext.broadcast(cells)
+def passage_sketch(docs: DataFrame, cells: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """dense (float32 row over ``cells``, the sorted cells of the items) of the sketch of the passages of all documents (doc_id, text)."""
+    sent = docs.sparkSession.sparkContext.broadcast((cells, weights))
+    width, height = len(cells), min(SKETCH, max(128, NUMBERS // max(len(cells), 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
+        own, idf = sent.value
+        z = np.zeros(height * width, np.float32)
         for batch in batches:
             for part, data, off in slices(batch):
+                keys, _ = long_column(part.column("doc_id"))
                 h, owner, _ = words(data, off)
                 cell = _cell(h)
-                at = np.minimum(np.searchsorted(own.value, cell), len(own.value) - 1)
-                known = own.value[at] == cell
+                at = np.minimum(np.searchsorted(own, cell), width - 1)
+                known = np.flatnonzero(own[at] == cell)
+                if not len(known):
+                    continue
                 count = np.bincount(owner, minlength=part.num_rows)
-                passage = (owner << 32 | (np.arange(len(h)) - (np.cumsum(count) - count)[owner]) // WINDOW)[known]
-                cut = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(passage)], pa.int32()), pa.array(at[known].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([lists], ["cells"])
-
-    chosen = docs.where(F.expr(f"pmod(xxhash64(text), 1000000) < {share * 1e6}")).select("text")
-    return chosen.mapInArrow(run, "cells array<int>").orderBy(F.xxhash64("cells"), "cells").limit(PASSAGES)
+                number = (np.arange(len(h)) - (np.cumsum(count) - count)[owner])[known] // WINDOW
+                text = owner[known]
+                passage = np.cumsum(np.r_[False, (text[1:] != text[:-1]) | (number[1:] != number[:-1])])
+                first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+                spot, times = np.unique(passage * width + at[known], return_counts=True)
+                passage, place = spot // width, spot % width
+                value = times * idf[place].astype(np.float64)
+                value /= np.sqrt(np.maximum(np.bincount(passage, value * value), 1e-18))[passage]
+                tag = mix(mix(keys[text[first]].astype(np.uint64)) + number[first].astype(np.uint64))
+                sign = np.where(tag >> np.uint64(63), 1.0, -1.0)
+                np.add.at(z, (tag % np.uint64(height)).astype(np.int64)[passage] * width + place, (value * sign[passage]).astype(np.float32))
+        z = z.reshape(height, width)
+        used = np.flatnonzero(z.any(axis=1))
+        for lo in range(0, len(used), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(used[lo : lo + 256], pa.int64()), pa.array([z[i].tobytes() for i in used[lo : lo + 256]], pa.binary())], ["row", "dense"])
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"row": [frame["row"].iloc[0]], "dense": [sum(np.frombuffer(x, np.float32).astype(np.float64) for x in frame["dense"]).astype(np.float32).tobytes()]})
+
+    kind = "row long, dense binary"
+    # a group holds the rows of 64 tasks at most in the first sum
+    parts = docs.select("doc_id", "text").mapInArrow(run, kind).withColumn("part", F.floor(F.spark_partition_id() / 64))
+    return parts.groupBy("row", "part").applyInPandas(total, kind).groupBy("row").applyInPandas(total, kind).select("dense")
 
 
 def _dense(lists: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
@@ -124,7 +144,7 @@ def _dense(lists: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
 
 
 def randomised_svd(rows: DataFrame, weights: np.ndarray, rank: int, turns: int = 2, more: int = 8, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors (places x rank) and singular values of the TF-IDF rows of ``rows`` (cells).
+    """Right singular vectors (places x rank) and singular values of the TF-IDF rows of ``rows`` (cells), or of its rows as they are (dense).
 
     Turns multiply a random start by the transpose of the rows and the rows; partitions give partial products, which are
     summed by slabs, so no task holds more than one product. The small matrix of the rows in the basis found, again
@@ -142,9 +162,11 @@ def randomised_svd(rows: DataFrame, weights: np.ndarray, rank: int, turns: int =
             z = np.zeros((q_width, q_width) if small else (len(sent.value), q_width), np.float64)
             step = max(1, (4 << 20) // len(sent.value))
             for batch in batches:
-                lists = [np.asarray(x, np.int64) for x in batch.column("cells").to_pylist()]
+                given = "dense" in batch.schema.names
+                lists = batch.column("dense" if given else "cells").to_pylist()
                 for lo in range(0, len(lists), step):
-                    a = _dense(lists[lo : lo + step], sent.value)
+                    some = lists[lo : lo + step]
+                    a = np.stack([np.frombuffer(x, np.float32) for x in some]) if given else _dense([np.asarray(x, np.int64) for x in some], sent.value)
                     b = a @ start.value
                     z += (b.T @ b) if small else (a.T @ b)
             at = list(range(0, len(z), slab))
@@ -165,7 +187,7 @@ def randomised_svd(rows: DataFrame, weights: np.ndarray, rank: int, turns: int =
     return (q @ vectors[:, order]).astype(np.float32), np.sqrt(np.maximum(values[order], 0))
 
 
-def _blocks(base: DataFrame, benchmark: DataFrame, idf: np.ndarray, n: int, rank: int, share: float) -> list[Block]:
+def _blocks(base: DataFrame, benchmark: DataFrame, idf: np.ndarray, rank: int, share: float) -> list[Block]:
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), F.coalesce(benchmark["text"], F.lit("")).alias("text"))
     rows = items.where("item_id IS NOT NULL").groupBy("item_id", "text").count().drop("count").orderBy("item_id", "text").limit(MOST_ITEMS + 1).collect()
     if len(rows) > MOST_ITEMS:
@@ -183,10 +205,10 @@ def _blocks(base: DataFrame, benchmark: DataFrame, idf: np.ndarray, n: int, rank
     if not held:
         return []
     cells = np.unique(_cell(np.concatenate([h for _, h, _ in held])))
-    own = [np.searchsorted(cells, _cell(h[lo : lo + WINDOW])).tolist() for _, h, _ in held for lo in range(0, len(h), WINDOW)]
-    spark = base.sparkSession
-    passages = materialise(passage_cells(base, n, cells).unionByName(spark.createDataFrame([(x,) for x in own], "cells array<int>")), "leak-passages")
-    basis, _ = randomised_svd(passages.repartition(max(1, min(8, len(own) // 100))), idf[cells], rank)
+    # items beside the documents: their words have a place even where no document has them
+    every = base.select("doc_id", "text").unionByName(items.select((-1 - F.col("item_id")).alias("doc_id"), "text"))
+    rows_ = materialise(passage_sketch(every, cells, idf[cells]), "leak-sketch")
+    basis, _ = randomised_svd(rows_.repartition(max(1, min(8, len(cells) // 500))), idf[cells], rank)
     out = []
     for lo in range(0, len(held), BLOCK):
         ids, texts, answers = (list(x) for x in zip(*held[lo : lo + BLOCK], strict=True))
@@ -246,8 +268,8 @@ def find_leaks(
     """
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
     base = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    idf, n = idf_weights(base)
-    blocks = _blocks(base, benchmark, idf, n, rank, min(near, loose))
+    idf, _ = idf_weights(base)
+    blocks = _blocks(base, benchmark, idf, rank, min(near, loose))
     model = docs.sparkSession.sparkContext.broadcast((idf, blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -486,3 +486,21 @@ def test_leaks_common_short_and_long(spark):
     texts += [foreign(37) + f" {short} " + foreign(70), foreign(30) + f" {long_} " + foreign(30), foreign(9) + " s0 x s1 y s2 " + foreign(70)]
     got = find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 1) for i in range(60) if i % 3} | {(60, 2), (61, 3)}
+
+
+def test_the_latent_basis_counts_every_document(spark):
+    import pyarrow as pa
+
+    from marlstone.llm import decontaminate
+    from marlstone.llm.common import text_bytes, words
+
+    texts = [f"word{i} common" for i in range(6000)]
+    h = words(*text_bytes(pa.array(texts)))[0]
+    cells, held = np.unique(decontaminate._cell(h), return_counts=True)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontaminate.passage_sketch(docs, cells, np.ones(len(cells), np.float32)).collect()
+    got = np.stack([np.frombuffer(r["dense"], np.float32) for r in rows])
+    # every word that has a cell of its own has left something there
+    assert len(got) <= decontaminate.SKETCH and got[:, held == 1].any(axis=0).all()
+    few = np.stack([np.frombuffer(r["dense"], np.float32) for r in decontaminate.passage_sketch(docs.limit(1), cells, np.ones(len(cells), np.float32)).collect()])
+    assert np.isclose((few**2).sum(), 1)
