@@ -146,7 +146,7 @@ def i4_blocks(t: Tables) -> DataFrame:
 def r10_all_terms(t: Tables) -> DataFrame:
     """The last two words of the documents whose id is divisible by 50 as queries."""
     queries = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.regexp_extract("text", r"\S+\s+\S+$", 0).alias("text"))
-    return re_.all_terms_lane(queries, re_.postings(t.documents, "doc_id", "text"), "doc_id")
+    return re_.all_terms_lane(queries, t.documents, "doc_id", "text")
 
 
 @query("""

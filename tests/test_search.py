@@ -125,3 +125,23 @@ def test_a_scorer_that_fails_leaves_the_order(world):
         assert lists(found.ranked) == plain
         flags = {r.flag for r in found.ranked.where(F.col("in_pool")).collect()}
         assert flags == {se.UNAVAILABLE}
+
+
+def test_all_terms_without_a_shuffle(spark):
+    """Each set of words against plain loops, in parts of queries and slices of documents; no row is dealt out."""
+    import random
+
+    from marlstone.operators import retrieval as re_
+
+    rng = random.Random(8)
+    words = "red green blue grey the of tin".split()
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 6])))) for i in range(120)] + [(500, None), (501, "Red, GREEN!")]
+    asked = [(f"q{i}", " ".join(rng.choice([*words, "absent"]) for _ in range(rng.choice([0, 1, 2, 3])))) for i in range(40)] + [("same", "red"), ("again", "RED the"), ("none", None)]
+    plain = lambda t: {w.strip(",!").lower() for w in (t or "").split()} - set(re_.STOPWORDS)
+    want = sorted((q, d) for q, a in asked for d, t in docs if plain(a) and plain(a) <= plain(t))
+    df, qs = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "query_id string, text string")
+    for most in (1000, 7):
+        lane = re_.all_terms_lane(qs, df, "id", "text", most_queries=most)
+        assert sorted(map(tuple, lane.collect())) == want
+        assert "Exchange" not in lane._jdf.queryExecution().executedPlan().toString()
+    assert re_.all_terms_lane(qs.where("query_id = 'none'"), df, "id", "text").count() == 0
