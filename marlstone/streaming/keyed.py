@@ -1,7 +1,8 @@
 """Keyed state over streams of events: rows of a key in order, each once, whatever the batches they come in.
 
-The processors run in a stream and, with the same code, over a table. State is a small value for each key and the rows
-that came before their turn, both in the state store, so a restart goes on where the last batch ended.
+The processors run in a stream and, with the same steps, over a table. In a stream, state is a small value for each key and
+the rows that came before their turn, both in the state store, so a restart goes on where the last batch ended. Over a table
+the rows of a key are sorted and follow each other, so its memory is that of the task and ends with the key.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 #: Number of a row that closes a key of a table: timers due by its time go off, as none do over a table by themselves.
 END = 1 << 62
@@ -115,6 +119,57 @@ class Clock:
             self._handle.deleteTimer(int(millis))
 
 
+class NoClock:
+    """Timers of a table: none goes off by itself."""
+
+    def at(self, millis: int) -> None:
+        pass
+
+    def off(self, millis: int | None) -> None:
+        pass
+
+
+#: Rows that a task gathers before it hands them on.
+MOST_EVENTS = 20_000
+
+
+def over_table(processor: InOrder, rows: DataFrame, schema: str) -> DataFrame:
+    """The processor over a table of (key, seq, its columns): keys one after another, rows of a key by seq, each once.
+
+    What follows a missing number is not taken, as in a stream where that number never comes.
+    """
+    first, columns = processor.first, ["key", "seq", *processor.ROW]
+    dealt = rows.select(*columns).repartition("key").sortWithinPartitions("key", "seq")
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clock, out, began, key, until = NoClock(), [], False, None, None
+        memory: dict = {}
+
+        def made() -> pa.RecordBatch:
+            held = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, kinds, strict=True)], kinds.names)
+
+        for batch in batches:
+            for k, seq, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not began or k != key:
+                    if until is not None:
+                        out += [(key, *x) for x in processor.expired(memory, until, clock)]
+                    began, key, until, memory = True, k, None, {"next": first, "ended": False, **processor.start()}
+                if seq == END:
+                    until = int(row[-1])
+                elif seq == memory["next"] and not memory["ended"]:
+                    out += [(key, *x) for x in processor._take(memory, tuple(row), clock)]
+            if len(out) >= MOST_EVENTS:
+                yield made()
+                out = []
+        if until is not None:
+            out += [(key, *x) for x in processor.expired(memory, until, clock)]
+        yield made()
+
+    return dealt.mapInArrow(run, schema)
+
+
 # The form of a marker, what may still become one, and the end of a text that a removal must not complete.
 MARK = r"\[[ER][0-9]{0,4}\]"
 UNDECIDED = r"\[(?:[ER][0-9]{0,4})?\Z"
@@ -217,10 +272,13 @@ def gate_deltas(deltas: DataFrame, key: str) -> DataFrame:
 
     aliases are those of the first delta. Null deltas are empty; without a last delta the held end is not given out.
     """
+    schema = f"key {dict(deltas.dtypes)[key]}, place long, kind string, value string"
+    if not deltas.isStreaming:
+        rows = deltas.selectExpr(f"`{key}` AS key", "CAST(seq AS long) AS seq", "delta", "last", "CASE WHEN seq = 0 THEN aliases END AS aliases")
+        return over_table(AliasGate(), rows, schema).withColumnRenamed("key", key)
     keep_state(deltas.sparkSession)
-    kind = dict(deltas.dtypes)[key]
     rows = deltas.selectExpr(f"`{key}` AS key", "CAST(seq AS long) AS seq", "delta", "last", "aliases")
-    return rows.groupBy("key").transformWithStateInPandas(AliasGate(), f"key {kind}, place long, kind string, value string", "Append", "None").withColumnRenamed("key", key)
+    return rows.groupBy("key").transformWithStateInPandas(AliasGate(), schema, "Append", "None").withColumnRenamed("key", key)
 
 
 class RunLog(InOrder):
@@ -290,11 +348,12 @@ def run_log(events: DataFrame, key: str = "run_id", slot_millis: int = 100, dead
     seq is dense again; events behind a missing number wait for it. In a stream, timers go by the watermark: what comes later
     than ``late`` is left out by the engine. Over a table the timers due by ``now`` (null: all) go off at the end.
     """
-    keep_state(events.sparkSession)
-    kind = dict(events.dtypes)[key]
+    schema = f"key {dict(events.dtypes)[key]}, seq long, type string, payload string, at long, n_joined long"
     rows = events.withWatermark("ts", late).selectExpr(f"`{key}` AS key", "CAST(seq AS long) AS seq", "type", "payload", "unix_millis(ts) AS at", "ts")
     if not events.isStreaming:
         close = rows.select("key").distinct().selectExpr("key", f"{END}L AS seq", "CAST(NULL AS string) AS type", "CAST(NULL AS string) AS payload", f"{END if now_millis is None else now_millis}L AS at", "CAST(NULL AS timestamp) AS ts")
-        rows = rows.unionByName(close)
-    out = rows.groupBy("key").transformWithStateInPandas(RunLog(slot_millis, deadline_millis), f"key {kind}, seq long, type string, payload string, at long, n_joined long", "Append", "EventTime")
+        out = over_table(RunLog(slot_millis, deadline_millis), rows.unionByName(close), schema)
+    else:
+        keep_state(events.sparkSession)
+        out = rows.groupBy("key").transformWithStateInPandas(RunLog(slot_millis, deadline_millis), schema, "Append", "EventTime")
     return out.selectExpr(f"key AS `{key}`", "seq", "type", "payload", "timestamp_millis(at) AS ts", "n_joined")
