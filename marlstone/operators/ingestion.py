@@ -2,28 +2,46 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A token: a run of word characters, or one other mark.
 TOKEN = r"\w+|[^\w\s]"
 WINDOW, OVERLAP = 192, 32
+#: Tokens that a worker gathers before it hands their offsets on; one text may have more.
+MOST_TOKENS = 50_000
 
 
 def token_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, starts, ends: character offsets of the tokens of a text."""
     import re
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(TOKEN).finditer
-        for b in batches:
-            spans = [[m.span() for m in find(t or "")] for t in b[text]]
-            yield pd.DataFrame({key: b[key], "starts": [[s for s, _ in x] for x in spans], "ends": [[e for _, e in x] for x in spans]})
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, starts array<int>, ends array<int>")
+        for batch in batches:
+            begun, at, ends = 0, array("i"), [0]
+
+            def made(end: int, batch=batch) -> pa.RecordBatch:
+                spans, places = np.array(at, np.int32).reshape(-1, 2), pa.array(ends, pa.int32())
+                columns = [pa.ListArray.from_arrays(places, pa.array(np.ascontiguousarray(c))) for c in (spans[:, 0], spans[:, 1])]
+                return pa.RecordBatch.from_arrays([batch.column(0).slice(begun, end - begun), *columns], [key, "starts", "ends"])
+
+            for i, t in enumerate(batch.column(1)):
+                for m in find(t.as_py() or ""):
+                    at.extend(m.span())
+                ends.append(len(at) // 2)
+                if len(at) >= 2 * MOST_TOKENS:  # what a worker holds does not grow with the batch
+                    yield made(i + 1)
+                    begun, at, ends = i + 1, array("i"), [0]
+            yield made(batch.num_rows)
+
+    return docs.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, starts array<int>, ends array<int>")
 
 
 def windows(spans: DataFrame, key: str, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:

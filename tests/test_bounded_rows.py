@@ -36,6 +36,15 @@ def parts_of(make, texts):
     return list(make(Caught()).run(iter([batch])))
 
 
+def test_token_spans_leave_in_parts(spark):
+    texts = [None, "", *(f"a{i}, é b " * 2000 for i in range(40))]
+    parts = parts_of(lambda df: ingestion.token_spans(df, "id", "text"), texts)
+    assert max(sum(map(len, p.column(1).to_pylist())) for p in parts) <= ingestion.MOST_TOKENS + 8000
+    got = [tuple(r) for p in parts for r in zip(*(c.to_pylist() for c in p.columns), strict=True)]
+    spans = [[m.span() for m in re.finditer(ingestion.TOKEN, t or "")] for t in texts]
+    assert got == [(i, [b for b, _ in s], [e for _, e in s]) for i, s in enumerate(spans)]
+
+
 def test_a_gate_over_a_table_has_no_state(spark):
     rows = [("a", 1, " [E1]", True, None), ("a", 0, "x", False, ["E1"]), ("a", 0, "x", False, ["E1"]), ("b", 1, "late", True, None), (None, 0, "y [E7]", True, ["E1"])]
     got = keyed.gate_deltas(spark.createDataFrame(rows, "k string, seq int, delta string, last boolean, aliases array<string>"), "k")
