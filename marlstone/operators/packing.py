@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 TOKEN = r"\w+|[^\w\s]"
 MOST = 800
@@ -14,33 +19,70 @@ def n_tokens(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(f"(?U)({TOKEN})"), F.lit(1)))
 
 
-def filled(df: DataFrame, by: list[str], order: list[str], size: str, most: int, run: str | None = None) -> DataFrame:
-    """df with block: rows of each ``by`` fill blocks of ``most`` in order; a row larger than that has a block of its own.
+class _Fold:
+    """Sizes to blocks of ``most`` in order, units of a document after each other; it goes on from batch to batch."""
 
-    With ``run``, a run of equal values that would fit a whole block but not the rest of this one begins a new block.
-    Only keys and sizes go to the fold, which holds the units of one document.
-    """
-    kinds = dict(df.dtypes)
-    sized = df.select(*by, *order, F.col(size).cast("long").alias("_size"), (F.col(run) if run else F.lit(None)).cast("long").alias("_run"))
-    whole = F.sum("_size").over(Window.partitionBy(*by, "_run"))
-    sized = sized.withColumn("_whole", F.when(F.col("_run").isNotNull(), whole))
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        blocks, block, used, last = [], 0, 0, None
-        for n, r, total in frame[["_size", "_run", "_whole"]].itertuples(index=False):
+    def __init__(self, most: int):
+        self.most, self.block, self.used, self.last = most, 0, 0, None
+
+    def of(self, sizes: list[int], begins: list[bool], runs: list | None = None, wholes: list | None = None) -> list[int]:
+        most, block, used, last, out = self.most, self.block, self.used, self.last, []
+        for i, (n, begin) in enumerate(zip(sizes, begins, strict=True)):
+            if begin:
+                block, used, last = 0, 0, None
             need = n
-            if not pd.isna(r) and r != last and total <= most:
-                need = max(n, total)
+            if runs is not None:
+                if runs[i] is not None and runs[i] != last and wholes[i] <= most:
+                    need = max(n, wholes[i])
+                last = runs[i]
             if used and used + need > most:
                 block, used = block + 1, 0
             used += n
-            last = None if pd.isna(r) else r
-            blocks.append(block)
-        return frame[[*by, *order]].assign(block=blocks)
+            out.append(block)
+        self.block, self.used, self.last = block, used, last
+        return out
+
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, *order]) + ", block int"
-    return df.join(sized.groupBy(*by).applyInPandas(fold, schema), [*by, *order])
+def filled(df: DataFrame, by: list[str], order: list[str], size: str, most: int, run: str | None = None) -> DataFrame:
+    """df with block: rows of each ``by`` fill blocks of ``most`` in order; a row larger than that has a block of its own.
+
+    With ``run``, a run of equal values that would fit a whole block but not the rest of this one begins a new block.
+    The rows of a document follow each other, sorted, through one task; the fold holds one batch of them and the last block.
+    """
+    sized = df.withColumn("_fold_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
+    if run:
+        sized = sized.withColumn("_fold_run", F.col(run).cast("long")).withColumn("_fold_whole", F.when(F.col("_fold_run").isNotNull(), F.sum("_fold_size").over(Window.partitionBy(*by, "_fold_run"))))
+    sized = sized.repartition(*by).sortWithinPartitions(*by, *order)
+    n = len(df.columns)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, before = _Fold(most), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            begins = [k != b for k, b in zip(keys, [before, *keys[:-1]], strict=True)]
+            before = keys[-1]
+            blocks = state.of(batch.column("_fold_size").to_pylist(), begins, *((batch.column(c).to_pylist() for c in ("_fold_run", "_fold_whole")) if run else ()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(blocks, pa.int32())], [*batch.schema.names[:n], "block"])
+
+    return sized.mapInArrow(fold, StructType([*df.schema.fields, StructField("block", IntegerType())]))
+
+
+def block_sizes(df: DataFrame, key: str, sizes: str, most: int) -> DataFrame:
+    """key, block, size of documents whose units are an array of sizes in order: the same blocks, without dealing out the units."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            row, flat = pc.list_parent_indices(lists).to_numpy().astype(np.int64), lists.flatten()
+            blocks = np.array(_Fold(most).of(flat.to_pylist(), np.diff(row, prepend=-1).astype(bool).tolist()), np.int64)
+            begin = (np.diff(row, prepend=-1) != 0) | (np.diff(blocks, prepend=-1) != 0)
+            totals = np.add.reduceat(flat.to_numpy(zero_copy_only=False), np.flatnonzero(begin)) if len(row) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[begin])), pa.array(blocks[begin], pa.int32()), pa.array(totals, pa.int64())], [key, "block", "size"])
+
+    units = df.select(key, F.transform(sizes, lambda x: F.coalesce(x, F.lit(0)).cast("long")).alias("_sizes"))
+    return units.mapInArrow(fold, f"`{key}` {dict(df.dtypes)[key]}, block int, size long")
 
 
 def pieces(units: DataFrame, key: str, ordinal: str, text: str, most: int = MOST) -> DataFrame:

@@ -137,9 +137,8 @@ def x11_recent_questions(t: Tables) -> DataFrame:
 def i4_blocks(t: Tables) -> DataFrame:
     """Words as units of blocks of 50 tokens."""
     words = F.filter(F.split("text", " "), lambda x: x != "")
-    units = t.documents.select("doc_id", F.posexplode(words).alias("at", "unit")).withColumn("_n", pk.n_tokens(F.col("unit")))
-    out = pk.filled(units, ["doc_id"], ["at"], "_n", 50).groupBy("doc_id", "block").agg(F.sum("_n").alias("n_tokens"))
-    return out
+    units = t.documents.select("doc_id", F.transform(words, pk.n_tokens).alias("sizes"))
+    return pk.block_sizes(units, "doc_id", "sizes", 50).withColumnRenamed("size", "n_tokens")
 
 
 @query("SELECT query_id, doc_id FROM (SELECT doc_id AS query_id, list_distinct(regexp_extract_all(lower(regexp_extract(text, '\\S+\\s+\\S+$')), '[\\p{L}\\p{N}]+')) AS w FROM documents WHERE doc_id % 50 = 0) JOIN (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS d FROM documents) ON list_has_all(d, list_filter(w, lambda x: x NOT IN (STOP))) AND len(list_filter(w, lambda x: x NOT IN (STOP))) > 0".replace("STOP", ", ".join(f"'{w}'" for w in re_.STOPWORDS)))

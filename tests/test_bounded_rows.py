@@ -45,6 +45,22 @@ def test_token_spans_leave_in_parts(spark):
     assert got == [(i, [b for b, _ in s], [e for _, e in s]) for i, s in enumerate(spans)]
 
 
+def test_block_sizes(spark):
+    rng = random.Random(3)
+    rows = [(d, [rng.choice([0, 1, 3, 9, 25]) for _ in range(rng.choice([0, 1, 7, 60]))]) for d in range(80)] + [(99, None)]
+    want = {}
+    for d, sizes in rows:
+        for n, b in zip(sizes or [], plain_blocks([(n, None) for n in sizes or []], 20), strict=True):
+            want[d, b] = want.get((d, b), 0) + n
+    df = spark.createDataFrame(rows, "doc long, sizes array<int>")
+    got = pk.block_sizes(df, "doc", "sizes", 20)
+    assert {(r.doc, r.block): r["size"] for r in got.collect()} == want and "Exchange" not in plan(got)
+    units = df.select("doc", F.posexplode("sizes").alias("at", "n"))
+    filled = pk.filled(units, ["doc"], ["at"], "n", 20)
+    assert "Join" not in plan(filled) and "InPandas" not in plan(filled)
+    assert {(r.doc, r.block): r.n for r in filled.groupBy("doc", "block").agg(F.sum("n").alias("n")).collect()} == want
+
+
 def test_a_gate_over_a_table_has_no_state(spark):
     rows = [("a", 1, " [E1]", True, None), ("a", 0, "x", False, ["E1"]), ("a", 0, "x", False, ["E1"]), ("b", 1, "late", True, None), (None, 0, "y [E7]", True, ["E1"])]
     got = keyed.gate_deltas(spark.createDataFrame(rows, "k string, seq int, delta string, last boolean, aliases array<string>"), "k")
