@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Characters of texts whose blocks a worker gathers before it hands them on; one text may have more.
+MOST_CHARS = 500_000
+
 
 def read_csv(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
     """Rows of CSV files as text cells with source_file and row_number (2 is the first below the header).
@@ -60,12 +63,27 @@ def sections(docs: DataFrame, key: str, text: str, markdown: bool = True) -> Dat
         flush()
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, i, *x) for k, t in zip(b[key], b[text], strict=True) for i, x in enumerate(parse(t or ""))]
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "heading_path", "kind", "block"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, ordinal int, heading_path array<string>, kind string, block string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held, n = [], [], 0
+
+            def made(batch=batch) -> pa.RecordBatch:
+                ordinals, paths, kinds, blocks = zip(*held, strict=True) if held else ((), (), (), ())
+                columns = [pa.array(ordinals, pa.int32()), pa.array(paths, pa.list_(pa.string())), pa.array(kinds, pa.string()), pa.array(blocks, pa.string())]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *columns], [key, "ordinal", "heading_path", "kind", "block"])
+
+            for i, t in enumerate(batch.column(1)):
+                body = t.as_py() or ""
+                found = parse(body)
+                rows += [i] * len(found)
+                held += [(j, *x) for j, x in enumerate(found)]
+                n += len(body)
+                if n >= MOST_CHARS:  # what a worker holds does not grow with the batch
+                    yield made()
+                    rows, held, n = [], [], 0
+            yield made()
+
+    return docs.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ordinal int, heading_path array<string>, kind string, block string")
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "append") -> None:

@@ -45,6 +45,15 @@ def test_token_spans_leave_in_parts(spark):
     assert got == [(i, [b for b, _ in s], [e for _, e in s]) for i, s in enumerate(spans)]
 
 
+def test_sections_leave_in_parts(spark):
+    texts = [None, " \n ", *("one\ntwo\n\nthree\n \n" * 3000 for _ in range(60)), "end"]
+    parts = parts_of(lambda df: tabular.sections(df, "id", "text", markdown=False), texts)
+    assert max(p.num_rows for p in parts) <= 2 * 6000 + tabular.MOST_CHARS // 3
+    got = [tuple(r) for p in parts for r in zip(*(c.to_pylist() for c in p.columns), strict=True)]
+    assert len(parts) > 2 and len(got) == 60 * 6000 + 1
+    assert got[:2] == [(2, 0, [], "paragraph", "one two"), (2, 1, [], "paragraph", "three")] and got[-1] == (62, 0, [], "paragraph", "end")
+
+
 def test_block_sizes(spark):
     rng = random.Random(3)
     rows = [(d, [rng.choice([0, 1, 3, 9, 25]) for _ in range(rng.choice([0, 1, 7, 60]))]) for d in range(80)] + [(99, None)]
