@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.bpe import decode, encode
+from marlstone.llm.bpe import encode_decode
 from marlstone.llm.common import materialise
 from marlstone.llm.decontaminate import drop_leaks
 from marlstone.llm.exact_dedup import drop_exact_copies
@@ -40,7 +40,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of the encoded texts, decoded again for the digest."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return decode(encode(docs, path, pattern), path, pattern, digests=True)
+    return encode_decode(docs, path, pattern, digests=True)
 
 
 STAGES = [("quality", quality), ("exact_copies", exact_copies), ("near_copies", near_copies), ("benchmark_leaks", benchmark_leaks), ("tokens", tokens)]

@@ -16,8 +16,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Callable, Iterator
-from functools import cached_property, lru_cache
+from collections.abc import Iterator
+from functools import cached_property, lru_cache, partial
 from itertools import chain
 from pathlib import Path
 
@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 
 from .common import FORGET
 
-#: Bytes of the memories of a worker, by estimate; full ones are emptied, which costs time and changes no result. An
-#: executor may have twice as many workers as cores, as encoding and decoding run side by side.
-MEMORY = 512 << 20
+#: Bytes of the memories of a worker, by estimate; full ones are emptied, which costs time and changes no result.
+MEMORY = 256 << 20
 #: What an entry takes with its key, by estimate: of a state for itself and each path, of a transition, of what is known
 #: of two tokens, of a pre-token for itself and each token.
-_STATE, _PATH, _MOVE, _PAIR, _PIECE, _ID = 300, 130, 220, 110, 220, 40
+_STATE, _PATH, _MOVE, _PAIR, _PIECE, _ID = 220, 40, 130, 110, 220, 8
+#: Pairs of tokens that are remembered; they are hardly asked for again once states and classes are made of them.
+MOST_PAIRS = 1 << 17
 #: Bytes of a pre-token between two looks for a certain boundary.
 LOOK = 512
 
@@ -45,6 +46,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 #: Tokens below a node of the token tree up to which paths are told apart by what may follow only.
 FEW = 2
+#: Paths and transitions are kept as one number each: the upper bits for the last token (from the least class on) or the
+#: state, the lower ones for the node or the token that ends plus one.
+_BITS, _LOW, _LEAST = 24, (1 << 24) - 1, -1 - (1 << FEW)
 
 
 class Transducer:
@@ -69,6 +73,7 @@ class Transducer:
         for key in self._child:
             self._inner[key >> 8] = True
         self._length = {v: len(k) for k, v in ranks.items()}
+        self._same = {v: v for v in self._length}  # one object for each token, which all memories share
         # the tokens below a node, where they are few
         self._few: list[tuple[int, ...] | None] = [()] * len(self._token)
         for key in sorted(self._child, key=self._child.get, reverse=True):  # children before their parents
@@ -94,11 +99,11 @@ class Transducer:
 
     def reset(self) -> None:
         """Give up all memories."""
-        # a path is (last token or -1, node of the token being read); a state is its open paths, oldest first
-        start = ((-1, 0),)
+        # a path is the last token or -1 and the node of the token being read; a state is its open paths, oldest first
+        start = (-1 - _LEAST << _BITS,)
         self._states = {start: 0}
         self._paths = [start]
-        self._step: dict[int, tuple[int, int]] = {}
+        self._step: dict[int, int] = {}
         self._classes.clear()
         self._beside.clear()  # merges and edges of tokens stay: there are no more of them than tokens
         self.size = 0  # of the memories, by estimate
@@ -147,6 +152,9 @@ class Transducer:
     def _may_follow(self, last: int, token: int) -> bool:
         key = (last + 1) << 24 | token
         if (known := self._beside.get(key)) is None:
+            if len(self._beside) >= MOST_PAIRS:
+                self.size -= _PAIR * len(self._beside)
+                self._beside.clear()
             self.size += _PAIR
             known = self._beside[key] = self._tried(None if last < 0 else self.bytes[last], self.bytes[token])
         return known
@@ -187,11 +195,12 @@ class Transducer:
             known = self._classes[key] = -2 - bits if bits else -1
         return known
 
-    def _advance(self, state: int, byte: int) -> tuple[int, int]:
-        """Next state, and the token that ends at this byte when the encoding ends here."""
+    def _advance(self, state: int, byte: int) -> int:
+        """Next state, and the token that ends at this byte when the encoding ends here plus one, as one number."""
         child, tokens, inner, few = self._child, self._token, self._inner, self._few
         after, ended = [], -1
-        for last, node in self._paths[state]:
+        for path in self._paths[state]:
+            last, node = (path >> _BITS) + _LEAST, path & _LOW
             to = child.get(node << 8 | byte)
             if to is None:
                 continue
@@ -209,22 +218,22 @@ class Transducer:
                     bits = -2 - last
                     bits = sum(1 << i for i, t in enumerate(now) if bits >> mine.index(t) & 1)
                     if bits:
-                        after.append((-2 - bits, to))
+                        after.append(-2 - bits - _LEAST << _BITS | to)
                 elif node and last == -1 and few[node] is not None:
                     continue
                 else:
                     got = self._class(last, to)
                     if few[to] is None or got != -1:
-                        after.append((got, to))
+                        after.append(got - _LEAST << _BITS | to)
         if ended >= 0:
-            after.append((ended, 0))
+            after.append(ended - _LEAST << _BITS)
         after = tuple(after)
         if (to := self._states.get(after)) is None:
             to = self._states[after] = len(self._paths)
             self._paths.append(after)
             self.size += _STATE + _PATH * len(after)
         self.size += _MOVE
-        got = self._step[state << 8 | byte] = to, ended
+        got = self._step[state << 8 | byte] = to << _BITS | ended + 1
         return got
 
     def encode(self, piece: bytes) -> list[int]:
@@ -238,13 +247,13 @@ class Transducer:
 
         Each byte read gives the token that would end the encoding there, if one would.
         """
-        ended: list[int] = []  # of the bytes after those whose tokens are emitted
+        ended: list[int] = []  # transitions at the bytes after those whose tokens are emitted
         state, step = 0, self._step
         for lo in range(0, len(piece), look):
             for byte in piece[lo : lo + look]:
-                hit = step.get(state << 8 | byte) or self._advance(state, byte)
-                state = hit[0]
-                ended.append(hit[1])
+                hit = step.get(state << 8 | byte) or self._advance(state, byte)  # none is 0, as nothing leads to the first state
+                state = hit >> _BITS
+                ended.append(hit)
             if lo + look >= len(piece):
                 break
             if certain := self._certain(state, ended):
@@ -260,10 +269,10 @@ class Transducer:
 
     def _certain(self, state: int, ended: list[int]) -> int:
         """The last boundary that all open paths have come through, in bytes of ended."""
-        begins = sorted({len(ended) - int(self._depth[node]) for _, node in self._paths[state]})
+        begins = sorted({len(ended) - int(self._depth[path & _LOW]) for path in self._paths[state]})
         while len(begins) > 1:
             last = begins.pop()
-            before = last - self._length[ended[last - 1]] if last else 0
+            before = last - self._length[(ended[last - 1] & _LOW) - 1] if last else 0
             if before not in begins:
                 begins.append(before)
                 begins.sort()
@@ -274,10 +283,10 @@ class Transducer:
         out = []
         at = len(ended)
         while at > 0:
-            token = ended[at - 1]
+            token = (ended[at - 1] & _LOW) - 1
             if token < 0:
                 raise ValueError(f"no encoding of {piece[:80]!r}: a byte is missing among the tokens")
-            out.append(token)
+            out.append(self._same[token])
             at -= self._length[token]
         out.reverse()
         return out
@@ -417,29 +426,62 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
 FORGET.append(tokenizer.cache_clear)
 
 
+def _encoded(path: str, pattern: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids of (key, text), in batches of about a million ids; a longer text is whole."""
+    own = tokenizer(path, pattern)
+    for batch in batches:
+        ids, ends, size = [], [0], 0
+        keys = batch.column(0)
+        done = 0
+        for i, x in enumerate(batch.column(1), 1):
+            got = own.encode(x.as_py() or "")
+            ids.append(np.array(got, np.int32))
+            size += len(got)
+            ends.append(size)
+            if size > 1 << 20 or i == batch.num_rows:
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([keys.slice(done, i - done), lists], ["doc_id", "ids"])
+                ids, ends, size, done = [], [0], 0, i
+
+
+def _decoded(path: str, pattern: str, block: int, digests: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own = tokenizer(path, pattern)
+    decimal = [str(i) for i in range(len(own.table))]
+    for batch in batches:
+        out, counts, sums = [], [], []
+        for key, row in zip(batch.column(0), batch.column(1), strict=True):
+            ids = row.values.to_numpy().tolist() if row.is_valid else []
+            stream = own.decoder()
+            try:
+                text = b"".join([stream.feed(ids[i : i + block]) for i in range(0, len(ids), block)] + [stream.finish()])
+            except ValueError as e:
+                raise ValueError(f"doc_id {key}: {e}") from e
+            if digests:
+                counts.append(len(ids))
+                sums.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                text = hashlib.sha256(text).hexdigest()
+            out.append(text)
+        if digests:
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(out, pa.string()), batch.column(1)]
+        else:
+            columns = [batch.column(0), batch.column(1), pa.array(out, pa.binary()).cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, list(_DIGESTS if digests else _TEXTS))
+
+
+_DIGESTS = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>"}
+_TEXTS = {"doc_id": "long", "ids": "array<int>", "decoded": "string"}
+
+
+def _schema(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, ids of every row of docs; null and empty texts have no ids. Repeated rows and null keys stay.
 
     Other columns are not read; an empty table gives no rows. Texts of any length are read whole, pre-token by pre-token.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path, pattern)
-        for batch in batches:
-            ids, ends, size = [], [0], 0
-            keys = batch.column(0)
-            done = 0
-            for i, x in enumerate(batch.column(1), 1):
-                got = own.encode(x.as_py() or "")
-                ids.append(np.array(got, np.int32))
-                size += len(got)
-                ends.append(size)
-                if size > 1 << 20 or i == batch.num_rows:
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                    yield pa.RecordBatch.from_arrays([keys.slice(done, i - done), lists], ["doc_id", "ids"])
-                    ids, ends, size, done = [], [0], 0, i
-
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(partial(_encoded, path, pattern), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, block: int = 1024, digests: bool = False) -> DataFrame:
@@ -448,30 +490,13 @@ def decode(tokens: DataFrame, path: str, pattern: str, block: int = 1024, digest
     With digests: doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256, ids instead, in the
     same pass. Raises ValueError, naming the row, for ids whose bytes are not UTF-8 or end inside a character.
     """
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] if digests else ["doc_id", "ids", "decoded"]
+    return tokens.select("doc_id", "ids").mapInArrow(partial(_decoded, path, pattern, block, digests), _schema(_DIGESTS if digests else _TEXTS))
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", block: int = 1024, digests: bool = False) -> DataFrame:
+    """decode() of encode(), batch by batch in one worker: a core has one tokenizer at a time, and ids do not pass between two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path, pattern)
-        decimal = [str(i) for i in range(len(own.table))]
-        for batch in batches:
-            out, counts, sums = [], [], []
-            for key, row in zip(batch.column(0), batch.column(1), strict=True):
-                ids = row.values.to_numpy().tolist() if row.is_valid else []
-                stream = own.decoder()
-                try:
-                    text = b"".join([stream.feed(ids[i : i + block]) for i in range(0, len(ids), block)] + [stream.finish()])
-                except ValueError as e:
-                    raise ValueError(f"doc_id {key}: {e}") from e
-                if digests:
-                    counts.append(len(ids))
-                    sums.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    text = hashlib.sha256(text).hexdigest()
-                out.append(text)
-            if digests:
-                columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(out, pa.string()), batch.column(1)]
-            else:
-                columns = [batch.column(0), batch.column(1), pa.array(out, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        return _decoded(path, pattern, block, digests, _encoded(path, pattern, batches))
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>" if digests else "doc_id long, ids array<int>, decoded string"
-    return tokens.select("doc_id", "ids").mapInArrow(run, schema)
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, _schema(_DIGESTS if digests else _TEXTS))

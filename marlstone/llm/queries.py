@@ -45,10 +45,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import decode, encode
+    from .bpe import encode_decode
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return decode(encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern, digests=True).drop("ids")
+    return encode_decode(_table(spark, sf_dir, "documents"), path, pattern, digests=True).drop("ids")
 
 
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

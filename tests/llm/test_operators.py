@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -166,6 +167,27 @@ def test_bpe(spark, odd):
         cut.finish()
 
 
+def test_bpe_in_one_worker(spark, odd):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from marlstone.llm import bpe
+
+    path, pattern = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
+    docs = table(spark, [*odd, (None, "no id")]).unionByName(spark.read.parquet(f"{FOLDER}/documents.parquet"), allowMissingColumns=True)
+    for digests in (False, True):
+        got = bpe.encode_decode(docs, path, pattern, digests=digests)
+        assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert sorted(got.collect(), key=repr) == sorted(bpe.decode(bpe.encode(docs, path, pattern), path, pattern, digests=digests).collect(), key=repr)
+    # the transducer's memories stay near their estimate
+    t = bpe.Transducer(bpe.load_ranks(path))
+    text = " ".join(r["text"] or "" for r in docs.where("doc_id < 150").collect()).split()
+    tracemalloc.start()
+    for word in set(text):
+        t.encode(word.encode())
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert t._step and len(t._beside) <= bpe.MOST_PAIRS and held <= 1.2 * t.size + (1 << 20)
+
+
 def test_quotes(spark):
     from marlstone.llm.quotes import link_quotes
 
