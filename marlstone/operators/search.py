@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from . import retrieval as re_
 from .lexical import LexicalIndex, lexical_lane
+from .steps import written
 
 #: Scores of the passages of one query, in order; any exception counts as a scorer that is not there.
 Scorer = Callable[[str, list[str]], list[float]]
 UNAVAILABLE = "RERANKER_UNAVAILABLE"
+#: Rows of a pool up to this many are broadcast to the texts; more are joined by shuffle.
+FEW_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -107,7 +110,11 @@ def search(queries: DataFrame, docs: DataFrame, key: str, source: str, class_: s
     pooled = ranked.withColumn("_over", over).withColumn("_place", F.row_number().over(query.orderBy("_over", "fused_rank")))
     pooled = seen(pooled.withColumn("in_pool", F.col("_place") <= config.pool_size), "pool", F.col("in_pool")).drop("_over")
     if config.rerank and scorer is not None:
-        held = pooled.where("in_pool").join(docs.select(key, F.col(text).alias("_passage")), key).join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
+        pooled = written(pooled, "pool")  # read for the scorer and for the ranks: the lanes run once
+        wanted = pooled.where("in_pool").select("query_id", key)
+        if queries.count() * config.pool_size <= FEW_ROWS:  # the texts stay where they are, few are shuffled
+            wanted = F.broadcast(wanted)
+        held = docs.select(key, F.col(text).alias("_passage")).join(wanted, key).join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
         scored = rerank(held.select("query_id", key, "_query", "_passage"), key, "_query", "_passage", scorer, config.rerank_timeout).select("query_id", key, "rerank_score", "flag")
         pooled = pooled.join(seen(scored, "reranked", F.col("rerank_score").isNotNull()), ["query_id", key], "left")
     else:

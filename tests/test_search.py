@@ -145,3 +145,10 @@ def test_all_terms_without_a_shuffle(spark):
         assert sorted(map(tuple, lane.collect())) == want
         assert "Exchange" not in lane._jdf.queryExecution().executedPlan().toString()
     assert re_.all_terms_lane(qs.where("query_id = 'none'"), df, "id", "text").count() == 0
+
+
+def test_the_lanes_run_once_for_a_scorer(world):
+    """The pool is written before the scorer reads it, so no plan after it scores the texts again."""
+    found = run(world, scorer=se.overlap_scorer, use_dense=False, rerank=True)
+    assert "MapInArrow" not in found.ranked._jdf.queryExecution().executedPlan().toString()
+    assert found.ranked.count() and found.trace()["lexical"] >= found.trace()["pool"] > 0
