@@ -5,7 +5,7 @@ two line ends that close a WARC record, so a gunzipped part file is a WARC 1.1 f
 a first record with WARC-Segment-Number 1 and continuation records that name it in WARC-Segment-Origin-ID, the last one
 with the total length. HTTP blocks have chunked transfer framing.
 
-Reading parses the files record by record, groups continuation records by the identifier of their origin, orders them
+Reading streams the files and parses them record by record, groups continuation records by the identifier of their origin, orders them
 by segment number, verifies numbers and total length, and takes the transfer framing off.
 """
 
@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +30,8 @@ CHUNK = 8192
 SEGMENT = 32768
 #: Payloads from this size on may be revisits.
 REVISIT_BYTES = 1000
+#: Records of one file at most: a task with more goes on in another one, so that files do not grow with the input's splits.
+FILE_RECORDS = 20_000
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -122,91 +124,79 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, least: i
             yield pd.DataFrame({"record": out})
 
     # a cast from binary keeps the bytes as they are; the writer copies them
-    rows.mapInPandas(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", _END.decode()).option("compression", "gzip").text(path)
-
-
-def _unzipped(data: bytes) -> Iterator[bytes]:
-    """Pieces of all gzip members of a file; a file that is not gzipped as it is."""
-    if data[:2] != b"\x1f\x8b":
-        yield data
-        return
-    at = 0
-    while at < len(data):
-        member = zlib.decompressobj(31)
-        rest = data[at:] if at else data
-        while rest and not member.eof:
-            yield member.decompress(rest, 1 << 20)
-            rest = member.unconsumed_tail or member.unused_data
-        if not member.eof:
-            raise ValueError("a gzip member ends early")
-        at = len(data) - len(member.unused_data)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of a WARC file."""
-    pieces = _unzipped(data)
-    held = b""
+    rows.mapInPandas(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of each record of WARC files given in pieces; no more than a record and a piece is held."""
+    pieces, held, at = iter(pieces), bytearray(), 0
 
     def fill(n: int) -> bool:
-        nonlocal held
-        if len(held) < n:
-            got, have = [held], len(held)
+        """Whether n bytes follow ``at``."""
+        nonlocal at
+        if len(held) - at < n:
+            del held[:at]
+            at = 0
             for p in pieces:
-                got.append(p)
-                have += len(p)
-                if have >= n:
+                held.extend(p)
+                if len(held) >= n:
                     break
-            held = b"".join(got)
-        return len(held) >= n
+        return len(held) - at >= n
 
     while True:
-        while (end := held.find(_END)) < 0:
-            if not fill(len(held) + 1):
-                if held.strip():
+        while fill(1) and held[at] in b"\r\n":
+            at += 1
+        while (end := held.find(_END, at)) < 0:
+            if not fill(len(held) - at + 1):
+                if held[at:].strip():
                     raise ValueError("a record ends in its headers")
                 return
-        head = held[:end].lstrip(b"\r\n").decode()
-        first, *lines = head.split("\r\n")
+        first, *lines = held[at:end].decode().split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"no record begins with {first[:20]!r}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
-        if not fill(end + 4 + size):
+        at, size = end + 4, int(headers["content-length"])
+        if not fill(size):
             raise ValueError("a record ends in its block")
-        yield headers, held[end + 4 : end + 4 + size]
-        held = held[end + 4 + size :].lstrip(b"\r\n")
+        yield headers, memoryview(held)[at : at + size].tobytes()
+        at += size
 
 
 _SCHEMA = "record_id string, kind string, page_id long, url string, digest string, payload_length long, refers_to long, origin string, segment int, total long, block binary"
+_ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in _SCHEMA.split(", ")])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives under path: headers as columns, and the block. One file goes to one task."""
+    """A row for each record of the archives under path: headers as columns, and the block.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A gzipped file (.txt.gz) goes to one task, which reads it in the pieces between the separators of records, whatever its
+    size; a plain one (.txt) is a single piece.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def number(x: str | None) -> int | None:
             return None if x is None else int(x)
 
-        def frame(rows: list) -> pd.DataFrame:
-            names = [c.split()[0] for c in _SCHEMA.split(", ")]
-            out = pd.DataFrame(rows, columns=names)
-            return out.astype({"page_id": "Int64", "payload_length": "Int64", "refers_to": "Int64", "segment": "Int32", "total": "Int64"})
-
-        for batch in batches:
-            for content in batch["content"]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+
+        pieces = (p for b in batches for i in range(0, b.num_rows, 256) for p in b.column(0).slice(i, 256).to_pylist())
+        rows, size = [], 0
+        for h, block in parse(pieces):
+            digest = h.get("warc-payload-digest", "").partition(":")[2] or None
+            seg = number(h.get("warc-segment-number"))
+            origin = h.get("warc-segment-origin-id") or (h["warc-record-id"] if seg is not None else None)
+            rows.append((h["warc-record-id"], h["warc-type"], number(h.get("page-id")), h.get("warc-target-uri"), digest, number(h.get("payload-length")), number(h.get("refers-to-page-id")), origin, seg, number(h.get("warc-segment-total-length")), block))
+            size += len(block)
+            if size > 1 << 22 or len(rows) == 10_000:
+                yield batch(rows)
                 rows, size = [], 0
-                for h, block in parse(bytes(content)):
-                    digest = h.get("warc-payload-digest", "").partition(":")[2] or None
-                    seg = number(h.get("warc-segment-number"))
-                    origin = h.get("warc-segment-origin-id") or (h["warc-record-id"] if seg is not None else None)
-                    rows.append((h["warc-record-id"], h["warc-type"], number(h.get("page-id")), h.get("warc-target-uri"), digest, number(h.get("payload-length")), number(h.get("refers-to-page-id")), origin, seg, number(h.get("warc-segment-total-length")), block))
-                    size += len(block)
-                    if size > 1 << 22:
-                        yield frame(rows)
-                        rows, size = [], 0
-                yield frame(rows)
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content").mapInPandas(run, _SCHEMA)
+        if rows:
+            yield batch(rows)
+
+    zipped = spark.read.option("lineSep", _END.decode()).option("pathGlobFilter", "*.txt.gz").text(path).select(F.concat(F.col("value").cast("binary"), F.lit(_END)).alias("piece"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.col("content").alias("piece"))
+    return zipped.union(plain).mapInArrow(run, _SCHEMA)
 
 
 def reassemble(found: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The ten operators against brute force, round trips and held-out accuracy, on small tables with odd rows."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -61,6 +62,37 @@ def test_warc(spark, tmp_path):
     assert archived_pages(reassemble(read_records(spark, str(tmp_path / "none")))).count() == 0
 
 
+def test_warc_large_files(spark, tmp_path):
+    """Archives larger than a row may be: files of several members, and payloads with separators of records in them."""
+    from marlstone.llm.warc import archived_pages, parse, read_records, reassemble, write_archives
+
+    odd = ["\r\n\r\n", "\r\n\r\r\n\r\n\n", "\r\n" * 9 + "\r", "a\r\n\r", "WARC/1.1\r\n\r\n", "\r\n\r\n" * 20000]
+    pages = [(i, f"u/{i}", odd[i % len(odd)] + random.Random(i).randbytes(700).hex()) for i in range(60)]
+    write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("*.txt.gz")
+    both = tmp_path / "both"
+    both.mkdir()
+    (both / "a.txt.gz").write_bytes(file.read_bytes() * 2)
+    (both / "b.txt").write_bytes(gzip.decompress(file.read_bytes())[:-4])
+    want = sorted((i, len(h), hashlib.sha1(h.encode()).hexdigest(), "whole") for i, _, h in pages)
+
+    def read(path):
+        return sorted(tuple(r) for r in archived_pages(reassemble(read_records(spark, str(path)))).select("page_id", "payload_bytes", "payload_digest", "state").collect())
+
+    assert read(both) == sorted(want * 3)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", file.stat().st_size - 1)
+    try:
+        assert read(tmp_path / "w") == want
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    data = gzip.decompress(file.read_bytes())
+    whole = list(parse([data]))
+    assert list(parse(data[i : i + 7] for i in range(0, len(data), 7))) == whole and len(whole) >= 60
+    for cut in (data[:-9], data[:40]):
+        with pytest.raises(ValueError):
+            list(parse([cut]))
+
+
 def test_packing(spark, odd, tmp_path):
     from marlstone.llm.packing import best_fit_decreasing, matrix, pack
 
