@@ -1,44 +1,17 @@
-"""Numbers of texts as claims: a span grammar in regular expressions, ranges, and support by evidence or results.
-
-A text is split at its number spans once; every rule then works on the array of spans of a row, with the text around each, so
-extraction needs neither a shuffle nor Python. Mentions of claims and evidence are compared by expressions.
-"""
+"""Numbers of texts as claims, and their support by evidence or results. The grammar that finds them is in mentions."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The words, signs and contexts of the number grammar.
-SCALES = {
-    "thousand": 1e3, "k": 1e3, "million": 1e6, "m": 1e6, "mn": 1e6, "mm": 1e6,
-    "billion": 1e9, "b": 1e9, "bn": 1e9, "trillion": 1e12, "t": 1e12, "tn": 1e12,
-}
-CURRENCIES = {"$": "USD", "US$": "USD", "USD": "USD", "€": "EUR", "EUR": "EUR", "£": "GBP", "GBP": "GBP"}
-UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-SMALL = {w: i for i, w in enumerate(UNITS)} | {w: 10 * i for i, w in enumerate(TENS, 2)}
-MAGNITUDES = {"hundred": 1e2, "thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12}
-MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
-YEAR_BEFORE = (
-    "in|since|during|through|thru|until|till|before|after|between|for|early|late|mid|end|start|fiscal|calendar|year|fy|cy|h[12]|q[1-4]|edition|survey|report|review|plan|strategy|outlook|index|"
-    "barometer|tracker|study|wave|deck|budget|forecast|season|census|cohort"
-)
-YEAR_AFTER = (
-    "edition|survey|report|review|study|wave|season|fiscal|financials?|results|budget|plan|strategy|outlook|forecast|guidance|baseline|cohort|campaign|launch|catalog(?:ue)?|collection|census|annual|"
-    "q[1-4]|h[12]|deck|update|tracker|index|barometer|benchmark|panel|programme|program"
-)
-COUNT_NOUNS = (
-    "respondents?|people|persons?|users?|customers?|clients?|units?|stores?|employees?|staff|orders?|shoppers?|buyers?|consumers?|participants?|interviewees?|households?|companies|firms?|brands?|"
-    "products?|items?|visits?|visitors?|sessions?|downloads?|installs?|transactions?|accounts?|members?|subscribers?|patients?|students?|votes?|sites?|locations?|outlets?|countries|markets?|"
-    "times|years?|months?|weeks?|days?|hours?|x|bps?|pp|pts?"
-)
-COUNT_COLUMNS = "n|count|counts|num|number|sample|base|population|headcount|qty|quantity"
-PERCENT_CUES = "%|percent|pct|share|rate|margin|ratio|proportion"
-MARKERS = r"\[\[[^\[\]]*\]\]|\[[ER][0-9]{1,4}\]"
-ORDINALS = r"(?m)^[ \t]*(?:[-*+•][ \t]+)?\d{1,3}[.)][ \t]+"
+from .mentions import FIELDS, REL_TOL, SCALES, Mention, backed, figures, figures_of, read
+
+# The words of direction and the kinds of results.
 RISE = (
     "higher|more|greater|above|ahead|exceed(?:s|ed)?|increas(?:e|ed|es|ing)|rose|ris(?:e|es|en|ing)|up|grew|grow(?:th|s)?|gain(?:s|ed)?|larger|better|positive|plus|lead(?:s|ing)?|led|outperform\\w*|outpac\\w*"
 )
@@ -48,88 +21,15 @@ FALL = (
 )
 GAP_CUES = "gap|differen\\w*|differ\\w*|spread|margin|between|vs|versus|compared|apart"
 CLAUSE_ENDS = r"[;:()–—]|,(?!\d)|[.!?](?=\s|$)|\s(?:but|while|whereas|although|though|yet)\s"
-POINTS_AFTER = r"[ \t]*(?:percentage[ \t-]+points?|points?|pts?|ppts?|pp)\b"
 KINDS = {"percent": ("percent",), "currency_usd": ("currency", "plain"), "count": ("plain",), "number": ("plain", "points"), "rating": ("plain", "points"), "ratio": ("plain", "multiple")}
-REL_TOL = 1e-6
-
-_ALL = lambda words: "|".join(sorted(words, key=len, reverse=True))
-_CARDINAL, _MAGNITUDE, _DIGIT = _ALL(SMALL), _ALL(MAGNITUDES), _ALL(UNITS[:10])
-_NUM = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
-_CUR = r"US\$|[$€£]|(?:USD|EUR|GBP)[ \t]?"
-_SIGN = r"(?<![\p{L}\p{N}])[-−](?=(?:US\$|[$€£])?\d)"
-_TAIL = r"(?:[ \t]?(?:(?i:thousand|million|billion|trillion)|bn|mn|mm|tn)|[kKmMbBtT])?[x×]?(?:bps|bp|ppts|ppt|pp|pts|pt)?(?:[ \t]?(?:%|percent(?!age)|per[ \t]cent|pct))?(?![A-Za-z0-9_]|[.,]\d)"
-_DIGITS = rf"(?:(?:{_SIGN})?(?:{_CUR})|{_SIGN}|(?<![\p{{L}}\p{{N}}_])(?<!\d[.,])(?<!\p{{L}}[-/]))(?:{_NUM}){_TAIL}"
-_SEP, _ITEM, _PCT = r"(?:[ \t]+and)?[ \t-]+", rf"(?:point(?:[ \t]+(?:{_DIGIT}))+|{_CARDINAL})", r"[ \t]+(?:percent(?!age)|per[ \t]cent)"
-_SPELLED = rf"\b(?i:(?:{_CARDINAL})(?:{_SEP}{_ITEM})*(?:{_SEP}(?:{_MAGNITUDE})(?:{_SEP}(?:{_ITEM}|{_MAGNITUDE}))*(?:{_PCT})?|{_PCT}))\b"
-_SPELLED_BARE = rf"\b(?i:(?:{_CARDINAL})(?:{_SEP}(?:{_ITEM}|{_MAGNITUDE}))*(?:{_PCT})?)\b"
-_PARTS = rf"^([-−])?({_CUR})?({_NUM})(?:[ \t]?((?i:thousand|million|billion|trillion)|bn|mn|mm|tn)|([kKmMbBtT]))?([x×])?(bps|bp|ppts|ppt|pp|pts|pt)?(?:[ \t]?(%|percent|per[ \t]cent|pct))?$"
-_LABEL = r"(?<![A-Za-z0-9_])([A-Za-z][^:=;|\n]{0,40}?)[ \t]*[:=][ \t]*\z"
-_RANGE = r"^(?i:[ \t]*(?:to|and|or|[-–—])[ \t]*)?$"
-_SPAN_RANGE = r"^(?i:[ \t]*(?:to|[-–—])[ \t]*)$"
-_BEGIN, _END, _CUT = "\u0001", "\u0002", "\u0003"
+
+_ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
-def _cut(span: Column) -> Column:
-    """The groups of the parts of a span from place 1 on, by one match; a span in words has none."""
-    return F.split(F.regexp_replace(span, _PARTS, "".join(f"{_CUT}${g}" for g in range(1, 9))), _CUT)
-
-
-def _either(groups: Column, *at: int) -> Column:
-    """The first of the groups that is not empty, else null."""
-    return F.coalesce(*(F.nullif(F.get(groups, F.lit(g)), F.lit("")) for g in at))
-
-
-def _spelled(span: Column) -> Column:
-    """Struct (digits, scale) of a cardinal in words: "nine hundred million" is 900 and 1e6, "one point two billion" 1.2 and 1e9."""
-    words = F.regexp_extract_all(F.lower(span), F.lit("([a-z]+)"), F.lit(1))
-    small, big = (lambda w: F.try_element_at(_map(SMALL), w)), (lambda w: F.try_element_at(_map(MAGNITUDES), w))
-
-    def whole(ws: Column) -> Column:
-        def step(s: Column, w: Column) -> Column:
-            one = F.when(s["current"] == 0, 1.0).otherwise(s["current"])
-            low = F.struct(s["total"].alias("total"), (s["current"] + small(w)).alias("current"), s["last"].alias("last"))
-            hundred = F.struct(s["total"].alias("total"), (one * 100).alias("current"), s["last"].alias("last"))
-            scale = F.struct((s["total"] + one * big(w)).alias("total"), F.lit(0.0).alias("current"), big(w).alias("last"))
-            return F.when(small(w).isNotNull(), low).when(w == "hundred", hundred).when(big(w).isNotNull(), scale).otherwise(s)
-
-        start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("current"), F.lit(1.0).alias("last"))
-        return F.aggregate(ws, start, step)
-
-    state = whole(words)
-    only = (state["total"] > 0) & (state["current"] == 0)
-    plain = F.struct(F.when(only, state["total"] / state["last"]).otherwise(state["total"] + state["current"]).alias("mantissa"), F.when(only, state["last"]).otherwise(1.0).alias("scale"))
-    cut = F.array_position(words, "point").cast("int")
-    head, tail = whole(F.slice(words, F.lit(1), F.greatest(cut - 1, F.lit(0)))), F.slice(words, cut + 1, F.size(words))
-    digits = F.array_join(F.transform(F.filter(tail, lambda w: small(w) < 10), lambda w: small(w).cast("string")), "")
-    factor = F.aggregate(tail, F.lit(1.0), lambda s, w: s * F.coalesce(big(w), F.lit(1.0)))
-    decimal = F.struct(F.concat((head["total"] + head["current"]).cast("long").cast("string"), F.lit("."), digits).cast("double").alias("mantissa"), factor.alias("scale"))
-    return F.when(cut > 0, decimal).otherwise(plain)
-
-
-def _settle(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is worked out once: an array of one element, taken apart, keeps the optimizer from copying the expression into each of its uses."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
-def _count_label(label: Column) -> Column:
-    return (label != "") & ~label.rlike(f"(?i){PERCENT_CUES}") & label.rlike(f"(?i)(?<![a-z0-9])(?:{COUNT_COLUMNS}|{COUNT_NOUNS})(?![a-z0-9])")
-
-
-def _label_units(label: Column) -> tuple[Column, Column, Column]:
-    """Scale, currency and percent that the name of a column tells: revenue_musd is millions of USD, growth_pct is percent."""
-    low = F.lower(label)
-    code = F.upper(F.regexp_extract(low, r"(usd|eur|gbp)", 1))
-    short = F.coalesce(*(F.when(f != "", f) for f in (F.regexp_extract(low, r"(?<![a-z0-9])([kmb])(?:usd|eur|gbp)", 1), F.regexp_extract(low, r"(?:usd|eur|gbp)[^a-z0-9]?([kmb])(?![a-z0-9])", 1))))
-    long_ = F.regexp_extract(low, r"(?<![a-z0-9])(thousand|million|billion)s?(?![a-z0-9])", 1)
-    abbr = F.regexp_extract(low, r"(?<![a-z0-9])(mn|bn)(?![a-z0-9])", 1)
-    word = F.coalesce(short, F.when(long_ != "", long_), F.when(abbr != "", abbr))
-    return F.coalesce(F.try_element_at(_map(SCALES), word), F.lit(1.0)), F.when(code != "", code), low.rlike(r"(?<![a-z0-9])(?:pct|percent|perc)(?![a-z0-9])")
-
-
 def with_mentions(df: DataFrame, text: str, out: str = "mentions", bare: bool = False, context: int = 64) -> DataFrame:
     """df with the number mentions of a text: array of structs text, digits, mantissa, value, percent, currency, scale, labelled, temporal, kind, before, after.
 
@@ -140,115 +40,19 @@ def with_mentions(df: DataFrame, text: str, out: str = "mentions", bare: bool =
     year in a date or period, and years joined to one. kind: bps, points, multiple, percent, currency, other_currency or
     plain. before and after hold ``context`` characters. A null text has no mentions.
     """
-    spans = f"(?:{_SPELLED_BARE if bare else _SPELLED})|(?:{_DIGITS})"
-    clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{_BEGIN}{_END}]", "")
-    clean = F.regexp_replace(F.regexp_replace(clean, MARKERS, " "), ORDINALS, "")
-    pieces = F.split(F.regexp_replace(clean, spans, f"{_BEGIN}$0{_END}"), _BEGIN)
-    piece = lambda i: F.translate(F.coalesce(F.get("_pieces", i), F.lit("")), _END, "")
-
-    def cut(p: Column, i: Column) -> Column:
-        span, before = F.substring_index(p, _END, 1), F.right(F.concat(piece(i - 3), piece(i - 2), piece(i - 1), piece(i)), F.lit(context))
-        return F.struct(
-            span.alias("span"),
-            F.substring_index(p, _END, -1).alias("gap"),
-            before.alias("before"),
-            F.left(F.concat(F.substring_index(p, _END, -1), piece(i + 2), piece(i + 3), piece(i + 4)), F.lit(context)).alias("after"),
-            _cut(span).alias("groups"),
-            # the plain pattern spares most texts the search for the label's begin
-            F.when(before.rlike(r"[:=][ \t]*\z"), F.regexp_extract(before, _LABEL, 1)).otherwise("").alias("label"),
-        )
-
-    raw = F.transform(F.slice("_pieces", F.lit(2), F.greatest(F.size("_pieces") - 1, F.lit(0))), cut)
-
-    def parts(r: Column) -> Column:
-        span, label = r["span"], r["label"]
-        words = span.rlike(rf"^(?i:{_CARDINAL})")
-        named = F.struct(*(c.alias(n) for c, n in zip(_label_units(label), ("scale", "currency", "percent"), strict=True)))
-        group = lambda *g: _either(r["groups"], *g)
-        return F.struct(
-            *(r[c].alias(c) for c in ("span", "gap", "before", "after")),
-            F.when(words, _spelled(span)).alias("spelled"),
-            group(1).alias("sign"),
-            F.try_element_at(_map(CURRENCIES), F.trim(group(2))).alias("currency"),
-            F.translate(group(3), ",", "").alias("digits"),
-            F.try_element_at(_map(SCALES), F.lower(group(4, 5))).alias("scale"),
-            group(6, 7).isNotNull().alias("unit"),
-            F.when(words, span.rlike(r"(?i)per[ \t]?cent$")).otherwise(group(8).isNotNull()).alias("percent"),
-            _count_label(label).alias("counted"),
-            F.when(label != "", named).alias("named"),
-        )
-
-    def read(r: Column) -> Column:
-        span, before, after, percent = r["span"], r["before"], r["after"], r["percent"]
-        words = r["spelled"].isNotNull()
-        digits = F.when(words, F.regexp_replace(r["spelled"]["mantissa"].cast("decimal(28,9)").cast("string"), r"\.?0+$", "")).otherwise(r["digits"])
-        mantissa = F.when(words, r["spelled"]["mantissa"]).otherwise(F.when(r["sign"].isNotNull(), -1.0).otherwise(1.0) * r["digits"].cast("double"))
-        scale = F.coalesce(r["spelled"]["scale"], r["scale"], F.lit(1.0))
-        currency, unit = r["currency"], r["unit"]
-        named_scale, named_currency, named_percent = (r["named"][n] for n in ("scale", "currency", "percent"))
-        open_ = ~words & (scale == 1) & currency.isNull() & ~percent & ~unit & r["named"].isNotNull()
-        labelled = unit | after.rlike(rf"^[ \t]*(?i:{COUNT_NOUNS})(?![A-Za-z])") | r["counted"]
-        year = span.rlike(r"^(?:19|20)\d{2}$")
-        dated = after.rlike(r"^-\d{1,2}-\d{1,2}(?![\d-])") & ~before.rlike(r"[\d-]\z") | before.rlike(r"(?<![\d/])\d{1,2}/\d{1,2}/\z") & ~after.rlike(r"^[\d/]") | before.rlike(rf"(?i)\b(?:{MONTHS})\.?[ \t]+\d{{1,2}}(?:st|nd|rd|th)?,?[ \t]+\z")
-        placed = before.rlike(rf"(?i)(?:\b(?:{YEAR_BEFORE}|{MONTHS})\.?,?|\()[ \t]*\z") | after.rlike(rf"^[ \t]*(?i:['’]s\b|\)|(?:{YEAR_AFTER})\b)")
-        kind = (
-            F.when(span.rlike(r"\d[ \t]?bps?$"), "bps")
-            .when(span.rlike(r"\d[ \t]?(?:pp|ppts?|pts?)$"), "points")
-            .when(span.rlike("[x×]$"), "multiple")
-            .when(percent | (open_ & named_percent), "percent")
-            .when(after.rlike(rf"^(?i:{POINTS_AFTER})"), "points")
-            .when(currency.isNotNull() & (currency != "USD") | after.rlike(r"^(?i:[ \t]*(?:EUR|GBP|JPY|CNY|INR|CHF|euros?|pounds?|yen|yuan|rupees?|francs?)\b)"), "other_currency")
-            .when(currency.isNotNull() | after.rlike(r"^(?i:[ \t]*(?:USD|US[ \t]+dollars?|dollars?|bucks)\b)"), "currency")
-            .otherwise("plain")
-        )
-        return F.struct(
-            F.trim(span).alias("text"),
-            digits.alias("digits"),
-            mantissa.alias("mantissa"),
-            F.when(open_, named_scale).otherwise(scale).alias("scale"),
-            F.coalesce(currency, F.when(open_, named_currency)).alias("currency"),
-            (percent | (open_ & named_percent)).alias("percent"),
-            labelled.alias("labelled"),
-            (year & ~labelled).alias("year"),
-            (year & ~labelled & (dated | placed)).alias("temporal"),
-            kind.alias("kind"),
-            r["gap"].alias("gap"),
-            before.alias("before"),
-            after.alias("after"),
-        )
-
-    def ranged(m: Column, i: Column) -> Column:
-        low, high = F.get("_read", i - 1), F.get("_read", i + 1)
-        before, after = F.coalesce(low["gap"].rlike(_SPAN_RANGE), F.lit(False)), F.coalesce(m["gap"].rlike(_SPAN_RANGE), F.lit(False))
-        bare_ = (m["scale"] == 1) & m["currency"].isNull() & ~m["percent"]
-        percent = bare_ & F.coalesce(high["percent"] & m["gap"].rlike(_RANGE), F.lit(False))
-        scaled = after & (m["scale"] == 1) & ~m["percent"] & ~m["labelled"] & ~m["temporal"] & (F.abs(m["mantissa"]) < 1000) & (F.abs(m["mantissa"]) <= F.abs(high["mantissa"])) & (high["scale"] > 1)
-        scale = F.when(F.coalesce(scaled, F.lit(False)), high["scale"]).otherwise(m["scale"])
-        given = before & m["currency"].isNull() & ~m["percent"] & ~m["labelled"] & low["currency"].isNotNull()
-        currency = F.when(given, low["currency"]).otherwise(m["currency"])
-        kind = F.when(percent, "percent").when(given, F.when(low["currency"] == "USD", "currency").otherwise("other_currency")).otherwise(m["kind"])
-        return F.struct(
-            m["text"].alias("text"), m["digits"].alias("digits"), m["mantissa"].alias("mantissa"), (m["mantissa"] * scale).alias("value"), (m["percent"] | percent).alias("percent"), currency.alias("currency"),
-            scale.alias("scale"), (m["labelled"] & ~percent).alias("labelled"), m["temporal"].alias("temporal"), kind.alias("kind"), m["before"].alias("before"), m["after"].alias("after"),
-            (m["year"] & (scale == 1) & currency.isNull() & ~m["percent"] & ~percent).alias("year"), m["gap"].alias("gap"),
-        )
-
-    # years joined by and, to, a dash, a comma or a slash are one run; a run is temporal as a whole
-    def runs(s: Column, m: Column) -> Column:
-        joined = (F.size(s["ends"]) > 0) & F.element_at(s["ends"], -1)["year"] & m["year"] & s["open"]
-        run = F.when(joined, s["run"]).otherwise(s["run"] + 1)
-        link = m["gap"].rlike(_RANGE) | F.trim(m["gap"]).isin(",", "/")
-        return F.struct(F.concat(s["ends"], F.array(F.struct(run.alias("run"), m["year"].alias("year"), m["temporal"].alias("temporal")))).alias("ends"), run.alias("run"), link.alias("open"))
-
-    start = F.struct(F.expr("CAST(array() AS array<struct<run:int,year:boolean,temporal:boolean>>)").alias("ends"), F.lit(0).alias("run"), F.lit(False).alias("open"))
-    timed = F.transform(
-        "_ranged",
-        lambda m, i: m.withField("temporal", F.get("_runs", i)["temporal"] | (m["year"] & F.exists("_runs", lambda r: (r["run"] == F.get(F.col("_runs"), i)["run"]) & r["temporal"]))).dropFields("year", "gap"),
-    )
-    steps = _settle(df.drop(out) if out != text else df, "_pieces", pieces)
-    for name, step in (("_raw", raw), ("_parts", F.transform("_raw", parts)), ("_read", F.transform("_parts", read)), ("_ranged", F.transform("_read", ranged)), ("_runs", F.aggregate("_ranged", start, runs)["ends"]), (out, timed)):
-        steps = _settle(steps, name, step)
-    return steps.drop("_pieces", "_raw", "_parts", "_read", "_ranged", "_runs")
+
+    def run(texts: pa.Array) -> pa.Array:
+        ends, found = [0], []
+        for t in texts.to_pylist():
+            found += read(t, bare, context)
+            ends.append(len(found))
+        columns = zip(*found, strict=True) if found else ([] for _ in FIELDS)
+        structs = pa.StructArray.from_arrays([pa.array(c, _ARROW[k]) for c, k in zip(columns, FIELDS.values(), strict=True)], names=list(FIELDS))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+
+    # not deterministic to the optimizer, which else copies the call into each of its uses
+    called = F.arrow_udf(run, f"array<struct<{', '.join(f'{n}: {k}' for n, k in FIELDS.items())}>>").asNondeterministic()
+    return (df.drop(out) if out != text else df).select("*", called(F.col(text).cast("string")).alias(out))
 
 
 def supports(claim: Column, evidence: Column) -> Column:
@@ -267,12 +71,33 @@ def supports(claim: Column, evidence: Column) -> Column:
 def unsupported(df: DataFrame, answer: str, evidence: str, key: str) -> DataFrame:
     """key, text, value of the number mentions of answers that no mention of their evidence supports; years of dates and periods are left out.
 
-    ``evidence`` names a text, or an array of mentions for evidence that several answers share.
+    ``answer`` names a text, or an array of texts that share their evidence: then ``at`` is the place of each in it, from 0.
+    ``evidence`` names a text, or an array of mentions for evidence that several answers share. Evidence of rows in succession
+    that is equal is read once.
     """
-    stated = df.withColumn("_e", F.col(evidence)) if dict(df.dtypes)[evidence] != "string" else with_mentions(df, evidence, "_e")
-    both = with_mentions(stated, answer, "_a")
-    left = F.filter("_a", lambda c: ~c["temporal"] & ~F.exists("_e", lambda e: supports(c, e)))
-    return both.select(key, F.explode(left).alias("c")).select(key, "c.text", "c.value")
+    kinds = dict(df.dtypes)
+    mentions, several = kinds[evidence] != "string", kinds[answer] != "string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(64)(figures)
+        for batch in batches:
+            rows, places, texts, values = [], [], [], []
+            for row, (answers, by) in enumerate(zip(batch.column("_answers").to_pylist(), batch.column("_evidence").to_pylist(), strict=True)):
+                if mentions and by is None:
+                    continue
+                stated = figures_of([Mention(**e) for e in by]) if mentions else known(by)
+                for at, said in enumerate(answers or ()):
+                    for c in figures(said):
+                        if not c.says.temporal and not backed(c, stated):
+                            rows.append(row)
+                            places.append(at)
+                            texts.append(c.before + c.digits + c.after)
+                            values.append(-c.value if c.negative else c.value)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int32())), pa.array(places, pa.int32()), pa.array(texts, pa.string()), pa.array(values, pa.float64())], [key, "at", "text", "value"])
+
+    both = df.select(key, (F.col(answer) if several else F.array(answer)).alias("_answers"), F.col(evidence).alias("_evidence"))
+    found = both.mapInArrow(run, f"`{key}` {kinds[key]}, at int, text string, value double")
+    return found if several else found.drop("at")
 
 
 def states(value: Column, text: str) -> Column:

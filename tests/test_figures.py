@@ -1,6 +1,7 @@
 """Numbers of texts against a table of written forms, and support against plain arithmetic."""
 
 import itertools
+import random
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
@@ -150,3 +151,31 @@ def test_evidence_may_be_mentions_that_answers_share(spark):
     said = read.crossJoin(spark.createDataFrame([("a", "It is $3.50."), ("b", "It is 7% and 9 now.")], "k string, answer string"))
     got = {(r.k, r.text) for r in fg.unsupported(said, "answer", "stated", "k").collect()}
     assert got == {(r.k, r.text) for r in fg.unsupported(said.drop("stated"), "answer", "evidence", "k").collect()} == {("b", "9")}
+
+
+def test_answers_that_share_evidence(spark):
+    rows = [(1, ["It is $3.50.", "It is 7% and 9 now.", None, "In 2024 it was 2."], "2 pieces for $3.50; growth_pct: 7"), (2, [], "5"), (3, None, "5"), (4, ["5", "-6", "6.0%"], None)]
+    got = [(r.k, r.at, r.text, r.value) for r in fg.unsupported(spark.createDataFrame(rows, "k int, a array<string>, e string"), "a", "e", "k").collect()]
+    assert sorted(got) == [(1, 1, "9", 9.0), (4, 0, "5", 5.0), (4, 1, "-6", -6.0), (4, 2, "6.0%", 6.0)]
+
+
+def test_plain_texts_of_one_form_are_read_once(spark):
+    from marlstone.operators import mentions as mn
+
+    rng = random.Random(3)
+    words = "7 12 0.50 3.25 1.2.3 2024 1999 19.5 123456 0 $ US$ € £ USD EUR k m bn million x bps pp pts % percent per cent points people to and or in since for ; . a A5 v2 nine hundred".split()
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "", "; "]) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    say = lambda m: (m.percent, m.currency, m.scale, m.labelled, m.temporal)
+    for t in texts:
+        got = [(f.before + f.digits + f.after, -f.value if f.negative else f.value, f.mantissa, f.unscaled, say(f.says)) for f in mn.figures(t)]
+        assert got == [(m.text, m.value, abs(m.mantissa), m.scale == 1, say(m)) for m in mn.read(t)], t
+    # the support of figures is that of columns
+    pairs = [(i, a, e) for i, (a, e) in enumerate(zip(texts, reversed(texts), strict=True))][:600]
+    df = spark.createDataFrame(pairs, "i int, a string, e string")
+    both = fg.with_mentions(fg.with_mentions(df, "a", "x"), "e", "y")
+    want = both.select("i", F.explode(F.filter("x", lambda c: ~c["temporal"] & ~F.exists("y", lambda e: fg.supports(c, e)))).alias("c")).select("i", "c.text", "c.value").collect()
+    assert sorted(want) == sorted(fg.unsupported(df, "a", "e", "i").collect()) and want
+    mn._form.cache_clear()
+    for i in range(500):
+        mn.figures(f"{i} pieces for ${i * 7}.25; {i + 3} pieces for $0.50")
+    assert mn._form.cache_info().misses == 1
