@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mentions import FIELDS, REL_TOL, SCALES, Mention, backed, figures, figures_of, read
+from .figure_columns import of_mentions, of_texts, unbacked
+from .mentions import FIELDS, REL_TOL, SCALES, read
 
 # The words of direction and the kinds of results.
 RISE = (
@@ -72,28 +75,23 @@ def unsupported(df: DataFrame, answer: str, evidence: str, key: str) -> DataFram
     """key, text, value of the number mentions of answers that no mention of their evidence supports; years of dates and periods are left out.
 
     ``answer`` names a text, or an array of texts that share their evidence: then ``at`` is the place of each in it, from 0.
-    ``evidence`` names a text, or an array of mentions for evidence that several answers share. Evidence of rows in succession
-    that is equal is read once.
+    ``evidence`` names a text, or an array of mentions for evidence that several answers share.
     """
     kinds = dict(df.dtypes)
     mentions, several = kinds[evidence] != "string", kinds[answer] != "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(64)(figures)
         for batch in batches:
-            rows, places, texts, values = [], [], [], []
-            for row, (answers, by) in enumerate(zip(batch.column("_answers").to_pylist(), batch.column("_evidence").to_pylist(), strict=True)):
-                if mentions and by is None:
-                    continue
-                stated = figures_of([Mention(**e) for e in by]) if mentions else known(by)
-                for at, said in enumerate(answers or ()):
-                    for c in figures(said):
-                        if not c.says.temporal and not backed(c, stated):
-                            rows.append(row)
-                            places.append(at)
-                            texts.append(c.before + c.digits + c.after)
-                            values.append(-c.value if c.negative else c.value)
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int32())), pa.array(places, pa.int32()), pa.array(texts, pa.string()), pa.array(values, pa.float64())], [key, "at", "text", "value"])
+            lists, by = batch.column("_answers"), batch.column("_evidence")
+            row, said = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+            claims, stated = of_texts(said), of_mentions(by.to_pylist()) if mentions else of_texts(by)
+            bad = unbacked(claims, stated, row)
+            if mentions and by.null_count:
+                bad = bad[~by.is_null().to_numpy(zero_copy_only=False)[row[np.searchsorted(claims.begin, bad, side="right") - 1]]]
+            text = np.searchsorted(claims.begin, bad, side="right") - 1
+            at = text - np.searchsorted(row, row[text])
+            columns = [batch.column(key).take(pa.array(row[text])), pa.array(at, pa.int32()), pa.array([claims.text(i) for i in bad.tolist()], pa.string()), pa.array([claims.signed(i) for i in bad.tolist()], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "at", "text", "value"])
 
     both = df.select(key, (F.col(answer) if several else F.array(answer)).alias("_answers"), F.col(evidence).alias("_evidence"))
     found = both.mapInArrow(run, f"`{key}` {kinds[key]}, at int, text string, value double")

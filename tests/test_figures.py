@@ -4,6 +4,7 @@ import itertools
 import random
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,7 +160,10 @@ def test_answers_that_share_evidence(spark):
     assert sorted(got) == [(1, 1, "9", 9.0), (4, 0, "5", 5.0), (4, 1, "-6", -6.0), (4, 2, "6.0%", 6.0)]
 
 
-def test_plain_texts_of_one_form_are_read_once(spark):
+def test_plain_texts_of_one_form_are_read_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from marlstone.operators import figure_columns as fc
     from marlstone.operators import mentions as mn
 
     rng = random.Random(3)
@@ -167,15 +171,26 @@ def test_plain_texts_of_one_form_are_read_once(spark):
     texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "", "; "]) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
     say = lambda m: (m.percent, m.currency, m.scale, m.labelled, m.temporal)
     for t in texts:
-        got = [(f.before + f.digits + f.after, -f.value if f.negative else f.value, f.mantissa, f.unscaled, say(f.says)) for f in mn.figures(t)]
+        got = [(f.text, -f.value if f.negative else f.value, f.mantissa, f.unscaled, say(f.says)) for f in mn.figures(t)]
         assert got == [(m.text, m.value, abs(m.mantissa), m.scale == 1, say(m)) for m in mn.read(t)], t
+    # a column of texts, in forms and one by one
+    column = [*texts, *(f"{rng.randrange(3000)} pieces for ${rng.randrange(10**9) / 100:.2f}; or {rng.random():.6f} x; {10**rng.randrange(19)}%" for _ in range(400)), *(f"{rng.randrange(10**6)} for ${rng.randrange(10**6) / 100}" for _ in range(400)), None, ""]
+    got = fc.of_texts(pa.array(column).slice(5))
+    unscaled, percent, labelled, temporal, code = got.says()
+    for i, t in enumerate(column[5:]):
+        here = [(got.text(j), got.signed(j), got.mantissa[j], unscaled[j], (percent[j], (None, "USD", "EUR", "GBP")[code[j]], labelled[j], temporal[j])) for j in range(got.begin[i], got.begin[i + 1])]
+        assert here == [(m.text, m.value, abs(m.mantissa), m.scale == 1, (m.percent, m.currency, m.labelled, m.temporal)) for m in mn.read(t)], t
+    assert 300 < len(got.value) - len(got.odd)
     # the support of figures is that of columns
     pairs = [(i, a, e) for i, (a, e) in enumerate(zip(texts, reversed(texts), strict=True))][:600]
+    monkeypatch.setattr(fc, "PAIRS", 7)
     df = spark.createDataFrame(pairs, "i int, a string, e string")
     both = fg.with_mentions(fg.with_mentions(df, "a", "x"), "e", "y")
     want = both.select("i", F.explode(F.filter("x", lambda c: ~c["temporal"] & ~F.exists("y", lambda e: fg.supports(c, e)))).alias("c")).select("i", "c.text", "c.value").collect()
     assert sorted(want) == sorted(fg.unsupported(df, "a", "e", "i").collect()) and want
-    mn._form.cache_clear()
+    claims, stated = fc.of_texts(pa.array([a for _, a, _ in pairs])), fc.of_texts(pa.array([e for *_, e in pairs]))
+    assert sorted(claims.text(j) for j in fc.unbacked(claims, stated, np.arange(len(pairs)))) == sorted(r.text for r in want)
+    mn.form.cache_clear()
     for i in range(500):
         mn.figures(f"{i} pieces for ${i * 7}.25; {i + 3} pieces for $0.50")
-    assert mn._form.cache_info().misses == 1
+    assert mn.form.cache_info().misses == 1
